@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def whole_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts an Arrow batch so that the text of each piece stays under ``limit``, single longer texts apart."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + (size or 0) > limit:

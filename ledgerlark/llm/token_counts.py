@@ -14,6 +14,7 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -183,6 +184,11 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
+def _counter(path: str) -> Counter:
+    """The worker's counter of this vocabulary; it and its memo live on from task to task."""
+    return _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path))
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -193,13 +199,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(vocabulary) or _COUNTERS.setdefault(vocabulary, Counter(vocabulary))
+        counter = _counter(vocabulary)
         for whole in batches:
             for batch in slices(whole, "text"):
                 text = batch.column("text")
                 tokens = np.array(counter.count(text.to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.compute.binary_length(text).cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)],
+                    [batch.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
