@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlark.llm.mixing import MIX_SQL, mix_sources
 from ledgerlark.llm.quality import quality_verdicts
 from ledgerlark.llm.token_counts import count_tokens
 from ledgerlark.llm.token_files import token_files_digest
+from ledgerlark.llm.topk import TOP_SQL, top_of_every_50th
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +26,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_digest(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_of_every_50th(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op9_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op6_mix_sources, op9_token_files, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix_sources": MIX_SQL, "op10_top_k": TOP_SQL}
