@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm.mixing import MIX_SQL, mix_sources
+from ledgerlark.llm.pieces import piece_digest
 from ledgerlark.llm.quality import quality_verdicts
 from ledgerlark.llm.token_counts import count_tokens
 from ledgerlark.llm.token_files import token_files_digest
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,7 +44,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op6_mix_sources, op9_token_files, op10_top_k)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op4_quality_rules, op6_mix_sources, op9_token_files, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
