@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlark.llm.licenses import scan_licenses
 from ledgerlark.llm.mixing import MIX_SQL, mix_sources
 from ledgerlark.llm.pieces import piece_digest
 from ledgerlark.llm.quality import quality_verdicts
@@ -27,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op4_quality_rules, op6_mix_sources, op9_token_files, op10_top_k)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op3_license_scan, op4_quality_rules, op6_mix_sources, op9_token_files, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
