@@ -14,6 +14,7 @@ from ledgerlark.llm.quality import quality_verdicts
 from ledgerlark.llm.token_counts import count_tokens
 from ledgerlark.llm.token_files import token_files_digest
 from ledgerlark.llm.topk import TOP_SQL, top_of_every_50th
+from ledgerlark.llm.toxicity import grade_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op3_license_scan, op4_quality_rules, op6_mix_sources, op9_token_files, op10_top_k)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op3_license_scan, op4_quality_rules, op5_toxicity, op6_mix_sources, op9_token_files, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
