@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm.licenses import scan_licenses
 from ledgerlark.llm.mixing import MIX_SQL, mix_sources
+from ledgerlark.llm.neardup import near_duplicates
 from ledgerlark.llm.pieces import piece_digest
 from ledgerlark.llm.quality import quality_verdicts
 from ledgerlark.llm.token_counts import count_tokens
@@ -45,6 +46,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_digest(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,7 +59,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op3_license_scan, op4_quality_rules, op5_toxicity, op6_mix_sources, op9_token_files, op10_top_k)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op3_license_scan, op4_quality_rules, op5_toxicity, op6_mix_sources, op8_jaccard_join, op9_token_files, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
