@@ -12,6 +12,7 @@ from ledgerlark.llm.mixing import MIX_SQL, mix_sources
 from ledgerlark.llm.neardup import near_duplicates
 from ledgerlark.llm.pieces import piece_digest
 from ledgerlark.llm.quality import quality_verdicts
+from ledgerlark.llm.substrings import repeats_digest
 from ledgerlark.llm.token_counts import count_tokens
 from ledgerlark.llm.token_files import token_files_digest
 from ledgerlark.llm.topk import TOP_SQL, top_of_every_50th
@@ -46,6 +47,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op3_license_scan, op4_quality_rules, op5_toxicity, op6_mix_sources, op8_jaccard_join, op9_token_files, op10_top_k)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_token_counts, op3_license_scan, op4_quality_rules, op5_toxicity, op6_mix_sources, op7_substring_dedup, op8_jaccard_join, op9_token_files, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
