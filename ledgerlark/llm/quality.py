@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark.llm.texts import slices, whole_text
 
@@ -149,5 +150,20 @@ def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns; measured in place, without a shuffle."""
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{m}", T.LongType()) for m in MEASURES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                found = np.array([measure(t or "") for t in batch.column(text_col).to_pylist()], np.int64).reshape(-1, len(MEASURES))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(MEASURES)))], names=schema.names)
+
+    rejected = POLICIES[version].mask | POLICIES["base"].mask
+    tests = [re.sub(r"\bn_\w+|\bword_chars\b", lambda m: f"_q_{m[0]}", test) for bit, (_, test) in enumerate(RULES) if rejected >> bit & 1]
+    return docs.mapInArrow(run, schema).filter("NOT (" + " OR ".join(f"({t})" for t in tests) + ")").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality_verdicts(docs: DataFrame, version: str = "v2") -> DataFrame:
     return apply_policy(ledger(docs), POLICIES[version])
