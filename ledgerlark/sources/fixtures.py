@@ -206,4 +206,6 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in named)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     return f"WITH {ctes},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
