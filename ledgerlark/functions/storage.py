@@ -48,3 +48,9 @@ def discard(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(top)
         if path.getParent().toUri().getPath() == base.toUri().getPath():
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees shuffle files of finished jobs. Spark drops them when the driver's JVM collects the plans that wrote them,
+    which in a driver with little to collect can take long after a large stage."""
+    spark.sparkContext._jvm.System.gc()
