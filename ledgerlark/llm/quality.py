@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlark.llm.texts import slices, whole_text
+from ledgerlark.llm.texts import held, slices, whole_text
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -109,6 +109,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     gives none. Whole texts are measured. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = np.array([measure(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(MEASURES))
@@ -155,6 +156,7 @@ def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> D
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{m}", T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
         for whole in batches:
             for batch in slices(whole, text_col):
                 found = np.array([measure(t or "") for t in batch.column(text_col).to_pylist()], np.int64).reshape(-1, len(MEASURES))
@@ -167,3 +169,28 @@ def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> D
 
 def quality_verdicts(docs: DataFrame, version: str = "v2") -> DataFrame:
     return apply_policy(ledger(docs), POLICIES[version])
+
+
+_BITS = " + ".join(f"CASE WHEN {test} THEN {1 << bit} ELSE 0 END" for bit, (_, test) in enumerate(RULES))
+QUALITY_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT k, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW + 1}
+), v AS (
+  SELECT k, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS win FROM g
+), r AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM v) x WHERE c > 1
+), c AS (
+  SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM r, range({WINDOW}) q(j) GROUP BY k
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct_words,
+    CAST(length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper, CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS BIGINT) AS n_letter_words
+  FROM d LEFT JOIN c ON c.k = d.k
+)
+SELECT *, (failed & {POLICIES["base"].mask}) <> 0 AS base_failed, (failed & {POLICIES["v2"].mask | POLICIES["base"].mask}) = 0 AS kept FROM (SELECT *, CAST({_BITS} AS BIGINT) AS failed FROM m) f
+"""

@@ -11,7 +11,7 @@ from ledgerlark.llm.licenses import scan_licenses
 from ledgerlark.llm.mixing import MIX_SQL, mix_sources
 from ledgerlark.llm.neardup import near_duplicates
 from ledgerlark.llm.pieces import piece_digest
-from ledgerlark.llm.quality import quality_verdicts
+from ledgerlark.llm.quality import QUALITY_SQL, quality_verdicts
 from ledgerlark.llm.substrings import repeats_digest
 from ledgerlark.llm.token_counts import count_tokens
 from ledgerlark.llm.token_files import token_files_digest
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": MIX_SQL, "op10_top_k": TOP_SQL}
+    return {"op4_quality_rules": QUALITY_SQL, "op6_mix_sources": MIX_SQL, "op10_top_k": TOP_SQL}
