@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.storage import materialize
 from ledgerlark.llm.bytehash import mix, shingles
-from ledgerlark.llm.texts import slices, whole_text
+from ledgerlark.llm.texts import held, slices, trim, whole_text
 from ledgerlark.operators.components import connected_components
 
 #: Bytes of text whose shingles one pass holds.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def choose_bands(threshold: float, recall: float, rows: int = 4) -> int:
@@ -54,6 +54,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, h1, h2`` (hash of the text) and ``bands`` (empty for a text without words). No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near duplicates")
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
                 text = batch.column("text")
@@ -146,6 +147,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     asked = units.groupBy("rep").agg(F.collect_list(F.struct("component", "x", "y", "side")).alias("units"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near duplicates")
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
                 found, first = text_shingles(batch.column("text"), width)
@@ -158,23 +160,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     ordered = sets.select("rep", "grams", F.inline("units")).repartition(*key).sortWithinPartitions(*key, "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        members_: list[tuple[int, int, bytes]] = []
         now = None
+        held("near duplicates")
 
         def flush() -> pa.RecordBatch:
-            ids = np.array([h[0] for h in held], np.int64)
-            links, roots = jaccard_links(ids, np.array([h[1] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held], threshold)
+            ids = np.array([h[0] for h in members_], np.int64)
+            links, roots = jaccard_links(ids, np.array([h[1] for h in members_]), [np.frombuffer(h[2], np.uint64) for h in members_], threshold)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(roots)], names=["rep", "links", "root"])
 
         for batch in batches:
             for *key_, rep, side, grams in zip(*(batch.column(c).to_pylist() for c in (*key, "rep", "side", "grams")), strict=True):
                 if key_ != now:
-                    if len(held) > 1:
+                    if len(members_) > 1:
                         yield flush()
-                    held, now = [], key_
-                held.append((rep, side, grams))
-        if len(held) > 1:
+                    members_, now = [], key_
+                members_.append((rep, side, grams))
+        if len(members_) > 1:
             yield flush()
+        trim()
 
     links = materialize(ordered.mapInArrow(verify, "rep long, links long, root long"), "links")
     classes = connected_components(links.filter("rep <> root").select("rep", "root"), "rep", "root").select(F.col("node").alias("rep"), "component")

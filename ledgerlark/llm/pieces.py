@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ledgerlark.llm.texts import slices, whole_text
+from ledgerlark.llm.texts import held, slices, whole_text
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -126,7 +126,7 @@ class Codec:
     """Encodes and decodes whole texts. ``wrong`` counts chunks (or texts) where the two libraries disagreed; these take
     the ids of sentencepiece."""
 
-    def __init__(self, path: str, threads: int = 2, most: int = 900_000):
+    def __init__(self, path: str, threads: int = 2, most: int = 300_000):
         # Set before the import: the library reads them when it starts its threads.
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -206,12 +206,10 @@ class Codec:
         return self.whole.normalizer.normalize_str(text).replace(MARK, " ")[1 if self.model.dummy_prefix else 0 :]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(path: str) -> Codec:
     """The worker's codec of this model; it and its memo live on from task to task."""
-    return _CODECS.get(path) or _CODECS.setdefault(path, Codec(path))
+    store = held("pieces")
+    return store.get(path) or store.setdefault(path, Codec(path))
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +13,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """The store that one operator keeps in a Python worker from task to task. A worker serves many stages, so asking for
+    one store empties those of all other operators and gives the freed memory back to the system."""
+    if others := [k for k in _HELD if k != operator]:
+        for k in others:
+            del _HELD[k]
+        trim()
+    return _HELD.setdefault(operator, {})
+
+
+def trim() -> None:
+    """Gives memory that large arrays left free back to the system, where the C library can."""
+    gc.collect()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Text bytes that one pass of a helper holds as Python objects.
 BATCH_BYTES = 8 << 20
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from ledgerlark.llm.texts import slices, whole_text
+from ledgerlark.llm.texts import held, slices, whole_text
 
 NONE = np.int32(2**31 - 1)
 
@@ -181,12 +181,10 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def _counter(path: str) -> Counter:
     """The worker's counter of this vocabulary; it and its memo live on from task to task."""
-    return _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path))
+    store = held("token counts")
+    return store.get(path) or store.setdefault(path, Counter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

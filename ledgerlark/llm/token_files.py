@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.storage import discard, fresh_path, materialize
-from ledgerlark.llm.texts import Memo, slices, whole_text
+from ledgerlark.llm.texts import Memo, held, slices, whole_text
 from ledgerlark.llm.token_counts import byte_letters
 
 MARK = b"IDS1"
@@ -73,11 +73,9 @@ class ByteEncoder:
         return head + b"".join(map(self.spaced.__getitem__, chunks[1:])) if len(chunks) > 1 else head
 
 
-_ENCODERS: dict[str, ByteEncoder] = {}
-
-
 def _encoder(path: str) -> ByteEncoder:
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, ByteEncoder(path))
+    store = held("token files")
+    return store.get(path) or store.setdefault(path, ByteEncoder(path))
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int, size: int) -> bytes:
