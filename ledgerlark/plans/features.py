@@ -46,6 +46,7 @@ def _risk(txn: str = "aml_txn", alert: str = "aml_alert", days: int = 180) -> st
 
 _TRAIN = f"""WITH lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_customer_id ORDER BY created_at DESC, id DESC) AS rk FROM aml_txn) x WHERE rk <= 50), la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, alert_id DESC) AS rk FROM aml_alert) x WHERE rk <= 5),
 f AS ({_risk('lt', 'la')}) SELECT f.*, CAST(f.customer_id IN (SELECT a.customer_id FROM aml_case c JOIN aml_alert a ON a.alert_id = c.alert_id WHERE c.status IN ('escalated', 'closed')) AS INTEGER) AS label FROM f"""
+_TRAIN_ALL = _TRAIN.replace("rk <= 50)", "rk <= 500)").replace("rk <= 5)", "rk <= 200)")
 _SARF = f"""WITH j AS (SELECT a.alert_id, t.*, row_number() OVER w AS k, count(*) OVER (PARTITION BY a.alert_id) AS c FROM aml_alert a JOIN aml_txn t ON t.from_customer_id = a.customer_id AND t.created_at <= a.created_at AND t.created_at >= a.created_at - INTERVAL 30 DAY WINDOW w AS (PARTITION BY a.alert_id ORDER BY t.created_at, t.id)),
 g AS (SELECT alert_id, count(*) AS n, {_SQ}, max(amount) AS m, {cnt('flagged')} AS f, {cnt('is_international')} AS i, count(DISTINCT destination_country) AS u, {cnt("transaction_type = 'cash'")} AS cash, {cnt("transaction_type = 'wire'")} AS wire, {cnt('amount BETWEEN 8000 AND 9999.99E0')} AS band, {cnt('amount % 1000 = 0')} AS rd,
   {total('amount', 'k <= floor(c / 2)')} AS early, {total('amount', 'k > floor(c / 2)')} AS late FROM j GROUP BY 1)
@@ -75,6 +76,7 @@ PLANS = {
     "customer_features": (lambda t: X.customer_features(t.aml_customer, t.aml_txn, t.aml_alert, AT), _FEATURES),
     "risk_model_features": (lambda t: X.risk_model_features(t.aml_customer, t.aml_txn, t.aml_alert, AT), _risk()),
     "risk_training_set": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT, 50, 5), _TRAIN),
+    "risk_training_set_whole": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), _TRAIN_ALL),
     "sar_features": (lambda t: X.sar_features(t.aml_alert, t.aml_txn), _SARF),
     "time_features": (
         lambda t: X.time_features(t.aml_txn),

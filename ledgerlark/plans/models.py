@@ -14,13 +14,13 @@ SAR = ["txn_count", "total_amount", "avg_amount", "max_amount", "flagged_ratio",
 
 def _risk(t):
     rows = X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT)
-    return M.predict_risk(M.train_risk_model(rows, trees=20), rows)
+    return M.predict_risk(M.train_risk_model(rows), rows)
 
 
 def _sar(t):
     filed = t.aml_case.filter("sar_filed").select("alert_id", F.lit(1).alias("label"))
     rows = X.sar_features(t.aml_alert, t.aml_txn).join(filed, "alert_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    return M.predict_sar(M.train_sar_classifier(rows, SAR, epochs=10), rows)
+    return M.predict_sar(M.train_sar_classifier(rows, SAR), rows)
 
 
 PLANS = {
