@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlark.functions.storage import materialize
-from ledgerlark.llm.mixing import mix_sources
-from ledgerlark.llm.neardup import keep_one_of_each, near_duplicates
+from ledgerlark.llm.mixing import mixed_rows
+from ledgerlark.llm.neardup import one_of_each
 from ledgerlark.llm.pieces import piece_digest
 from ledgerlark.llm.quality import keep_good
 from ledgerlark.llm.substrings import cut_texts
@@ -24,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return keep_one_of_each(docs, near_duplicates(docs))
+    """Of each group of near duplicates one row stays, that with the smallest id."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, at most three times."""
-    taken = mix_sources(docs).filter(F.col("repeats") > 0).select(F.col("doc_id").alias("_id"), "repeats")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    return mixed_rows(docs)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,33 @@ def thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.shiftleft(F.col("low") + takes.cast("long"), shift).alias("below"))
 
 
+def _source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+
+
+def _items(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialize(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")).select(
+            "*", hash60(F.col("doc_id")).alias("h"), _source_key(F.col("source")).alias("k")
+        ),
+        "sizes",
+    )
+
+
+def _plan(items: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """``k, source_size, target, whole, below``: a row per source. Its documents are taken ``whole`` times, and once more
+    where their hash lies below ``below``."""
+    targets = source_targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).select(_source_key(F.col("source")).alias("k"), "source_size", "target")
+    q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = materialize(targets.withColumn("whole", F.floor(q).cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    cuts = thresholds(items.select(F.col("k").alias("source"), "size", "h"), plan.select(F.col("k").alias("source"), "budget"))
+    return plan.drop("budget").join(cuts.withColumnRenamed("source", "k"), "k")
+
+
+def _repeats(h: Column, whole: Column, below: Column, cap: int) -> Column:
+    return F.least(whole + (h < below).cast("long"), F.lit(cap).cast("long"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken``, and ``repeats`` (whole times it is taken).
 
@@ -85,27 +112,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     one source, which comes last, and empty tables give no rows. Rows with one id share a hash and are taken together.
     Hashes depend on ids only, so reruns agree. Texts are read once; later passes see ids, sources and sizes.
     """
-    key = F.col("source")
-    items = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")).select(
-            "*", hash60(F.col("doc_id")).alias("h"), F.when(key.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), key)).alias("k")
-        ),
-        "sizes",
-    )
-    targets = source_targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).select(
-        F.when(key.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), key)).alias("k"), "source_size", "target"
-    )
-    q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = materialize(targets.withColumn("whole", F.floor(q).cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    cuts = thresholds(items.select(F.col("k").alias("source"), "size", "h"), plan.select(F.col("k").alias("source"), "budget"))
-    repeats = F.least(F.col("whole") + (F.col("h") < F.col("below")).cast("long"), F.lit(cap).cast("long"))
+    items = _items(docs, id_col, text_col, source_col)
     return (
-        items.join(plan.join(cuts.withColumnRenamed("source", "k"), "k"), "k")
-        .withColumn("repeats", repeats)
+        items.join(_plan(items, weights, cap), "k")
+        .withColumn("repeats", _repeats(F.col("h"), F.col("whole"), F.col("below"), cap))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
     )
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it. How often is worked out beside the row, from its
+    own source and id, so null and repeated ids don't multiply."""
+    plan = _plan(_items(docs, id_col, text_col, source_col), weights, cap).select(*(F.col(c).alias(f"_{c}") for c in ("k", "whole", "below")))
+    times = _repeats(hash60(F.col(id_col).cast("long")), F.col("_whole"), F.col("_below"), cap)
+    rows = docs.withColumn("_k", _source_key(F.col(source_col))).join(F.broadcast(plan), "_k").withColumn("_repeats", times).filter(F.col("_repeats") > 0)
+    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

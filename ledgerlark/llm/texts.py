@@ -43,6 +43,11 @@ def whole_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether ids tell rows apart: none is null or stands in two rows."""
+    return df.filter(F.col(id_col).isNull()).isEmpty() and df.groupBy(id_col).count().filter("count > 1").isEmpty()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts an Arrow batch so that the text of each piece stays under ``limit``, single longer texts apart."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()

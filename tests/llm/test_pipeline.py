@@ -52,3 +52,30 @@ def test_empty(spark):
     docs = make(spark).limit(0)
     for name, stage in C.STAGES:
         assert stage(spark, docs, "").count() == 0, name
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [prose(60) for _ in range(30)]
+    rows = [(rng.choice([None, 1, 1, 2, 3 + i]), rng.choice(texts), "en", rng.choice(["a", "b", None]), 0) for i in range(150)]
+    rows += [(None, texts[0], "en", "a", 0)] * 3 + [(7, texts[1] + " more", "en", "b", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = [tuple(r) for r in dict(C.STAGES)["near_duplicates"](spark, docs, "").collect()]
+    # Brute force over row numbers; each group keeps its smallest id, null last.
+    groups = {}
+    for k, (c, _, _) in near_brute([(k, r[1]) for k, r in enumerate(rows)]).items():
+        groups.setdefault(c, []).append(rows[k])
+    assert len(kept) == len(groups) and set(kept) <= set(rows)
+    order = lambda i: (i is None, i or 0)
+    assert sorted((r[0] for r in kept), key=order) == sorted((min((r[0] for r in g), key=order) for g in groups.values()), key=order)
+    # Mixing alone, on rows with null and repeated ids, against the repeats of single rows.
+    many = [tuple(r) for r in dict(C.STAGES)["mixing"](spark, docs, "").collect()]
+    from collections import Counter
+
+    from ledgerlark.llm.mixing import mix_sources
+
+    want = sum(r.repeats for r in mix_sources(docs).collect())
+    before, after = Counter(rows), Counter(many)
+    assert len(many) == want and all(after[r] <= 3 * before[r] and after[r] % before[r] == 0 for r in after)
