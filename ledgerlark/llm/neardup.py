@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.storage import materialize
 from ledgerlark.llm.bytehash import mix, shingles
-from ledgerlark.llm.texts import held, slices, trim, unique_ids, whole_text
+from ledgerlark.llm.texts import held, keyed, slices, trim, unique_ids
 from ledgerlark.operators.components import connected_components
 
 #: Bytes of text whose shingles one pass holds.
@@ -51,7 +51,7 @@ def band_hashes(found: np.ndarray, first: np.ndarray, bands: int, rows: int) ->
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, h1, h2`` (hash of the text) and ``bands`` (empty for a text without words). No shuffle."""
+    """``row, doc_id, h1, h2`` (hash of the text) and ``bands`` (empty for a text without words). No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("near duplicates")
@@ -64,11 +64,11 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 flat = band_hashes(found, np.r_[first[:-1][some], first[-1]], bands, rows) if some.any() else np.zeros((0, bands), np.int64)
                 ends = np.r_[0, np.cumsum(some * bands)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(digests[:, 0].view(np.int64)), pa.array(digests[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))],
-                    names=["doc_id", "h1", "h2", "bands"],
+                    [batch.column("row"), batch.column("doc_id"), pa.array(digests[:, 0].view(np.int64)), pa.array(digests[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))],
+                    names=["row", "doc_id", "h1", "h2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "row long, doc_id long, h1 long, h2 long, bands array<long>")
 
 
 def jaccard_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +121,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     A group of any size is cut into blocks of ``block`` texts; blocks are compared only if they share a bucket.
     """
     bands = choose_bands(threshold, recall, rows)
-    texts = whole_text(docs, id_col, text_col)
+    texts, unique = keyed(docs, id_col, text_col)
     base = materialize(sketches(texts, width, bands, rows), "sketches")
     known = base.filter(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
-    reps = materialize(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "texts")
+    # A distinct text goes by the least number of its rows, so that texts that share an id stay apart.
+    reps = materialize(known.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "texts")
     members = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter(F.col("n") > 1)
     met = materialize(members.join(buckets, ["band", "bucket"]).select("rep", "band", "bucket", "hub"), "met")
@@ -155,7 +156,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("units"), pa.array(packed, pa.binary())], names=["rep", "units", "grams"])
 
     unit = "struct<component:bigint,x:int,y:int,side:int>"
-    sets = texts.withColumnRenamed("doc_id", "rep").join(asked, "rep").select("rep", "units", "text").mapInArrow(to_sets, f"rep long, units array<{unit}>, grams binary")
+    sets = texts.select(F.col("row").alias("rep"), "text").join(asked, "rep").select("rep", "units", "text").mapInArrow(to_sets, f"rep long, units array<{unit}>, grams binary")
     key = ["component", "x", "y"]
     ordered = sets.select("rep", "grams", F.inline("units")).repartition(*key).sortWithinPartitions(*key, "rep")
 
@@ -181,10 +182,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
         trim()
 
     links = materialize(ordered.mapInArrow(verify, "rep long, links long, root long"), "links")
-    classes = connected_components(links.filter("rep <> root").select("rep", "root"), "rep", "root").select(F.col("node").alias("rep"), "component")
+    edges = links.filter("rep <> root").select("rep", "root")
+    if not unique:
+        # Texts that share an id share a class.
+        own_ids = materialize(known.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct(), "ids")
+        heads = own_ids.groupBy("doc_id").agg(F.min("rep").alias("root"), F.count("*").alias("n")).filter("n > 1")
+        edges = edges.unionByName(own_ids.join(heads, "doc_id").filter("rep <> root").select("rep", "root"))
+    classes = connected_components(edges, "rep", "root").select(F.col("node").alias("rep"), "component")
     counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    told = reps.select("h1", "h2", "rep", "n_copies").join(counts, "rep", "left").join(classes, "rep", "left")
-    told = told.select("h1", "h2", "n_copies", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = reps.select("h1", "h2", "rep", "least", "n_copies").join(counts, "rep", "left").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if not unique:
+        told = materialize(told, "told")
+        told = told.drop("least").join(told.groupBy("component").agg(F.min("least").alias("least")), "component").withColumn("component", F.col("least"))
+    told = told.select("h1", "h2", "n_copies", F.col("component").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     own_id = F.col("doc_id").isNotNull()
     return base.select("doc_id", "h1", "h2").join(told, ["h1", "h2"], "left").select(
         "doc_id",

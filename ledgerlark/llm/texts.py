@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.storage import materialize
+
 _HELD: dict[str, dict] = {}
 
 
@@ -48,6 +50,14 @@ def unique_ids(df: DataFrame, id_col: str) -> bool:
     return df.filter(F.col(id_col).isNull()).isEmpty() and df.groupBy(id_col).count().filter("count > 1").isEmpty()
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``row`` (unique), ``doc_id`` and ``text``, and whether ids serve as rows, as they do where they are unique and not
+    null; else rows are numbered in a written table, so that each pass sees the same numbers."""
+    if unique_ids(df, id_col):
+        return whole_text(df, id_col, text_col, F.col(id_col).cast("long").alias("row")), True
+    return materialize(whole_text(df, id_col, text_col, F.monotonically_increasing_id().alias("row")), "numbered"), False
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts an Arrow batch so that the text of each piece stays under ``limit``, single longer texts apart."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from ledgerlark.llm import neardup
 from ledgerlark.llm.neardup import choose_bands, keep_one_of_each, near_duplicates, text_shingles
 
 
@@ -83,3 +84,29 @@ def test_cases(spark):
     got = sorted(near_duplicates(spark.createDataFrame(rows, schema)).collect(), key=str)
     assert len(got) == 6 and sum(r.class_id is None for r in got) == 2
     assert np.array_equal(sorted(r.class_id for r in got if r.class_id), [1, 1, 2, 2])
+
+
+def test_repeated_ids_count_each_text_once(spark):
+    rng = random.Random(7)
+    prose = lambda: [rng.choice("abcdefghijklmnop") + str(rng.randrange(99)) for _ in range(80)]
+    a, b, c = prose(), prose(), prose()
+    text = lambda w, *more: " ".join([*w, *more])
+    rows = [(1, text(a)), (1, text(a)), (2, text(a, "x")), (3, text(b)), (3, text(c)), (4, text(b, "x")), (5, text(c, "x")), (None, text(a))]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 1, 1), (3, 3, 1, 1), (3, 3, 1, 1), (4, 3, 1, 1), (5, 3, 1, 1), (None, None, 0, 1)], key=str)
+
+
+def test_hot_id_keeps_blocks_small(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = [(1 if i % 3 == 0 else i, " ".join([*base, f"x{i}"])) for i in range(120)]
+    real = neardup.jaccard_links
+
+    def counted(ids, *rest):
+        (tmp_path / f"{len(ids)}-{rng.random()}").touch()
+        return real(ids, *rest)
+
+    monkeypatch.setattr(neardup, "jaccard_links", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(1, 119)} and len(got) == 120
+    assert max(int(f.name.split("-")[0]) for f in tmp_path.iterdir()) <= 32
