@@ -77,7 +77,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows:
     """
     n, n_queries = vectors.count(), queries.count()
     rows, cols = blocks or max(12, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
-    even = lambda df, m: df.withColumn("b", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(m)).cast("int"))
+    # Rows are distinct, so their hashes are even; and a row has the same block on every attempt of a task.
+    even = lambda df, m: df.withColumn("b", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(m)).cast("int"))
     key = ["cb", "qb", "dims"]
     left = even(vectors, rows).select(F.col("b").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("qb"), F.size("vec").alias("dims"), "vec_id", "vec")
     right = even(queries, cols).select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("cb"), F.col("b").alias("qb"), F.size("vec").alias("dims"), "vec_id", "vec")

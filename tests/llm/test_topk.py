@@ -30,3 +30,9 @@ def test_equals_brute_force(spark):
 def test_empty(spark):
     df = integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert exact_top_k(df, df).count() == 0
+
+
+def test_blocks_don_t_depend_on_the_order_of_rows(spark):
+    df = integer_vectors(spark.createDataFrame([(i, [float(i)]) for i in range(9)], "vec_id long, embedding array<float>"))
+    plan = exact_top_k(df, df)._jdf.queryExecution().analyzed().toString().lower()
+    assert "hash" in plan and "monotonically_increasing_id" not in plan and "spark_partition_id" not in plan
