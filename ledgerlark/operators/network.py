@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,10 +51,11 @@ def graph_hubs(nodes: DataFrame, customers: DataFrame, least: int = 5) -> DataFr
     return rows.join(customers.select(F.col("customer_id").alias("node"), "full_name", "risk_level"), "node", "left").select("node", "degree", "out_degree", "in_degree", "full_name", "risk_level")
 
 
-def chains(txns: DataFrame, hours: int, close: Column, hops: int, strict: bool) -> DataFrame:
-    """Chains of ``hops`` transactions: each sent by the last one's receiver, no earlier than it and at most ``hours``
-    later (``strict``: later, and less than that), amounts close, no customer twice. ``close`` compares ``amount`` with
-    ``amount_next``.
+def chains(txns: DataFrame, hours: int, close: Column, least: int, most: int | None, strict: bool) -> Iterator[tuple[int, DataFrame]]:
+    """(length, chains) of ``least`` to ``most`` transactions (without ``most``, until none grows): each sent by the last
+    one's receiver, no earlier than it and at most ``hours`` later (``strict``: later, and less than that), amounts close,
+    no customer twice. ``close`` compares ``amount`` with ``amount_next``. Chains of one length grow from those before,
+    which are written.
 
     A step joins on the customer and a bucket of time as long as the span, a path looking into its own bucket and the
     next: no pair farther apart than two buckets is ever compared."""
@@ -64,34 +66,42 @@ def chains(txns: DataFrame, hours: int, close: Column, hops: int, strict: bool)
     paths = rows.select(F.col("id").alias("start_id"), F.array("id").alias("ids"), F.array("from_customer_id", "to_customer_id").alias("path"), F.col("to_customer_id").alias("last"), "amount", "at", F.col("amount").alias("total"))
     gap = F.col("at_next") - F.col("at")
     timely = (gap > 0) & (gap < span) if strict else (gap >= 0) & (gap <= span)
-    for _ in range(hops - 1):
+    length = 1
+    while True:
+        if length >= least:
+            yield length, paths
+        if length == most or (length > 1 and paths.isEmpty()):
+            return
         bucket = F.floor(F.col("at") / span)
         probe = paths.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
         grown = probe.join(following, ["last", "bucket"]).filter(timely & close & ~F.array_contains("path", F.col("to_next")))
         paths = grown.select("start_id", F.concat("ids", F.array("id_next")).alias("ids"), F.concat("path", F.array("to_next")).alias("path"), F.col("to_next").alias("last"), F.col("amount_next").alias("amount"), F.col("at_next").alias("at"), (F.col("total") + F.col("amount_next")).alias("total"))
-    return paths
+        length += 1
+        if length != most:
+            paths = materialize(paths, "chains")
 
 
-def pattern_layering(txns: DataFrame, hops: int = 3) -> DataFrame:
-    """Layering chains within 48 hours and 20%: customers along the way and the transactions, as texts."""
-    found = chains(txns, 48, F.abs(F.col("amount_next") - F.col("amount")) / F.col("amount") <= 0.20, hops, strict=False)
+def pattern_layering(txns: DataFrame, hops: int = 3, most: int | None = None) -> DataFrame:
+    """Layering chains within 48 hours and 20%, of at least ``hops`` transactions: customers along the way and the
+    transactions, as texts."""
+    close = F.abs(F.col("amount_next") - F.col("amount")) / F.col("amount") <= 0.20
+    found = reduce(DataFrame.unionByName, (paths for _, paths in chains(txns, 48, close, hops, most, strict=False)))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return found.select("start_id", text("ids").alias("txn_ids"), text("path").alias("customers"), rounded(F.col("total")).alias("total_amount"))
 
 
-def layering_confidence(txns: DataFrame, hops: int = 3) -> DataFrame:
+def layering_confidence(txns: DataFrame, hops: int = 3, most: int | None = None) -> DataFrame:
     """Per customer who starts chains: how many, and min(100, 25 for each)."""
-    rows = pattern_layering(txns, hops).withColumn("customer_id", F.split("customers", ",")[0].cast("long")).groupBy("customer_id").agg(F.count("*").alias("chains"))
+    rows = pattern_layering(txns, hops, most).withColumn("customer_id", F.split("customers", ",")[0].cast("long")).groupBy("customer_id").agg(F.count("*").alias("chains"))
     return rows.withColumn("confidence", F.least(F.lit(100.0), F.col("chains") * 25.0))
 
 
-def graph_layering_chains(txns: DataFrame, as_of: str, hops: int = 2, days: int = 30) -> DataFrame:
+def graph_layering_chains(txns: DataFrame, as_of: str, hops: int = 9, days: int = 30) -> DataFrame:
     """Chains within 24 hours and 15%, of 2 to ``hops`` transactions, one for each start and length: the first by ids."""
     recent = txns.filter(F.col("created_at") >= ago(as_of, days=days))
     close = F.abs(F.col("amount_next") - F.col("amount")) / F.col("amount") < 0.15
     out = []
-    for length in range(2, hops + 1):
-        found = chains(recent, 24, close, length, strict=True)
+    for length, found in chains(recent, 24, close, 2, hops, strict=True):
         out.append(found.groupBy("start_id").agg(F.min(F.struct("ids", "total")).alias("m")).select("start_id", F.lit(length).alias("length"), F.element_at("m.ids", -1).alias("end_id"), rounded(F.col("m.total")).alias("total_amount")))
     return reduce(DataFrame.unionByName, out)
 

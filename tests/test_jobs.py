@@ -147,3 +147,13 @@ def test_descent_equals_numpy_and_folds(spark):
 def test_bundle(spark, tmp_path):
     frames = {"a": spark.range(3), "b": spark.range(0)}
     assert {(r.name, r.n) for r in listing.export_report_bundle(frames, str(tmp_path), "2024-01-31").collect()} == {("a", 3), ("b", 0)}
+
+
+def test_long_chains(spark):
+    at = lambda i: NOW + dt.timedelta(hours=i)
+    rows = [txn(i, 1000 + i, sender=i, to=i + 1, at=at(i)) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, TXN)
+    got = {(r.start_id, r.length, r.end_id) for r in network.graph_layering_chains(df, "2024-01-12 00:00:00").collect()}
+    assert got == {(i, n, i + n - 1) for n in range(2, 10) for i in range(1, 14 - n)}
+    assert {r.txn_ids for r in network.pattern_layering(df).collect()} == {",".join(map(str, range(i, i + n))) for n in range(3, 13) for i in range(1, 14 - n)}
+    assert {r.customer_id: r.chains for r in network.layering_confidence(df).collect()} == {i: 11 - i for i in range(1, 11)}
