@@ -94,14 +94,16 @@ def cross_validate(rows: DataFrame, fit, key: str, k: int = 5, threshold: float
     return every.select(metrics).select("x.*").groupBy("metric").agg(rounded(F.avg("v"), 4).alias("mean"), rounded(F.stddev_pop("v"), 4).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
-def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
-    """2^(-mean depth / expected depth) of each row in ``trees`` random trees, grown level by level, all trees at once."""
-    rng, (n, _) = np.random.default_rng(seed), x.shape
-    size = min(sample, n)
+def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42, pool: np.ndarray | None = None) -> np.ndarray:
+    """2^(-mean depth / expected depth) of each row in ``trees`` random trees, grown level by level, all trees at once.
+    Trees are fitted on ``pool``, or on the rows themselves."""
+    pool = x if pool is None else pool
+    rng, n, fitted = np.random.default_rng(seed), len(x), len(pool)
+    size = min(sample, fitted)
     limit = int(np.ceil(np.log2(max(size, 2))))
     width = 2 ** (limit + 1)
     expected = lambda m: np.where(m > 2, 2 * (np.log(np.maximum(m - 1, 1)) + 0.5772156649) - 2 * (m - 1) / np.maximum(m, 1), np.where(m == 2, 1.0, 0.0))
-    xs = x[np.concatenate([rng.choice(n, size, replace=False) for _ in range(trees)])]
+    xs = pool[np.concatenate([rng.choice(fitted, size, replace=False) for _ in range(trees)])]
     base, node, live = np.repeat(np.arange(trees) * width, size), np.zeros(trees * size, np.int64), np.arange(trees * size)
     feature, cut, count = np.full(trees * width, -1), np.zeros(trees * width), np.zeros(trees * width)
     for level in range(limit + 1):
@@ -132,24 +134,35 @@ def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
 
 
 def anomaly_scores(txns: DataFrame, least: int = 10, contamination: float = 0.05, most: int = 25_600, key: str = "from_customer_id") -> DataFrame:
-    """A small isolation forest per sender with at least ``least`` transactions. Customers with more than ``most`` are
-    cut into even parts by a hash, each with its own forest, so a task never holds more than about that many rows."""
-    h, w, a = F.hour("created_at"), F.weekday("created_at"), F.col("amount")
+    """An isolation forest per sender with at least ``least`` transactions. Its trees are fitted on a seeded sample of
+    about ``most`` of the sender's rows (all, where there are no more). Rows are scored in even parts, by a hash, each part
+    with the same sample and so the same trees, and a task never holds more than about that many rows of each. Range,
+    quantile, means and deviations are the sender's, whatever the number of parts."""
+    h, w, a, c = F.hour("created_at"), F.weekday("created_at"), F.col("amount"), F.col
     kinds = F.when(F.col("transaction_type") == "cash", 5).when(F.col("transaction_type") == "wire", 4).when(F.col("transaction_type").isin("transfer", "withdrawal"), 3).when(F.col("transaction_type") == "payment", 2).otherwise(1)
     values = [a, h, w, F.col("is_international").cast("double"), ((h < 6) | (h > 22)).cast("double"), kinds, F.log1p(F.abs(a))]
     rows = txns.filter(F.col(key).isNotNull()).select(F.col(key).alias("customer_id"), F.col("id").alias("txn_id"), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for v, n in zip(values, FOREST_FEATURES, strict=True)))
     sizes = rows.groupBy("customer_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    dealt = rows.join(sizes, "customer_id").withColumn("part", F.pmod(F.xxhash64("txn_id"), F.ceil(F.col("_n") / most)))
+    parts = F.ceil(F.col("_n") / most)
+    dealt = rows.join(sizes, "customer_id").withColumn("part", F.pmod(F.xxhash64("txn_id"), parts))
+    drawn = F.pmod(F.xxhash64(F.lit(42), "txn_id"), F.lit(1 << 30)) < F.lit(float(most << 30)) / F.col("_n")
+    sample = dealt.filter((F.col("_n") > most) & drawn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    sample = sample.select(*(F.col(n).alias(f"_{n}") for n in ("customer_id", "part", "txn_id", *FOREST_FEATURES)))
 
-    def forest(group: pd.DataFrame) -> pd.DataFrame:
+    def forest(group: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("txn_id")
         x = group[FOREST_FEATURES].to_numpy(float)
-        raw = isolation_scores(x)
-        cut = np.quantile(raw, 1 - contamination)
-        span = raw.max() - raw.min()
-        score = np.round((raw - raw.min()) / span * 100 if span > 0 else np.zeros(len(raw)), 2)
-        far = np.abs(x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        reason = [FOREST_FEATURES[i] for i in far.argmax(axis=1)]
-        return pd.DataFrame({"txn_id": group["txn_id"].to_numpy(), "customer_id": group["customer_id"].to_numpy(), "score": score, "is_anomaly": (raw > cut) & (span > 0), "confidence": 100 if len(x) >= 30 else 30, "reason": reason})
-
-    return dealt.groupBy("customer_id", "part").applyInPandas(forest, "txn_id long, customer_id long, score double, is_anomaly boolean, confidence long, reason string")
+        fitted = pool.sort_values("_txn_id")[[f"_{n}" for n in FOREST_FEATURES]].to_numpy(float) if len(pool) else x
+        return group[["txn_id", "customer_id", *FOREST_FEATURES]].assign(raw=isolation_scores(x, pool=fitted) if len(x) else np.empty(0))
+
+    by = ["customer_id", "part"]
+    schema = ", ".join(["txn_id long", "customer_id long", *(f"{n} double" for n in FOREST_FEATURES), "raw double"])
+    scored = materialize(dealt.groupBy(*by).cogroup(sample.groupBy("_customer_id", "_part")).applyInPandas(forest, schema), "forests")
+    fit = scored.groupBy("customer_id").agg(F.count("*").alias("_n"), F.min("raw").alias("_lo"), F.max("raw").alias("_hi"), F.percentile("raw", F.lit(1 - contamination)).alias("_cut"), *(x for n in FOREST_FEATURES for x in (F.avg(n).alias(f"_m_{n}"), F.stddev_pop(n).alias(f"_s_{n}"))))
+    span = c("_hi") - c("_lo")
+    far = [F.abs(c(n) - c(f"_m_{n}")) / F.when(c(f"_s_{n}") > 0, c(f"_s_{n}")).otherwise(1.0) for n in FOREST_FEATURES]
+    reason = F.element_at(F.array(*map(F.lit, FOREST_FEATURES)), F.array_position(F.array(*far), F.greatest(*far)).cast("int"))
+    return scored.join(fit, "customer_id").select(
+        "txn_id", "customer_id", F.when(span > 0, rounded((c("raw") - c("_lo")) / span * 100)).otherwise(0.0).alias("score"), ((c("raw") > c("_cut")) & (span > 0)).alias("is_anomaly"),
+        F.when(c("_n") >= 30, 100).otherwise(30).cast("long").alias("confidence"), reason.alias("reason"),
+    )

@@ -157,3 +157,24 @@ def test_long_chains(spark):
     assert got == {(i, n, i + n - 1) for n in range(2, 10) for i in range(1, 14 - n)}
     assert {r.txn_ids for r in network.pattern_layering(df).collect()} == {",".join(map(str, range(i, i + n))) for n in range(3, 13) for i in range(1, 14 - n)}
     assert {r.customer_id: r.chains for r in network.layering_confidence(df).collect()} == {i: 11 - i for i in range(1, 11)}
+
+
+def test_anomalies_of_large_customers_are_comparable(spark):
+    rng = np.random.default_rng(4)
+    rows = [(*txn(i, float(rng.lognormal(5, 1)), sender=1 + (i % 4 == 0), at=NOW + dt.timedelta(minutes=int(rng.integers(0, 9000)))), bool(rng.integers(2))) for i in range(1200)]
+    df = spark.createDataFrame(rows, TXN + ", is_international boolean")
+    whole = {r.txn_id: r for r in models.anomaly_scores(df).collect()}
+    cut = {r.txn_id: r for r in models.anomaly_scores(df, most=320).collect()}
+    assert whole.keys() == cut.keys() and len(cut) == 1200
+    big = [i for i in cut if cut[i].customer_id == 1]
+    # One range, one quantile and one set of means for the customer, however many parts it has.
+    assert sum(cut[i].score == 0 for i in big) == 1 and sum(cut[i].score == 100 for i in big) == 1
+    assert sum(cut[i].is_anomaly for i in big) == 45
+    assert max(cut[i].score for i in big if not cut[i].is_anomaly) <= min(cut[i].score for i in big if cut[i].is_anomaly)
+    assert all(cut[i].reason == whole[i].reason for i in big) and all(cut[i] == whole[i] for i in cut if i not in set(big))
+    # Rows that are equal in all features get equal scores, in whatever part.
+    same = spark.createDataFrame([(*txn(i, 100.0 + i % 7), False) for i in range(900)], TXN + ", is_international boolean")
+    by = {}
+    for r in models.anomaly_scores(same, most=320).collect():
+        by.setdefault(r.txn_id % 7, set()).add(r.score)
+    assert all(len(s) == 1 for s in by.values())
