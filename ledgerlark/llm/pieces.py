@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with the tokenizers library as the backend.
 
 The model's protobuf is parsed here, and its normaliser, space marker, piece scores and byte fallback are rebuilt as a
-tokenizers pipeline. Batches are encoded by that library's threads. Parity with the sentencepiece library is verified on
-every distinct chunk that is encoded, and decoding on every text.
+tokenizers pipeline. Batches are encoded and decoded by that library, with its threads. All that it encodes is also
+given to the sentencepiece library, only to say whether both agree.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from ledgerlark.llm.texts import held, slices, whole_text
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Bytes of text that one pass holds as words and ids.
+PIECE = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,7 +91,8 @@ class Model:
         usable = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER_DEFINED, UNUSED)}
         if letters := {c for p in usable for c in p} - usable.keys():
             raise ValueError(f"{len(letters)} letters of pieces are no pieces themselves")
-        found = [(-self.pieces[i][1], i, usable[p[:k]], usable[p[k:]], p[:k], p[k:]) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
+        halves = ((p, i, p[:k], p[k:]) for p, i in usable.items() for k in range(1, len(p)))
+        found = [(-self.pieces[i][1], i, usable[a], usable[b], a, b) for p, i, a, b in halves if a in usable and b in usable]
         return [f[4:] for f in sorted(found)]
 
     def normalizer(self, prefix: bool):
@@ -105,15 +108,17 @@ class Model:
         from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
         unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
+        name = self.pieces[unknown][0]
         if self.kind == UNIGRAM:
             made = Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=unknown, byte_fallback=self.byte_fallback))
         else:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            made = Tokenizer(models.BPE(vocab, self.merges(), unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback))
+            made = Tokenizer(models.BPE(vocab, self.merges(), unk_token=name, fuse_unk=True, byte_fallback=self.byte_fallback))
         made.normalizer = self.normalizer(prefix)
         if self.apart:
             made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-        made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
+        steps = [decoders.Replace(name, " ⁇ "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        made.decoder = decoders.Sequence([*steps, *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         return made
 
     @property
@@ -123,10 +128,13 @@ class Model:
 
 
 class Codec:
-    """Encodes and decodes whole texts. ``wrong`` counts chunks (or texts) where the two libraries disagreed; these take
-    the ids of sentencepiece."""
+    """Encodes and decodes texts with the tokenizers library; sentencepiece is asked for parity only.
 
-    def __init__(self, path: str, threads: int = 2, most: int = 300_000):
+    Where the model lets words be encoded one by one, a worker remembers the ids of up to ``most`` distinct words, and
+    parity and round trip are verified word by word when a word is first met; else on whole texts. A call of a library gets
+    at most ``batch`` words, as its results take far more memory than the ids that are kept."""
+
+    def __init__(self, path: str, threads: int = 2, most: int = 600_000, batch: int = 4096):
         # Set before the import: the library reads them when it starts its threads.
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -134,76 +142,69 @@ class Codec:
 
         with open(path, "rb") as f:
             data = f.read()
-        self.model = Model.parse(data)
+        model = Model.parse(data)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.whole, self.chunks = self.model.tokenizer(), self.model.tokenizer(prefix=False)
-        # Chunks between spaces are encoded apart where nothing rewrites or drops spaces.
-        self.by_chunk = self.model.apart and self.model.dummy_prefix and not (self.model.charsmap or self.model.squeeze)
-        self.memo: dict[str, tuple[bytes, bool]] = {}
-        self.most = most
-        self.table = [self._bytes(p, kind) for p, _, kind in self.model.pieces]
-
-    @staticmethod
-    def _bytes(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        return {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}.get(kind, piece.replace(MARK, " ").encode())
-
-    def _both(self, texts: list[str], ours: list[list[int]]) -> list[tuple[bytes, bool]]:
-        theirs = self.reference.encode(texts, num_threads=1)
-        return [(np.array(b, "<u4").tobytes(), a == b) for a, b in zip(ours, theirs, strict=True)]
-
-    def _learn(self, keys: list[str]) -> None:
-        """A key stands for the marker and the key, its own leading spaces as markers."""
-        ours = [e.ids for e in self.chunks.encode_batch([MARK + k.replace(" ", MARK) for k in keys], add_special_tokens=False)]
-        self.memo.update(zip(keys, self._both(keys, ours), strict=True))
-        if "" in keys:  # a space at the end of a text; alone, sentencepiece takes an empty text to have no marker
-            self.memo[""] = (np.array([self.reference.piece_to_id(MARK)], "<u4").tobytes(), ours[keys.index("")] == [self.reference.piece_to_id(MARK)])
-
-    def encode(self, texts: list[str], runs=re.compile(" +[^ ]*|[^ ]+").findall) -> list[tuple[np.ndarray, bool]]:
-        """(ids, whether both libraries agree) of each text."""
+        # Words are encoded apart where nothing rewrites or drops spaces.
+        self.by_word = model.apart and model.dummy_prefix and not (model.charsmap or model.squeeze)
+        self.prefix = model.dummy_prefix
+        self.tokenizer = model.tokenizer(prefix=not self.by_word)
+        self.silent = np.array([kind == CONTROL for _, _, kind in model.pieces])
+        self.memo: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        self.lossy: set[str] = set()
+        self.most, self.batch = most, batch
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), self.batch):
+            some = words[k : k + self.batch]
+            marked = [MARK + w.replace(" ", MARK) for w in some]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+            self.memo.update(zip(some, [struct.pack(f"<{len(ids)}I", *ids) for ids in found], strict=True))
+            theirs = self.reference.encode(some, num_threads=1)
+            # A space that ends a text is a lone marker; sentencepiece takes an empty text to have none.
+            self.odd.update(w for w, a, b in zip(some, found, theirs, strict=True) if a != (b if w else [self.reference.piece_to_id(MARK)]))
+            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            self.lossy.update(w for w, b in zip(some, back, strict=True) if w != b)
+
+    def encode(self, texts: list[str], runs=re.compile(" +[^ ]*|[^ ]+").findall) -> list[tuple[np.ndarray, bool, bool]]:
+        """Of each text: its ids, whether sentencepiece gives the same ones, and whether decoding gives the text back."""
+        if not self.by_word:
+            ids = [np.array(e.ids, "<u4") for k in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
+            theirs = self.reference.encode(texts, num_threads=1)
+            return [(a, a.tolist() == b, self.normal(t) == d) for a, b, t, d in zip(ids, theirs, texts, self.decode(ids), strict=True)]
         if len(self.memo) > self.most:
             self.memo.clear()
-        keys: list[list[str] | None] = []
-        for t in texts:
-            if not self.by_chunk or MARK in t:
-                keys.append(None)
-            elif not t:
-                keys.append([])
-            else:
-                keys.append([k[1:] for k in runs(" " + t)] if "  " in t or t[0] == " " else t.split(" "))
+            self.odd.clear()
+            self.lossy.clear()
+        # A word is what follows a space (or the start of the text), with any further spaces before it. A marker that
+        # stands in the text counts as a space.
+        texts = [t.replace(MARK, " ") if MARK in t else t for t in texts]
+        words = [[] if not t else t.split(" ") if "  " not in t and t[0] != " " else [w[1:] for w in runs(" " + t)] for t in texts]
         missing: set[str] = set()
-        for k in keys:
-            missing.update(filterfalse(self.memo.__contains__, k or ()))
-        if missing:
-            self._learn(list(missing))
-        out: list[tuple[np.ndarray, bool]] = []
-        rest = [t for t, k in zip(texts, keys, strict=True) if k is None]
-        direct = iter(self._both(rest, [e.ids for e in self.whole.encode_batch(rest, add_special_tokens=False)]) if rest else ())
-        wrong = {k for k in missing if not self.memo[k][1]} | {k for k in self.wrong if k in self.memo} if missing else self.wrong
-        self.wrong = wrong
-        for k in keys:
-            if k is None:
-                data, agree = next(direct)
-            else:
-                data = b"".join([self.memo[x][0] for x in k])
-                agree = not wrong or wrong.isdisjoint(k)
-            out.append((np.frombuffer(data, "<u4"), agree))
-        for k in [k for k in missing if len(k) > 48]:
-            del self.memo[k]
+        for found in words:
+            missing.update(filterfalse(self.memo.__contains__, found))
+        self._learn(list(missing))
+        out = []
+        for found in words:
+            ids = np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4")
+            out.append((ids, not self.odd or self.odd.isdisjoint(found), not self.lossy or self.lossy.isdisjoint(found)))
+        for w in (w for w in missing if len(w) > 48):
+            del self.memo[w]
+            self.odd.discard(w)
+            self.lossy.discard(w)
         return out
 
-    wrong: set[str] = frozenset()
-
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The text of each array of ids; control pieces are silent."""
+        spoken = [x[~self.silent[x]].tolist() for x in ids]
+        return self.tokenizer.decode_batch(spoken, skip_special_tokens=False)
 
     def normal(self, text: str) -> str:
-        """What decoding gives back: the text itself, unless the model's normaliser rewrites it."""
-        if self.by_chunk and MARK not in text:
-            return text
-        return self.whole.normalizer.normalize_str(text).replace(MARK, " ")[1 if self.model.dummy_prefix else 0 :]
+        """What decoding gives back: the text itself, unless the model's normaliser rewrites it. A marker that stands in
+        the text reads as a space, as in sentencepiece."""
+        if self.by_word:
+            return text.replace(MARK, " ")
+        return self.tokenizer.normalizer.normalize_str(text).replace(MARK, " ")[1 if self.prefix else 0 :]
 
 
 def _codec(path: str) -> Codec:
@@ -213,51 +214,57 @@ def _codec(path: str) -> Codec:
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` (array of ints) and ``parity`` of every text. A null text is an empty one and has no ids; a null
-    id stays null; repeated rows are encoded each; empty tables give no rows. No shuffle."""
+    """``doc_id``, ``ids`` (array of ints) and ``parity`` of every text: the ids are the tokenizers library's, and parity
+    says whether sentencepiece gives the same ones, word by word where words are encoded one by one. A null text is an empty one and has no ids; a null id
+    stays null; repeated rows are encoded each; empty tables give no rows; other columns stay behind. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", PIECE):
                 found = codec.encode(batch.column("text").to_pylist())
-                ends = np.cumsum([0, *(len(ids) for ids, _ in found)]).astype(np.int32)
-                values = pa.array(np.concatenate([ids for ids, _ in found]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values), pa.array([ok for _, ok in found])], names=["doc_id", "ids", "parity"])
+                ends = np.cumsum([0, *(len(ids) for ids, _, _ in found)]).astype(np.int32)
+                values = pa.array(np.concatenate([ids for ids, _, _ in found]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends), values)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([same for _, same, _ in found])], names=["doc_id", "ids", "parity"])
 
     return whole_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, parity boolean")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id`` and ``text`` from ``doc_id`` and ``ids``; null ids give an empty text."""
+    """``doc_id`` and ``text`` from ``doc_id`` and ``ids``; null ids give an empty text, null entries are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for batch in batches:
-            texts = [codec.decode(np.array(ids or (), np.int64)) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids = [np.array([i for i in x or () if i is not None], np.int64) for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codec.decode(ids), pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def piece_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text: ``doc_id``, ``n_bytes``, ``n_pieces``, ``ids_crc32`` (of the ids as little-endian 32-bit integers),
-    ``parity`` (both libraries give these ids) and ``round_trip`` (decoding gives the text back). Cases as in
-    ``encode_pieces``; ids never leave the task that makes them."""
+    ``parity`` (sentencepiece gives these ids) and ``round_trip`` (the tokenizers decoder gives the text back). Cases as in ``encode_pieces``; ids never leave the task that makes them."""
+    names = ["doc_id", "n_bytes", "n_pieces", "ids_crc32", "parity", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                texts = batch.column("text").to_pylist()
-                found = codec.encode(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"), pc.binary_length(batch.column("text")).cast(pa.int64()),
-                        pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([zlib.crc32(ids) for ids, _ in found], pa.int64()),
-                        pa.array([ok for _, ok in found]), pa.array([codec.decode(ids) == codec.normal(t) for (ids, _), t in zip(found, texts, strict=True)]),
-                    ],
-                    names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "parity", "round_trip"],
-                )
-
-    return whole_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, parity boolean, round_trip boolean")
+            for batch in slices(whole, "text", PIECE):
+                text = batch.column("text")
+                ids, same, back = zip(*codec.encode(text.to_pylist()), strict=True)
+                columns = [
+                    batch.column("doc_id"),
+                    pc.binary_length(text).cast(pa.int64()),
+                    pa.array(map(len, ids), pa.int64()),
+                    pa.array(map(zlib.crc32, ids), pa.int64()),
+                    pa.array(same),
+                    pa.array(back),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, parity boolean, round_trip boolean"
+    return whole_text(docs, id_col, text_col).mapInArrow(run, schema)

@@ -14,16 +14,41 @@ def texts(n=600):
     rng = random.Random(6)
     words = ["the", "Tion", "it's", "<s>", "</s>", "<unk>", "<0x0A>", "é", "naïve", "12", "日本", "🙂", "wh.\nAnd", "tab\there", "##", "▁x", "aaaa", "\x00", "ﬁ", "ğş", "\r\n", "abab", "anan", "nana"]
     out = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", "    ", "", "\n"]) for _ in range(rng.randrange(50))) for _ in range(n)]
-    return [*out, "", " ", "  ", " a", "a ", "a  ", "\n", "word" * 3000, "a  " * 2000, "▁", "a▁ b"]
+    return [*out, "", " ", "  ", " a", "a ", "a  ", "\n", "word" * 3000, "a  " * 2000, "▁", "a▁ b", "▁ ", "▁ ▁ a", " ▁"]
 
 
 def test_equals_sentencepiece():
     reference, codec = sentencepiece.SentencePieceProcessor(model_file=PATH), Codec(PATH)
-    for t, (ids, agree) in zip(texts(), codec.encode(texts()), strict=True):
+    found = codec.encode(texts())
+    whole = codec.decode([ids for ids, _, _ in found])
+    for t, (ids, same, back), text in zip(texts(), found, whole, strict=True):
         assert ids.tolist() == reference.encode(t), repr(t)
-        assert agree, repr(t)
-        assert codec.decode(ids) == codec.normal(t)
-    assert [e.ids for e in codec.whole.encode_batch(texts(), add_special_tokens=False)] == reference.encode(texts())
+        assert same and back and text == codec.normal(t)
+
+
+def test_ids_come_from_tokenizers_alone():
+    class Stub:
+        def encode(self, texts, **_):
+            return [[7]] * len(texts)
+
+        def piece_to_id(self, _):
+            return 7
+
+    codec, real = Codec(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    codec.reference = Stub()
+    found = codec.encode(texts())
+    assert [ids.tolist() for ids, _, _ in found] == real.encode(texts())
+    assert not any(same for t, (_, same, _) in zip(texts(), found, strict=True) if t)
+    assert codec.decode([ids for ids, _, _ in found]) == [codec.normal(t) for t in texts()]
+
+
+def test_memo_stays_small():
+    codec = Codec(PATH, most=50)
+    reference = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for t in texts():
+        assert codec.encode([t])[0][0].tolist() == reference.encode(t)
+        assert len(codec.memo) <= 50 + len(t.split(" "))
+        assert all(len(w) <= 48 for w in codec.memo)
 
 
 def message(number, value):
@@ -49,8 +74,9 @@ def test_unigram_model(tmp_path):
     path.write_bytes(data)
     codec, reference = Codec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
     sample = ["".join(rng.choice("abcd é") for _ in range(rng.randrange(40))) for _ in range(300)]
-    for t, (ids, agree) in zip(sample, codec.encode(sample), strict=True):
-        assert ids.tolist() == reference.encode(t) and agree and codec.decode(ids) == t, repr(t)
+    found = codec.encode(sample)
+    for t, (ids, same, back), text in zip(sample, found, codec.decode([ids for ids, _, _ in found]), strict=True):
+        assert ids.tolist() == reference.encode(t) and same and back and text == t, repr(t)
 
 
 def test_frames(spark):
