@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.storage import discard, materialize
+from ledgerlark.functions.storage import materialize
+from ledgerlark.llm.texts import column, spare
 
 #: Hashes have 60 bits; each level of the histogram looks at 12 more of them.
 BITS, STEP = 60, 12
@@ -121,12 +122,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix_sources`` takes it. How often is worked out beside the row, from its
-    own source and id, so null and repeated ids don't multiply."""
-    plan = _plan(_items(docs, id_col, text_col, source_col), weights, cap).select(*(F.col(c).alias(f"_{c}") for c in ("k", "whole", "below")))
-    times = _repeats(hash60(F.col(id_col).cast("long")), F.col("_whole"), F.col("_below"), cap)
-    rows = docs.withColumn("_k", _source_key(F.col(source_col))).join(F.broadcast(plan), "_k").withColumn("_repeats", times).filter(F.col("_repeats") > 0)
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it, with all their columns, whatever their names. How
+    often is worked out beside the row, from its own source and id, so null and repeated ids don't multiply. The plan has
+    one row for each source; being a written table, its size is known, and the planner ships it only where it is small."""
+    key, whole, below, repeats, n = spare(docs, "k", "whole", "below", "repeats", "n")
+    plan = materialize(_plan(_items(docs, id_col, text_col, source_col), weights, cap).select(F.col("k").alias(key), F.col("whole").alias(whole), F.col("below").alias(below)), "plan")
+    times = _repeats(hash60(F.col(id_col).cast("long")), F.col(whole), F.col(below), cap)
+    rows = docs.withColumn(key, _source_key(F.col(source_col))).join(plan, key).withColumn(repeats, times).filter(F.col(repeats) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(repeats)))).select(*map(column, docs.columns))
 
 
 MIX_SQL = r"""

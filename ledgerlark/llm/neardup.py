@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.storage import materialize
 from ledgerlark.llm.bytehash import mix, shingles
-from ledgerlark.llm.texts import held, keyed, slices, trim, unique_ids
+from ledgerlark.llm.texts import column, held, keyed, slices, spare, trim, unique_ids
 from ledgerlark.operators.components import connected_components
 
 #: Bytes of text whose shingles one pass holds.
@@ -204,19 +204,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     )
 
 
-def keep_one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that head their class, and those without an id; all columns stay as they are."""
-    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    (name,) = spare(docs, "gone")
+    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates and copies: that with the smallest id, null last. Rows without words all
     stay. Null and repeated ids don't tell rows apart, so a table with such ids is written once with numbered rows."""
     if unique_ids(docs, id_col):
-        return keep_one_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col))
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    classes = near_duplicates(rows, id_col="_row", text_col=text_col).select(F.col("doc_id").alias("_row"), "class_id")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
-    heads = rows.select("_row", F.col(id_col).alias("_id")).join(classes, "_row").groupBy("class_id").agg(first.alias("_m")).select("_m._row")
-    return rows.join(heads, "_row", "left_semi").select(*docs.columns)
+        return keep_one_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col), id_col)
+    (row,) = spare(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(rows, id_col=row, text_col=text_col).select(F.col("doc_id").alias("row"), "class_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    heads = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id")).join(classes, "row").groupBy("class_id").agg(first.alias("m")).select(F.col("m.row").alias(row))
+    return rows.join(heads, row, "left_semi").select(*map(column, docs.columns))

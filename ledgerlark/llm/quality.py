@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlark.llm.texts import held, slices, whole_text
+from ledgerlark.llm.texts import column, held, slices, spare, whole_text
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -152,8 +152,10 @@ def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns; measured in place, without a shuffle."""
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{m}", T.LongType()) for m in MEASURES)])
+    """The rows of ``docs`` that a policy keeps, with all their columns, whatever their names; measured in place, without a
+    shuffle. Null and empty texts are too short and go; repeated rows and null ids are judged like any other row."""
+    names = dict(zip(MEASURES, spare(docs, *(f"q_{m}" for m in MEASURES)), strict=True))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(names[m], T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("quality")
@@ -163,8 +165,8 @@ def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(MEASURES)))], names=schema.names)
 
     rejected = POLICIES[version].mask | POLICIES["base"].mask
-    tests = [re.sub(r"\bn_\w+|\bword_chars\b", lambda m: f"_q_{m[0]}", test) for bit, (_, test) in enumerate(RULES) if rejected >> bit & 1]
-    return docs.mapInArrow(run, schema).filter("NOT (" + " OR ".join(f"({t})" for t in tests) + ")").select(*(F.col(f"`{c}`") for c in docs.columns))
+    tests = [re.sub(r"\bn_\w+|\bword_chars\b", lambda m: names[m[0]], test) for bit, (_, test) in enumerate(RULES) if rejected >> bit & 1]
+    return docs.mapInArrow(run, schema).filter("NOT (" + " OR ".join(f"({t})" for t in tests) + ")").select(*map(column, docs.columns))
 
 
 def quality_verdicts(docs: DataFrame, version: str = "v2") -> DataFrame:

@@ -45,6 +45,22 @@ def whole_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The given names, each with as many underscores in front as it takes to be none of the frame's columns."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def column(name: str) -> Column:
+    """A column of exactly this name, dots and all."""
+    return F.col(f"`{name}`")
+
+
 def unique_ids(df: DataFrame, id_col: str) -> bool:
     """Whether ids tell rows apart: none is null or stands in two rows."""
     return df.filter(F.col(id_col).isNull()).isEmpty() and df.groupBy(id_col).count().filter("count > 1").isEmpty()

@@ -79,3 +79,19 @@ def test_null_and_repeated_ids(spark):
     want = sum(r.repeats for r in mix_sources(docs).collect())
     before, after = Counter(rows), Counter(many)
     assert len(many) == want and all(after[r] <= 3 * before[r] and after[r] % before[r] == 0 for r in after)
+
+
+def test_clashing_columns_and_nulls(spark):
+    """Columns named like the operators' own, nulls in every column, empty and long texts, repeated rows."""
+    docs = make(spark)
+    long = " ".join(f"long{i % 4000}" for i in range(20_000))
+    odd = [(None, None, None, None, None), (500, None, "en", "a", None), (501, "", "en", None, 0), (502, long, "en", "a", 7), (502, long, "en", "a", 7)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    clash = ["_id", "id", "k", "_k", "repeats", "_repeats", "_n", "n", "gone", "_gone", "row", "_row", "spans", "_spans", "q_n_words", "_q_n_words", "class_id", "whole", "below"]
+    wide = docs.select("*", *(F.lit(f"{c}!").alias(c) for c in clash))
+    for name, stage in C.STAGES[:-1]:
+        plain, wider = stage(spark, docs, ""), stage(spark, wide, "")
+        assert wider.columns == wide.columns, name
+        assert sorted(map(str, wider.select(*docs.columns).collect())) == sorted(map(str, plain.collect())), name
+        assert wider.filter(" OR ".join(f"`{c}` IS DISTINCT FROM '{c}!'" for c in clash)).isEmpty(), name
+    assert C.STAGES[-1][1](spark, wide, "").count() == docs.count()
