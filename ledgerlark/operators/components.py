@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.storage import discard, materialize
 
+#: Tasks that the edges of one node spread over in a join.
+SALTS = 8
+
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     """Number of edges and a checksum of them, in one row."""
@@ -14,18 +17,24 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1] or 0)
 
 
+def _with_least(edges: DataFrame, key: str) -> DataFrame:
+    """Adds ``m``: the smallest of the smaller neighbours of the node in ``key``, null where it has none. A node may be in
+    any share of the edges, so its edges are dealt over ``SALTS`` tasks."""
+    least = edges.groupBy(F.col("u").alias(key)).agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, [key, "salt"], "left").select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    """Links every larger neighbour of a node to the smallest of the node and its neighbours; edges come with u > v."""
+    return _with_least(edges, "v").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them; edges come with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    both = _with_least(edges, "u")
+    moved = both.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(both.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
