@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.storage import materialize
@@ -133,12 +133,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
 
     # Members of a group in an order that keeps bucket mates close, cut into blocks.
     near = met.groupBy("rep").agg(F.min("hub").alias("hub")).join(groups.withColumnRenamed("node", "rep"), "rep")
-    place = Window.partitionBy("component").orderBy("hub", "rep")
-    placed = materialize(near.select("rep", "component", F.floor((F.row_number().over(place) - 1) / block).cast("int").alias("b")), "blocks")
-    several = placed.groupBy("component").agg(F.max("b").alias("last"))
+    # A sort over all groups numbers them, so that one group of any size spreads over many tasks.
+    place = ("component", "hub", "rep")
+    ordered = near.select(*place).repartitionByRange(*place).sortWithinPartitions(*place)
+    placed = materialize(ordered.select("rep", "component", F.floor(F.monotonically_increasing_id() / block).alias("b")), "blocks")
+    several = placed.groupBy("component").agg((F.max("b") > F.min("b")).alias("several"))
     placed = placed.join(several, "component")
     own = placed.select("rep", "component", F.col("b").alias("x"), F.col("b").alias("y"), F.lit(0).alias("side"))
-    spread = met.join(placed.filter(F.col("last") > 0).select("rep", "component", "b"), "rep").select("band", "bucket", "component", "b").distinct()
+    spread = met.join(placed.filter("several").select("rep", "component", "b"), "rep").select("band", "bucket", "component", "b").distinct()
     meets = spread.alias("p").join(spread.alias("q"), ["band", "bucket"]).filter("p.b < q.b").select("p.component", F.col("p.b").alias("x"), F.col("q.b").alias("y")).distinct()
     cross = [
         placed.join(meets.withColumn("b", F.col(side)), ["component", "b"]).select("rep", "component", "x", "y", F.lit(k).alias("side"))
@@ -155,7 +157,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
                 packed = [np.unique(found[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("units"), pa.array(packed, pa.binary())], names=["rep", "units", "grams"])
 
-    unit = "struct<component:bigint,x:int,y:int,side:int>"
+    unit = "struct<component:bigint,x:bigint,y:bigint,side:int>"
     sets = texts.select(F.col("row").alias("rep"), "text").join(asked, "rep").select("rep", "units", "text").mapInArrow(to_sets, f"rep long, units array<{unit}>, grams binary")
     key = ["component", "x", "y"]
     ordered = sets.select("rep", "grams", F.inline("units")).repartition(*key).sortWithinPartitions(*key, "rep")
@@ -191,17 +193,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     classes = connected_components(edges, "rep", "root").select(F.col("node").alias("rep"), "component")
     counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
     told = reps.select("h1", "h2", "rep", "least", "n_copies").join(counts, "rep", "left").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    told = materialize(told, "told")
     if not unique:
-        told = materialize(told, "told")
         told = told.drop("least").join(told.groupBy("component").agg(F.min("least").alias("least")), "component").withColumn("component", F.col("least"))
-    told = told.select("h1", "h2", "n_copies", F.col("component").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    own_id = F.col("doc_id").isNotNull()
-    return base.select("doc_id", "h1", "h2").join(told, ["h1", "h2"], "left").select(
-        "doc_id",
-        F.when(own_id, F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(own_id, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(own_id, F.coalesce("n_copies", F.lit(1))).otherwise(F.lit(1)).cast("long").alias("n_copies"),
-    )
+    told = told.select("h1", "h2", "n_copies", F.col("component").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # Rows without words or an id are linked to nothing; they share no key with one another.
+    alone = base.filter(F.col("doc_id").isNull() | (F.size("bands") == 0))
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    linked = known.select("doc_id", "h1", "h2").join(told, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "n_copies")
+    return linked.unionByName(alone)
 
 
 def keep_one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
