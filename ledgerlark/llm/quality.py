@@ -7,12 +7,14 @@ Every rule is evaluated once per text. The ledger keeps the measurements and one
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,13 +91,20 @@ def repeat_words(words: list[str]) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measure(text: str, letter=re.compile(r"[^\W\d_]").search) -> tuple[int, ...]:
+@lru_cache(maxsize=1 << 16)
+def is_upper(char: str) -> bool:
+    """Whether a character is an upper-case letter (category Lu)."""
+    return unicodedata.category(char) == "Lu"
+
+
+def measure(text: str, letter=regex.compile(r"\p{L}").search) -> tuple[int, ...]:
+    """The measurements of one text, in the order of ``MEASURES``. Letters are characters of the Unicode categories L*."""
     words = WORDS.findall(text)
     lines = [x for x in text.split("\n") if WORDS.search(x)]
     distinct = set(words)
     lettered = {w for w in distinct if w.isalpha() or letter(w)}
     n_letter = len(words) if len(lettered) == len(distinct) else sum(w in lettered for w in words)
-    upper = sum(map(str.isupper, text)) if not text.islower() and text.lower() != text else 0
+    upper = sum(map(text.count, filter(is_upper, set(text))))
     return (
         len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
         repeat_words(words), len(lines), len(distinct), upper, n_letter,
@@ -129,9 +138,13 @@ def failed_rules(mask: Column) -> Column:
 
 
 def apply_policy(entries: DataFrame, policy: Policy) -> DataFrame:
-    """Adds ``base_failed`` and ``kept`` under a policy's mask; no text is looked at again."""
+    """Adds ``base_failed`` and ``kept`` under a policy's mask, and ``only_rule``: the rule without which the policy would
+    keep the text, null where none or several reject it. No text is looked at again."""
     base = F.col("failed").bitwiseAND(F.lit(POLICIES["base"].mask)) != 0
-    return entries.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0))
+    mask = policy.mask | POLICIES["base"].mask
+    seen = F.col("failed").bitwiseAND(F.lit(mask))
+    only = F.coalesce(*(F.when(seen == F.lit(1 << bit), F.lit(name)) for bit, (name, _) in enumerate(RULES) if mask >> bit & 1))
+    return entries.withColumn("base_failed", base).withColumn("kept", seen == 0).withColumn("only_rule", only)
 
 
 def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
@@ -170,10 +183,13 @@ def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> D
 
 
 def quality_verdicts(docs: DataFrame, version: str = "v2") -> DataFrame:
+    """The ledger with a policy's verdicts; cases as in ``ledger``."""
     return apply_policy(ledger(docs), POLICIES[version])
 
 
 _BITS = " + ".join(f"CASE WHEN {test} THEN {1 << bit} ELSE 0 END" for bit, (_, test) in enumerate(RULES))
+_MASK = POLICIES["v2"].mask | POLICIES["base"].mask
+_NAMES = " ".join(f"WHEN {1 << bit} THEN '{name}'" for bit, (name, _) in enumerate(RULES))
 QUALITY_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -191,8 +207,18 @@ WITH d AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct_words,
-    CAST(length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper, CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS BIGINT) AS n_letter_words
+    CAST(length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS BIGINT) AS n_letter_words
   FROM d LEFT JOIN c ON c.k = d.k
 )
-SELECT *, (failed & {POLICIES["base"].mask}) <> 0 AS base_failed, (failed & {POLICIES["v2"].mask | POLICIES["base"].mask}) = 0 AS kept FROM (SELECT *, CAST({_BITS} AS BIGINT) AS failed FROM m) f
+SELECT *, (failed & {POLICIES["base"].mask}) <> 0 AS base_failed, (failed & {_MASK}) = 0 AS kept, CASE failed & {_MASK} {_NAMES} END AS only_rule
+FROM (SELECT *, CAST({_BITS} AS BIGINT) AS failed FROM m) f
+"""
+
+#: What each rule alone would bring back, from the rows that ``QUALITY_SQL`` gives.
+ABLATION_SQL = f"""
+SELECT 'v2' AS version, rule, count(*) FILTER (WHERE (failed & bit) <> 0) AS n_failed,
+  count(*) FILTER (WHERE (failed & {_MASK}) = bit) AS n_only, count(*) FILTER (WHERE (failed & {_MASK}) = 0) AS n_kept
+FROM ({QUALITY_SQL}) q, (VALUES {", ".join(f"('{name}', {1 << bit})" for bit, (name, _) in enumerate(RULES))}) r(rule, bit)
+GROUP BY rule
 """

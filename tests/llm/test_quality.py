@@ -1,7 +1,9 @@
 import random
 import re
 
-from ledgerlark.llm.quality import POLICIES, RULES, ablations, apply_policy, failed_rules, ledger, measure, quality_verdicts, repeat_words
+import duckdb
+
+from ledgerlark.llm.quality import ABLATION_SQL, POLICIES, QUALITY_SQL, RULES, ablations, apply_policy, failed_rules, ledger, measure, quality_verdicts, repeat_words
 from pyspark.sql import functions as F
 
 GOOD = " ".join(f"Word{i} lower" + ("." if i % 7 == 0 else "") for i in range(60)).lower()
@@ -50,3 +52,21 @@ def test_policies_and_ablations(spark):
     found = {r.rule: r for r in ablations(entries, POLICIES["v2"]).collect()}
     assert len(found) == len(RULES) and found["upper_case"].n_only == 1 and found["too_short"].n_failed == 2 and found["symbols"].n_kept == 1
     assert entries.filter("doc_id = 2").select(failed_rules(F.col("failed"))).first()[0] == ["upper_case"]
+
+
+def test_sql_outside_ascii(spark, tmp_path):
+    """Letters, marks and numbers of many scripts, whole texts, nulls and repeated rows: the same rows in both engines."""
+    rng = random.Random(8)
+    odd = ["½", "²", "Ⅷ", "Ⓐ", "word", "ǅ", "ß", "É", "é", "Ω", "日本", "ªº", "١٢", "_", "12", "x\u0301", "🙂", "ЖЗ", "#", "ſ", "\x85", "\u3000y"]
+    texts = [" ".join(rng.choice(odd) for _ in range(rng.randrange(80))) + rng.choice(["", "\n", "\nÉ É\nÉ É"]) for _ in range(300)]
+    texts += ["½ ½ ² word Ⅷ Ⓐ", None, "", " ", GOOD, GOOD, "É" * 200_000, ("Ä ö " * 9 + "\n") * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, GOOD), (3, texts[3])], "doc_id long, text string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    entries = quality_verdicts(docs)
+    for ours, sql in ((entries, QUALITY_SQL), (ablations(entries, POLICIES["v2"]), ABLATION_SQL)):
+        theirs = con.sql(sql)
+        assert sorted(ours.columns) == sorted(theirs.columns)
+        rows = sorted(repr(tuple(r)) for r in ours.select(*theirs.columns).collect())
+        assert rows == sorted(repr(r) for r in theirs.fetchall())
