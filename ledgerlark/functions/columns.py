@@ -42,6 +42,12 @@ def ago(as_of: dt.datetime | str, **span: int) -> Column:
     return F.expr(f"TIMESTAMP '{as_of}' - INTERVAL '{n}' {unit[:-1].upper()}")
 
 
+def padded(n: Column, width: int) -> Column:
+    """A number with leading zeros up to ``width`` digits; longer ones stay whole."""
+    text = n.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(3.6e9)
 

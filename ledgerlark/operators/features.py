@@ -6,13 +6,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.columns import ago, count_if, money, rounded, stamp, total
+from ledgerlark.functions.columns import ago, count_if, rounded, stamp, total
 from ledgerlark.operators.behavior import deviation, moments
 from ledgerlark.operators.risk import points
 
 # Country sets and weights of the feature matrices.
 HIGH = ["IR", "KP", "SY", "CU", "RU", "BY", "MM", "YE", "LY", "SO", "SD", "ZW", "CD", "CF", "ML", "IQ", "AF"]
 MEDIUM = ["NG", "PK", "UA", "VE", "LB", "TN", "KZ", "UZ", "TM"]
+RISK_HIGH = ["IR", "KP", "SY", "CU", "RU", "BY", "MM", "YE", "LY", "SO", "SD", "ZW", "CD", "CF", "ML", "IQ"]
+SAR_HIGH = ["IR", "KP", "SY", "CU", "RU", "BY", "MM", "YE", "LY", "SO", "SD", "ZW", "CD", "AF"]
+SAR_CODE = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 LEVEL_CODE = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 SEVERITY_WEIGHT = {"low": 1, "medium": 3, "high": 7, "critical": 15}
 
@@ -62,19 +65,31 @@ def customer_features(customers: DataFrame, txns: DataFrame, alerts: DataFrame,
     )
 
 
-RISK_FEATURES = ["txn_count", "total_amount", "avg_amount", "max_amount", "flagged_ratio", "international_ratio", "unique_countries", "high_risk_ratio", "alert_count", "critical_alerts", "risk_level_code", "is_pep", "is_sanctioned", "account_age_days"]
+RISK_FEATURES = [
+    "txn_count", "log_total_amount", "log_avg_amount", "txn_velocity_per_week", "flag_ratio", "intl_ratio", "alert_count", "critical_alerts",
+    "alert_severity_score", "risk_level_code", "is_pep", "is_sanctioned", "is_high_risk_country", "account_age_days",
+]
 
 
 def risk_model_features(customers: DataFrame, txns: DataFrame, alerts: DataFrame, as_of: str, days: int = 180) -> DataFrame:
-    """Fourteen features over a lookback, for the risk model."""
+    """Fourteen features over a lookback, for the risk model. Logarithms are rounded to six digits."""
     c = F.col
     recent = c("created_at") >= ago(as_of, days=days)
-    risky = F.coalesce(c("originating_country").isin(HIGH), F.lit(False)) | F.coalesce(c("destination_country").isin(HIGH), F.lit(False))
-    t = txns.filter(recent & c("from_customer_id").isNotNull()).groupBy(c("from_customer_id").alias("customer_id")).agg(F.count("*").alias("n"), total(c("amount")).alias("s"), F.max("amount").alias("m"), count_if(c("flagged")).alias("f"), count_if(c("is_international")).alias("i"), F.count_distinct("destination_country").alias("u"), count_if(risky).alias("h"))
-    a = alerts.filter(recent).groupBy("customer_id").agg(F.count("*").alias("a"), count_if(c("severity") == "critical").alias("k"))
-    rows = customers.join(t, "customer_id", "left").join(a, "customer_id", "left").na.fill(0, ["n", "s", "m", "f", "i", "u", "h", "a", "k"])
-    d = lambda x: c(x).cast("double")
-    values = [d("n"), d("s"), F.when(c("n") > 0, rounded(c("s") / c("n"))).otherwise(0.0), d("m"), _ratio(c("f"), c("n"), 4), _ratio(c("i"), c("n"), 4), d("u"), _ratio(c("h"), c("n"), 4), d("a"), d("k"), points("risk_level", LEVEL_CODE, 0), c("pep_status").cast("double"), c("sanctions_flag").cast("double"), F.least(F.lit(3650.0), _days_since(c("created_at"), as_of))]
+    t = txns.filter(recent & c("from_customer_id").isNotNull()).groupBy(c("from_customer_id").alias("customer_id")).agg(
+        F.count("*").alias("n"), total(c("amount")).alias("s"), count_if(c("flagged")).alias("f"), count_if(c("is_international")).alias("i")
+    )
+    a = alerts.filter(recent).groupBy("customer_id").agg(
+        F.count("*").alias("a"), count_if(c("severity") == "critical").alias("k"), count_if(c("severity") == "high").alias("h")
+    )
+    rows = customers.join(t, "customer_id", "left").join(a, "customer_id", "left").na.fill(0, ["n", "s", "f", "i", "a", "k", "h"])
+    d = lambda x: x.cast("double")
+    risky = F.coalesce(F.upper("country").isin(RISK_HIGH), F.lit(False)) | F.coalesce(F.upper("nationality").isin(RISK_HIGH), F.lit(False))
+    values = [
+        d(c("n")), rounded(F.log1p("s"), 6), F.when(c("n") > 0, rounded(F.log1p(c("s") / c("n")), 6)).otherwise(0.0),
+        rounded(c("n") / F.lit(max(days / 7, 1.0)), 3), _ratio(c("f"), c("n")), _ratio(c("i"), c("n")), d(c("a")), d(c("k")), d(c("k") * 4 + c("h") * 2 + c("a")),
+        points("risk_level", LEVEL_CODE, 0), F.coalesce(d(c("pep_status")), F.lit(0.0)), F.coalesce(d(c("sanctions_flag")), F.lit(0.0)), d(risky),
+        F.least(F.lit(3650.0), F.coalesce(_days_since(c("created_at"), as_of), F.lit(365.0))),
+    ]
     return rows.select("customer_id", *(v.alias(k) for k, v in zip(RISK_FEATURES, values, strict=True)))
 
 
@@ -87,26 +102,56 @@ def risk_training_set(customers: DataFrame, txns: DataFrame, alerts: DataFrame,
     return risk_model_features(customers, t, a, as_of).join(bad, "customer_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def sar_features(alerts: DataFrame, txns: DataFrame, days: int = 30) -> DataFrame:
-    """Features of each alert from its customer's transactions in the days before it. The velocity change compares the
-    second half of the ordered list with the first."""
+SAR_FEATURES = [
+    "severity_score", "alert_risk_score", "alert_age_hours", "customer_risk_score", "is_pep", "has_sanctions", "txn_count_30d", "total_amount_30d",
+    "flagged_count_30d", "flagged_ratio_30d", "is_international", "high_risk_country_txns", "mean_txn_amount", "max_txn_amount", "std_txn_amount",
+    "off_hours_ratio", "unique_countries", "prior_alerts_count", "prior_cases_count", "txn_velocity_change",
+]
+
+
+def _earlier(alerts: DataFrame, cases: DataFrame) -> DataFrame:
+    """``alert_id, prior_alerts, prior_cases``: alerts and cases of the alert's customer that were opened before it."""
+    c = F.col
+    opened = cases.select("alert_id", c("created_at").alias("at")).join(alerts.select("alert_id", "customer_id"), "alert_id")
+    events = alerts.select("customer_id", "alert_id", c("created_at").alias("at"), F.lit(1).alias("is_alert")).unionByName(
+        opened.select("customer_id", F.lit(None).cast("long").alias("alert_id"), "at", F.lit(0).alias("is_alert"))
+    )
+    before = Window.partitionBy("customer_id").orderBy(F.unix_micros(c("at").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(x).over(before), F.lit(0)).alias(k) for k, x in (("prior_alerts", c("is_alert")), ("prior_cases", 1 - c("is_alert")))]
+    return events.filter(c("customer_id").isNotNull()).select("alert_id", "is_alert", *sums).filter("is_alert = 1").drop("is_alert")
+
+
+def sar_features(alerts: DataFrame, customers: DataFrame, txns: DataFrame, cases: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Twenty features of each alert: the alert, its customer, the customer's transactions in the days before it, and what
+    was opened for that customer earlier. The velocity change compares the second half of the ordered list with the first,
+    from four transactions on."""
     c = F.col
-    t = txns.select(c("from_customer_id").alias("customer_id"), "id", "amount", c("created_at").cast("timestamp").alias("at"), "flagged", "is_international", "transaction_type", "destination_country")
-    joined = alerts.select("alert_id", "customer_id", "severity", c("risk_score").alias("alert_score"), c("created_at").alias("raised_at")).join(t, "customer_id").filter((c("at") <= c("raised_at")) & (c("at") >= c("raised_at") - F.make_interval(days=F.lit(days))))
+    t = txns.select(c("from_customer_id").alias("customer_id"), "id", "amount", c("created_at").cast("timestamp").alias("at"), "flagged", "is_international", "originating_country", "destination_country")
+    raised = alerts.select("alert_id", "customer_id", c("created_at").alias("raised_at"))
+    joined = raised.join(t, "customer_id").filter((c("at") <= c("raised_at")) & (c("at") >= c("raised_at") - F.make_interval(days=F.lit(days))))
     per = Window.partitionBy("alert_id")
     ranked = joined.withColumn("_k", F.row_number().over(per.orderBy("at", "id"))).withColumn("_n", F.count("*").over(per))
-    first = c("_k") <= F.floor(c("_n") / 2)
-    s, q = moments(c("amount"))
+    first, paid, hour = c("_k") <= F.floor(c("_n") / 2), c("amount") != 0, F.hour("at")
+    risky = F.coalesce(c("originating_country").isin(SAR_HIGH), F.lit(False)) | F.coalesce(c("destination_country").isin(SAR_HIGH), F.lit(False))
+    s, q = moments(F.coalesce(c("amount"), F.lit(0.0)))
     rows = ranked.groupBy("alert_id").agg(
-        F.count("*").alias("n"), s.alias("s"), q.alias("q"), F.max("amount").alias("m"), count_if(c("flagged")).alias("f"), count_if(c("is_international")).alias("i"), F.count_distinct("destination_country").alias("u"), count_if(c("transaction_type") == "cash").alias("cash"), count_if(c("transaction_type") == "wire").alias("wire"),
-        count_if(c("amount").between(8000, 9999.99)).alias("band"), count_if(c("amount") % 1000 == 0).alias("r"), F.coalesce(F.sum(F.when(first, money(c("amount")))), F.lit(0)).cast("double").alias("early"), F.coalesce(F.sum(F.when(~first, money(c("amount")))), F.lit(0)).cast("double").alias("late"),
-    )
-    base = alerts.select("alert_id", points("severity", LEVEL_CODE, 0).alias("severity_code"), F.coalesce(c("risk_score"), F.lit(0.0)).alias("alert_score")).join(rows, "alert_id", "left").na.fill(0)
-    change = F.when(c("early") > 0, rounded(c("late") / c("early"), 4)).otherwise(F.when(c("late") > 0, 1.0).otherwise(0.0))
-    return base.select(
-        "alert_id", "severity_code", "alert_score", c("n").cast("double").alias("txn_count"), c("s").alias("total_amount"), F.when(c("n") > 0, rounded(c("s") / c("n"))).otherwise(0.0).alias("avg_amount"), F.when(c("n") > 0, rounded(deviation(c("n"), c("s"), c("q")))).otherwise(0.0).alias("std_amount"),
-        c("m").alias("max_amount"), *(_ratio(c(k), c("n"), 4).alias(f"{name}_ratio") for k, name in (("f", "flagged"), ("i", "international"), ("cash", "cash"), ("wire", "wire"), ("band", "structuring"), ("r", "round"))), c("u").cast("double").alias("unique_countries"), change.alias("velocity_change"),
+        F.count("*").alias("n"), s.alias("s"), q.alias("q"), count_if(paid).alias("p"), F.max(F.when(paid, c("amount"))).alias("m"), count_if(c("flagged")).alias("f"),
+        count_if(c("is_international")).alias("i"), count_if(risky).alias("h"), count_if((hour < 8) | (hour >= 20)).alias("o"),
+        F.count_distinct(F.when(c("destination_country") != "", c("destination_country"))).alias("u"),
+        total(c("amount"), first).alias("early"), total(c("amount"), ~first).alias("late"),
     )
+    d = lambda x: x.cast("double")
+    who = customers.select("customer_id", points(F.lower("risk_level"), SAR_CODE, 1).alias("level"), F.coalesce(d(c("pep_status")), F.lit(0.0)).alias("pep"), F.coalesce(d(c("sanctions_flag")), F.lit(0.0)).alias("listed"))
+    base = alerts.select("alert_id", "customer_id", points(F.lower("severity"), SAR_CODE, 1).alias("severity"), F.coalesce("risk_score", F.lit(0.0)).alias("score"), c("created_at").alias("raised_at"))
+    base = base.join(who, "customer_id", "left").join(rows, "alert_id", "left").join(_earlier(alerts, cases), "alert_id", "left")
+    base = base.na.fill(1.0, ["level"]).na.fill(0, ["pep", "listed", "n", "s", "q", "p", "m", "f", "i", "h", "o", "u", "early", "late", "prior_alerts", "prior_cases"])
+    age = F.greatest(F.lit(0.0), rounded((F.unix_micros(stamp(as_of)) - F.unix_micros(c("raised_at").cast("timestamp"))) / F.lit(3.6e9)))
+    values = [
+        c("severity"), c("score"), age, c("level"), c("pep"), c("listed"), d(c("n")), c("s"), d(c("f")), _ratio(c("f"), c("n"), 4), _ratio(c("i"), c("n"), 4), d(c("h")),
+        F.when(c("p") > 0, rounded(c("s") / c("p"))).otherwise(0.0), rounded(c("m")), rounded(deviation(c("p"), c("s"), c("q"))), _ratio(c("o"), c("n"), 4), d(c("u")),
+        d(c("prior_alerts")), d(c("prior_cases")), F.when((c("n") >= 4) & (c("early") > 0), rounded(c("late") / c("early"), 4)).otherwise(1.0),
+    ]
+    return base.select("alert_id", *(v.cast("double").alias(k) for k, v in zip(SAR_FEATURES, values, strict=True)))
 
 
 def time_features(txns: DataFrame) -> DataFrame:

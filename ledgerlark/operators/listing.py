@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.columns import ago
+from ledgerlark.functions.columns import ago, padded
 
 TYPES = ["deposit", "withdrawal", "transfer", "wire", "payment", "cash"]
 LEVELS = ["low", "medium", "high", "critical"]
@@ -118,7 +118,7 @@ def enrich_transactions(raw: DataFrame, accounts: DataFrame) -> tuple[DataFrame,
     before = hours.select("_hour", F.coalesce(F.sum("n").over(Window.partitionBy("_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     k = F.row_number().over(Window.partitionBy("_hour").orderBy("created_at", "id"))
     numbered = good.withColumn("_k", k).join(before, "_hour")
-    reference = F.concat(F.lit("TXN-"), F.date_format("_day", "yyyyMMdd"), F.lit("-"), F.lpad((F.col("_before") + F.col("_k")).cast("string"), 6, "0"))
+    reference = F.concat(F.lit("TXN-"), F.date_format("_day", "yyyyMMdd"), F.lit("-"), padded(F.col("_before") + F.col("_k"), 6))
     return numbered.withColumn("reference", reference).drop("_day", "_hour", "_before", "_k"), rows.filter(F.col("from_customer_id").isNull())
 
 

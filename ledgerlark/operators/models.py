@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.columns import rounded
 from ledgerlark.functions.storage import materialize
 from ledgerlark.operators.features import RISK_FEATURES, classification_metrics
-from ledgerlark.operators.risk import band
+from ledgerlark.operators.risk import band, points
 
-FOREST_FEATURES = ["amount", "hour", "weekday", "is_international", "off_hours", "type_code", "log_amount"]
+# Features of the forests and codes of transaction types and channels (others: 0).
+FOREST_FEATURES = ["log_amount", "hour", "weekday", "is_international", "is_round", "type_code", "channel_code"]
+TYPE_CODE = {"transfer": 1, "deposit": 2, "withdrawal": 3, "wire": 4, "payment": 5, "cash": 6}
+CHANNEL_CODE = {"online": 1, "branch": 2, "atm": 3, "mobile": 4}
 
 
 def train_risk_model(rows: DataFrame, features: list[str] = RISK_FEATURES, trees: int = 100, seed: int = 42) -> PipelineModel:
@@ -138,9 +141,10 @@ def anomaly_scores(txns: DataFrame, least: int = 10, contamination: float = 0.05
     about ``most`` of the sender's rows (all, where there are no more). Rows are scored in even parts, by a hash, each part
     with the same sample and so the same trees, and a task never holds more than about that many rows of each. Range,
     quantile, means and deviations are the sender's, whatever the number of parts."""
-    h, w, a, c = F.hour("created_at"), F.weekday("created_at"), F.col("amount"), F.col
-    kinds = F.when(F.col("transaction_type") == "cash", 5).when(F.col("transaction_type") == "wire", 4).when(F.col("transaction_type").isin("transfer", "withdrawal"), 3).when(F.col("transaction_type") == "payment", 2).otherwise(1)
-    values = [a, h, w, F.col("is_international").cast("double"), ((h < 6) | (h > 22)).cast("double"), kinds, F.log1p(F.abs(a))]
+    a, c = F.col("amount"), F.col
+    whole = (a > 0) & (a % 500 == 0)
+    codes = points(F.lower("transaction_type"), TYPE_CODE, 0), points(F.lower("channel"), CHANNEL_CODE, 0)
+    values = [F.log1p(a), F.hour("created_at"), F.weekday("created_at"), c("is_international").cast("double"), whole.cast("double"), *codes]
     rows = txns.filter(F.col(key).isNotNull()).select(F.col(key).alias("customer_id"), F.col("id").alias("txn_id"), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for v, n in zip(values, FOREST_FEATURES, strict=True)))
     sizes = rows.groupBy("customer_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     parts = F.ceil(F.col("_n") / most)

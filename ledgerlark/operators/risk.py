@@ -18,10 +18,10 @@ PREDICTED_BASE = {"low": 10, "medium": 35, "high": 60, "critical": 80}
 TOP_BASE = {"low": 10, "medium": 40, "high": 75, "critical": 100}
 
 
-def points(column: str, table: dict[str, float], default: float) -> Column:
-    out = F
+def points(column: str | Column, table: dict[str, float], default: float) -> Column:
+    out, x = F, F.col(column) if isinstance(column, str) else column
     for value, n in table.items():
-        out = out.when(F.col(column) == value, F.lit(float(n)))
+        out = out.when(x == value, F.lit(float(n)))
     return out.otherwise(F.lit(float(default)))
 
 
@@ -84,7 +84,7 @@ def risk_trajectory(customers: DataFrame, txns: DataFrame, alerts: DataFrame, as
     v = c("velocity_score")
     return rows.select(
         "customer_id", "recent_n", "mid_n", "older_n", "recent_amount", "mid_amount", "recent_alerts", "mid_alerts", "recent_ratio", "txn_change", "amount_change", "alert_change", "flag_change", "velocity_score",
-        band(v, (60, 30, 10), ("escalating", "increasing", "stable", "declining")).alias("trend"), F.least(F.lit(100.0), rounded(points("risk_level", PREDICTED_BASE, 35) + v * 0.4, 1)).alias("predicted_score"),
+        band(v, (60, 30, 10), ("escalating", "increasing", "stable", "declining")).alias("trend"), F.least(F.lit(100.0), rounded(points("risk_level", PREDICTED_BASE, 10) + v * 0.4, 1)).alias("predicted_score"),
         F.least(F.lit(95.0), rounded(v * 0.87, 1)).alias("pattern_match"),
     )
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.columns import money, rounded
+from ledgerlark.functions.columns import money, padded, rounded
 
 # Countries that the rules hold to be of high risk.
 HIGH_RISK_COUNTRIES = ["IR", "KP", "SY", "CU", "SD", "RU", "BY", "MM", "AF", "IQ", "LY", "SO", "YE", "VE", "ZW"]
@@ -192,7 +192,7 @@ def generate_alerts(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = F.row_number().over(Window.partitionBy("hour").orderBy("created_at", "txn_id", "rule_id"))
     numbered = alerts.withColumn("k", within).join(before, "hour")
     made = numbered.select(
-        F.concat(F.lit("ALT-"), F.date_format("day", "yyyyMMdd"), F.lit("-"), F.lpad((F.col("before") + F.col("k")).cast("string"), 5, "0")).alias("alert_number"),
+        F.concat(F.lit("ALT-"), F.date_format("day", "yyyyMMdd"), F.lit("-"), padded(F.col("before") + F.col("k"), 5)).alias("alert_number"),
         F.col("txn_id").alias("transaction_id"), "customer_id", "rule_id", "severity", F.lit("open").alias("status"), "reason", "details", "risk_score", "created_at",
     )
     return made, matches.filter(F.col("customer_id").isNull())

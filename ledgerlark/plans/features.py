@@ -38,21 +38,42 @@ FROM aml_customer u LEFT JOIN t ON t.c = u.customer_id LEFT JOIN a ON a.c = u.cu
 
 def _risk(txn: str = "aml_txn", alert: str = "aml_alert", days: int = 180) -> str:
     since = f"created_at >= {NOW} - INTERVAL {days} DAY"
-    return f"""SELECT u.customer_id, {_Z('n')} AS txn_count, {_Z('s')} AS total_amount, CASE WHEN n > 0 THEN {r('s / n')} ELSE 0E0 END AS avg_amount, {_Z('m')} AS max_amount, {_ratio('f', 'n', 4)} AS flagged_ratio, {_ratio('i', 'n', 4)} AS international_ratio, {_Z('k')} AS unique_countries, {_ratio('h', 'n', 4)} AS high_risk_ratio,
-    {_Z('ac')} AS alert_count, {_Z('cr')} AS critical_alerts, {_case('risk_level', X.LEVEL_CODE, 0)} AS risk_level_code, CAST(pep_status AS DOUBLE) AS is_pep, CAST(sanctions_flag AS DOUBLE) AS is_sanctioned, least(3650E0, {_DAYS.format(NOW, 'u.created_at')}) AS account_age_days
-    FROM aml_customer u LEFT JOIN (SELECT from_customer_id AS c, count(*) AS n, {total('amount')} AS s, max(amount) AS m, {cnt('flagged')} AS f, {cnt('is_international')} AS i, count(DISTINCT destination_country) AS k, {cnt(_RISKY)} AS h FROM {txn} WHERE {since} GROUP BY 1) t ON t.c = u.customer_id
-    LEFT JOIN (SELECT customer_id AS c, count(*) AS ac, {cnt("severity = 'critical'")} AS cr FROM {alert} WHERE {since} GROUP BY 1) a ON a.c = u.customer_id"""
+    risky = f"coalesce(upper(country) IN {_in(X.RISK_HIGH)}, false) OR coalesce(upper(nationality) IN {_in(X.RISK_HIGH)}, false)"
+    return f"""SELECT u.customer_id, {_Z('n')} AS txn_count, {r(f"ln(1E0 + {_Z('s')})", 6)} AS log_total_amount, CASE WHEN n > 0 THEN {r('ln(1E0 + s / n)', 6)} ELSE 0E0 END AS log_avg_amount,
+    {r(f"{_Z('n')} / ({days}E0 / 7E0)", 3)} AS txn_velocity_per_week, {_ratio('f', 'n')} AS flag_ratio, {_ratio('i', 'n')} AS intl_ratio, {_Z('ac')} AS alert_count, {_Z('cr')} AS critical_alerts,
+    {_Z('cr')} * 4E0 + {_Z('hi')} * 2E0 + {_Z('ac')} AS alert_severity_score, {_case('risk_level', X.LEVEL_CODE, 0)} AS risk_level_code,
+    CAST(coalesce(pep_status, false) AS DOUBLE) AS is_pep, CAST(coalesce(sanctions_flag, false) AS DOUBLE) AS is_sanctioned, CASE WHEN {risky} THEN 1E0 ELSE 0E0 END AS is_high_risk_country,
+    least(3650E0, coalesce({_DAYS.format(NOW, 'u.created_at')}, 365E0)) AS account_age_days
+    FROM aml_customer u
+    LEFT JOIN (SELECT from_customer_id AS c, count(*) AS n, {total('amount')} AS s, {cnt('flagged')} AS f, {cnt('is_international')} AS i FROM {txn} WHERE {since} GROUP BY 1) t ON t.c = u.customer_id
+    LEFT JOIN (SELECT customer_id AS c, count(*) AS ac, {cnt("severity = 'critical'")} AS cr, {cnt("severity = 'high'")} AS hi FROM {alert} WHERE {since} GROUP BY 1) a ON a.c = u.customer_id"""
 
 
 _TRAIN = f"""WITH lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_customer_id ORDER BY created_at DESC, id DESC) AS rk FROM aml_txn) x WHERE rk <= 50), la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, alert_id DESC) AS rk FROM aml_alert) x WHERE rk <= 5),
 f AS ({_risk('lt', 'la')}) SELECT f.*, CAST(f.customer_id IN (SELECT a.customer_id FROM aml_case c JOIN aml_alert a ON a.alert_id = c.alert_id WHERE c.status IN ('escalated', 'closed')) AS INTEGER) AS label FROM f"""
 _TRAIN_ALL = _TRAIN.replace("rk <= 50)", "rk <= 500)").replace("rk <= 5)", "rk <= 200)")
-_SARF = f"""WITH j AS (SELECT a.alert_id, t.*, row_number() OVER w AS k, count(*) OVER (PARTITION BY a.alert_id) AS c FROM aml_alert a JOIN aml_txn t ON t.from_customer_id = a.customer_id AND t.created_at <= a.created_at AND t.created_at >= a.created_at - INTERVAL 30 DAY WINDOW w AS (PARTITION BY a.alert_id ORDER BY t.created_at, t.id)),
-g AS (SELECT alert_id, count(*) AS n, {_SQ}, max(amount) AS m, {cnt('flagged')} AS f, {cnt('is_international')} AS i, count(DISTINCT destination_country) AS u, {cnt("transaction_type = 'cash'")} AS cash, {cnt("transaction_type = 'wire'")} AS wire, {cnt('amount BETWEEN 8000 AND 9999.99E0')} AS band, {cnt('amount % 1000 = 0')} AS rd,
-  {total('amount', 'k <= floor(c / 2)')} AS early, {total('amount', 'k > floor(c / 2)')} AS late FROM j GROUP BY 1)
-SELECT a.alert_id, {_case('severity', X.LEVEL_CODE, 0)} AS severity_code, coalesce(risk_score, 0E0) AS alert_score, {_Z('n')} AS txn_count, {_Z('s')} AS total_amount, CASE WHEN n > 0 THEN {r('s / n')} ELSE 0E0 END AS avg_amount, CASE WHEN n > 0 THEN {r(_SD)} ELSE 0E0 END AS std_amount, {_Z('m')} AS max_amount,
-  {', '.join(f"{_ratio(k, 'n', 4)} AS {name}_ratio" for k, name in (("f", "flagged"), ("i", "international"), ("cash", "cash"), ("wire", "wire"), ("band", "structuring"), ("rd", "round")))}, {_Z('u')} AS unique_countries, CASE WHEN early > 0 THEN {r('late / early', 4)} WHEN late > 0 THEN 1E0 ELSE 0E0 END AS velocity_change
-FROM aml_alert a LEFT JOIN g ON g.alert_id = a.alert_id"""
+_SAR_RISKY = f"(coalesce(originating_country IN {_in(X.SAR_HIGH)}, false) OR coalesce(destination_country IN {_in(X.SAR_HIGH)}, false))"
+_SARF = f"""WITH j AS (
+  SELECT a.alert_id, t.*, row_number() OVER w AS k, count(*) OVER (PARTITION BY a.alert_id) AS c
+  FROM aml_alert a JOIN aml_txn t ON t.from_customer_id = a.customer_id AND t.created_at <= a.created_at AND t.created_at >= a.created_at - INTERVAL 30 DAY
+  WINDOW w AS (PARTITION BY a.alert_id ORDER BY t.created_at, t.id)
+), g AS (
+  SELECT alert_id, count(*) AS c, {cnt('amount <> 0')} AS n, {_SQ}, max(amount) FILTER (WHERE amount <> 0) AS m, {cnt('flagged')} AS f, {cnt('is_international')} AS i, {cnt(_SAR_RISKY)} AS h,
+    {cnt('hour(created_at) < 8 OR hour(created_at) >= 20')} AS o, count(DISTINCT CASE WHEN destination_country <> '' THEN destination_country END) AS u,
+    {total('amount', 'k <= floor(c / 2)')} AS early, {total('amount', 'k > floor(c / 2)')} AS late
+  FROM j GROUP BY 1
+), pa AS (
+  SELECT a.alert_id, count(*) AS pa FROM aml_alert a JOIN aml_alert b ON b.customer_id = a.customer_id AND b.created_at < a.created_at GROUP BY 1
+), pc AS (
+  SELECT a.alert_id, count(*) AS pc FROM aml_alert a JOIN aml_alert b ON b.customer_id = a.customer_id JOIN aml_case x ON x.alert_id = b.alert_id AND x.created_at < a.created_at GROUP BY 1
+)
+SELECT a.alert_id, {_case('lower(severity)', X.SAR_CODE, 1)} AS severity_score, coalesce(risk_score, 0E0) AS alert_risk_score,
+  greatest(0E0, {r(f'(epoch_us({NOW}) - epoch_us(a.created_at)) / 3.6E9')}) AS alert_age_hours, {_case('lower(risk_level)', X.SAR_CODE, 1)} AS customer_risk_score,
+  CAST(coalesce(pep_status, false) AS DOUBLE) AS is_pep, CAST(coalesce(sanctions_flag, false) AS DOUBLE) AS has_sanctions, {_Z('c')} AS txn_count_30d, {_Z('s')} AS total_amount_30d,
+  {_Z('f')} AS flagged_count_30d, {_ratio('f', 'c', 4)} AS flagged_ratio_30d, {_ratio('i', 'c', 4)} AS is_international, {_Z('h')} AS high_risk_country_txns,
+  CASE WHEN n > 0 THEN {r('s / n')} ELSE 0E0 END AS mean_txn_amount, {_Z(r('m'))} AS max_txn_amount, {_Z(r(_SD))} AS std_txn_amount, {_ratio('o', 'c', 4)} AS off_hours_ratio,
+  {_Z('u')} AS unique_countries, {_Z('pa')} AS prior_alerts_count, {_Z('pc')} AS prior_cases_count, CASE WHEN c >= 4 AND early > 0 THEN {r('late / early', 4)} ELSE 1E0 END AS txn_velocity_change
+FROM aml_alert a LEFT JOIN aml_customer v ON v.customer_id = a.customer_id LEFT JOIN g ON g.alert_id = a.alert_id LEFT JOIN pa ON pa.alert_id = a.alert_id LEFT JOIN pc ON pc.alert_id = a.alert_id"""
 
 
 def _s(a: str, b: str) -> str:
@@ -77,7 +98,7 @@ PLANS = {
     "risk_model_features": (lambda t: X.risk_model_features(t.aml_customer, t.aml_txn, t.aml_alert, AT), _risk()),
     "risk_training_set": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT, 50, 5), _TRAIN),
     "risk_training_set_whole": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), _TRAIN_ALL),
-    "sar_features": (lambda t: X.sar_features(t.aml_alert, t.aml_txn), _SARF),
+    "sar_features": (lambda t: X.sar_features(t.aml_alert, t.aml_customer, t.aml_txn, t.aml_case, AT), _SARF),
     "time_features": (
         lambda t: X.time_features(t.aml_txn),
         "SELECT id, CAST(hour(created_at) AS INTEGER) AS hour, CAST(isodow(created_at) - 1 AS INTEGER) AS weekday, CAST(month(created_at) AS INTEGER) AS month, CAST(isodow(created_at) >= 6 AS INTEGER) AS is_weekend, CAST(hour(created_at) < 8 OR hour(created_at) >= 20 AS INTEGER) AS is_off_hours FROM aml_txn",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import listing as L
-from ledgerlark.plans.sql import AT, NOW
+from ledgerlark.plans.sql import AT, NOW, padded
 
 _TXN = "id, from_customer_id, to_customer_id, amount, transaction_type, flagged, created_at"
 _COLS = [c.strip() for c in _TXN.split(",")]
@@ -64,7 +64,7 @@ PLANS = {
     ),
     "enrich_transactions": (
         lambda t: L.enrich_transactions(_raw(t), t.aml_account)[0].select("id", "reference", "from_customer_id", "to_customer_id", "is_international"),
-        f"""SELECT r.id, 'TXN-' || strftime(r.created_at, '%Y%m%d') || '-' || lpad(CAST(row_number() OVER (PARTITION BY CAST(r.created_at AS DATE) ORDER BY r.created_at, r.id) AS VARCHAR), 6, '0') AS reference,
+        f"""SELECT r.id, 'TXN-' || strftime(r.created_at, '%Y%m%d') || '-' || {padded('row_number() OVER (PARTITION BY CAST(r.created_at AS DATE) ORDER BY r.created_at, r.id)', 6)} AS reference,
         a.customer_id AS from_customer_id, b.customer_id AS to_customer_id, coalesce(originating_country <> destination_country, false) AS is_international
         FROM ({_RAW}) r JOIN aml_account a ON a.account_id = from_account_id LEFT JOIN aml_account b ON b.account_id = to_account_id""",
     ),

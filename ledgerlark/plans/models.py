@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.storage import materialize
 from ledgerlark.operators import features as X
 from ledgerlark.operators import models as M
 from ledgerlark.plans.sql import AT, total
 from ledgerlark.streaming.jobs import customer_sessions
 
-SAR = ["txn_count", "total_amount", "avg_amount", "max_amount", "flagged_ratio", "international_ratio", "alert_score", "severity_code"]
-
 
 def _risk(t):
-    rows = X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT)
+    rows = materialize(X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), "risk-features")
     return M.predict_risk(M.train_risk_model(rows), rows)
 
 
 def _sar(t):
     filed = t.aml_case.filter("sar_filed").select("alert_id", F.lit(1).alias("label"))
-    rows = X.sar_features(t.aml_alert, t.aml_txn).join(filed, "alert_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    return M.predict_sar(M.train_sar_classifier(rows, SAR), rows)
+    rows = X.sar_features(t.aml_alert, t.aml_customer, t.aml_txn, t.aml_case, AT).join(filed, "alert_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    rows = materialize(rows, "sar-features")
+    return M.predict_sar(M.train_sar_classifier(rows, X.SAR_FEATURES), rows)
 
 
 PLANS = {

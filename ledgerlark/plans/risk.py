@@ -58,7 +58,7 @@ v AS (SELECT *, least(100E0, {_steps('txn_change', (50, 15), (20, 8))} + {_steps
   + {_steps('recent_critical', (0, 15))} + {_steps('recent_high', (1, 10))} + {_steps('recent_countries - mid_countries', (2, 10))}) AS velocity_score FROM d)
 SELECT customer_id, recent_n, mid_n, older_n, recent_amount, mid_amount, recent_alerts, mid_alerts, recent_ratio, txn_change, amount_change, alert_change, flag_change, velocity_score,
   CASE WHEN velocity_score >= 60 THEN 'escalating' WHEN velocity_score >= 30 THEN 'increasing' WHEN velocity_score >= 10 THEN 'stable' ELSE 'declining' END AS trend,
-  least(100E0, {r(f"{_case('risk_level', K.PREDICTED_BASE, 35)} + velocity_score * 0.4E0", 1)}) AS predicted_score, least(95E0, {r('velocity_score * 0.87E0', 1)}) AS pattern_match FROM v"""
+  least(100E0, {r(f"{_case('risk_level', K.PREDICTED_BASE, 10)} + velocity_score * 0.4E0", 1)}) AS predicted_score, least(95E0, {r('velocity_score * 0.87E0', 1)}) AS pattern_match FROM v"""
 
 _BATCH = f"""
 WITH a AS (SELECT customer_id, count(*) AS n FROM aml_alert WHERE created_at >= {_ago(30)} AND status <> 'false_positive' GROUP BY 1),

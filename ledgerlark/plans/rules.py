@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import rules as R
+from ledgerlark.plans.sql import padded
 
 COLUMNS = ("txn_id", "customer_id", "rule_id", "rule_name", "category", "severity", "reason", "risk_score")
 
@@ -75,7 +76,7 @@ PLANS["evaluate_rules"] = (lambda t: _all(t).select(*COLUMNS), _EVERY)
 PLANS["generate_alerts"] = (
     lambda t: R.generate_alerts(_all(t))[0].select("alert_number", "transaction_id", "customer_id", "rule_id", "severity", "status", "reason", "risk_score"),
     f"""SELECT 'ALT-' || strftime(t.created_at, '%Y%m%d') || '-' ||
-      lpad(CAST(row_number() OVER (PARTITION BY CAST(t.created_at AS DATE) ORDER BY t.created_at, m.txn_id, m.rule_id) AS VARCHAR), 5, '0') AS alert_number,
+      {padded('row_number() OVER (PARTITION BY CAST(t.created_at AS DATE) ORDER BY t.created_at, m.txn_id, m.rule_id)', 5)} AS alert_number,
       m.txn_id AS transaction_id, m.customer_id, m.rule_id, m.severity, 'open' AS status, m.reason, m.risk_score
     FROM ({_EVERY}) m JOIN aml_txn t ON t.id = m.txn_id WHERE m.customer_id IS NOT NULL""",
 )
@@ -86,9 +87,8 @@ PLANS["flag_transactions"] = (
 )
 PLANS["rules_throughput"] = (
     lambda t: R.evaluate_rules(
-        t.aml_txn_big.withColumns({"currency": F.lit("USD"), "originating_country": F.lit(None).cast("string"), "destination_country": F.lit(None).cast("string")}),
-        t.aml_customer, t.aml_rule.filter(F.col("category").isin("large_transaction", "structuring", "frequency", "velocity", "round_amount")),
+        t.aml_txn_big, t.aml_customer, t.aml_rule,
     ).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("risk_score").alias("least"), F.max("risk_score").alias("most")),
     "SELECT rule_id, count(*) AS n, min(risk_score) AS least, max(risk_score) AS most FROM ("
-    + "\nUNION ALL\n".join(f"({_SQL[c].replace('aml_txn', 'aml_txn_big')})" for c in ("large_transaction", "structuring", "frequency", "velocity", "round_amount")) + ") e GROUP BY rule_id",
+    + "\nUNION ALL\n".join(f"({_SQL[c].replace('aml_txn', 'aml_txn_big')})" for c in _SQL) + ") e GROUP BY rule_id",
 )

@@ -26,6 +26,10 @@ def cnt(when: str) -> str:
     return f"count(*) FILTER (WHERE {when})"
 
 
+def padded(x: str, width: int) -> str:
+    return f"(CASE WHEN ({x}) < {10 ** (width - 1)} THEN lpad(CAST({x} AS VARCHAR), {width}, '0') ELSE CAST({x} AS VARCHAR) END)"
+
+
 def big(x: str) -> str:
     return f"coalesce(CAST({x} AS BIGINT), 0)"
 

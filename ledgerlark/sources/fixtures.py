@@ -15,7 +15,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["aml_customer"] = """
 SELECT c_custkey AS customer_id,
-  concat('CUS-', lpad(CAST(c_custkey AS STRING), 6, '0')) AS customer_number,
+  concat('CUS-', CASE WHEN c_custkey < 100000 THEN lpad(CAST(c_custkey AS STRING), 6, '0') ELSE CAST(c_custkey AS STRING) END) AS customer_number,
   c_name AS full_name,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('u', CAST(c_custkey AS STRING), '@mail.example') END AS email,
   CASE WHEN c_custkey % 40 = 7 THEN NULL ELSE substr('USDEGBFRIRKPRUBYCNNGPKAFMXITJPKRBRAESYCUVEZWCOINES', CAST(c_nationkey AS INT) * 2 + 1, 2) END AS nationality,
@@ -63,7 +63,9 @@ FROM (
 
 VIEWS["aml_txn_big"] = """
 SELECT l.l_orderkey * 10 + l.l_linenumber AS id, o.o_custkey AS from_customer_id, l.l_suppkey AS to_customer_id,
-  l.l_extendedprice AS amount, 'transfer' AS transaction_type,
+  l.l_extendedprice AS amount, 'USD' AS currency, 'transfer' AS transaction_type,
+  substr('USDEGBFRIRKPRUBYCNNGPKAFMXITJPKRBRAESYCUVEZWCOINES', CAST(o.o_custkey % 25 AS INT) * 2 + 1, 2) AS originating_country,
+  substr('USDEGBFRIRKPRUBYCNNGPKAFMXITJPKRBRAESYCUVEZWCOINES', CAST(l.l_suppkey % 25 AS INT) * 2 + 1, 2) AS destination_country,
   CAST(l.l_shipdate AS TIMESTAMP) + ((l.l_orderkey % 86400) * INTERVAL '1' SECOND) AS created_at
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
