@@ -143,7 +143,7 @@ def anomaly_scores(txns: DataFrame, least: int = 10, contamination: float = 0.05
     quantile, means and deviations are the sender's, whatever the number of parts."""
     a, c = F.col("amount"), F.col
     whole = (a > 0) & (a % 500 == 0)
-    codes = points(F.lower("transaction_type"), TYPE_CODE, 0), points(F.lower("channel"), CHANNEL_CODE, 0)
+    codes = points(F.lower("transaction_type"), TYPE_CODE, 0), points(F.lower("channel"), CHANNEL_CODE, 0) if "channel" in txns.columns else F.lit(0.0)
     values = [F.log1p(a), F.hour("created_at"), F.weekday("created_at"), c("is_international").cast("double"), whole.cast("double"), *codes]
     rows = txns.filter(F.col(key).isNotNull()).select(F.col(key).alias("customer_id"), F.col("id").alias("txn_id"), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for v, n in zip(values, FOREST_FEATURES, strict=True)))
     sizes = rows.groupBy("customer_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
