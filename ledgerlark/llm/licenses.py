@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-A candidate block (lines around a licensing cue) is compressed on its own and with each template as zstandard raw
-dictionary. Templates are ranked by how much smaller the block becomes; the best few are confirmed, or refused, by the
-exact differences in wording.
+Every word that names licensing lines the text up with each template that has this word: the words where the template
+would stand are a candidate block. A block is compressed on its own and with its template as zstandard raw dictionary.
+Those that save too little go; the others are ranked by how many bytes that saves, and confirmed, or refused, by the exact
+differences in wording. Of confirmed ones that overlap, that with the most words in agreement stays.
 """
 
 from __future__ import annotations
@@ -16,9 +17,38 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.texts import slices, whole_text
+from ledgerlark.llm.texts import held, slices, whole_text
 
 # Wordings of public licenses and notices, by SPDX name or notice.
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal '
+    "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+    "and this permission notice shall be included in all copies or substantial portions of the Software. "
+)
+_MIT_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+    "specific prior written permission. "
+)
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -30,15 +60,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal '
-        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
-        "and this permission notice shall be included in all copies or substantial portions of the Software.",
+        _MIT.strip(),
+        _MIT + _MIT_AS_IS,
     ),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", _BSD + _BSD_AS_IS),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", _BSD + _BSD_NAMES + _BSD_AS_IS),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies.",
+    ),
+    "Zlib": (
+        "Licensed under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions:",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     ),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."),
     "GPL-3.0": (
@@ -62,11 +103,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "All-rights-reserved": ("All rights reserved.",),
 }
-#: Lower-case strings one of which every candidate line holds.
-CUES = ("licen", "copyright", "all rights reserved", "permission is hereby", "redistribut", "public domain", "cc0", "cc by", "creative commons", "mozilla.org/mpl")
+#: Every wording has a word with one of these in it, by which it is lined up with a text.
+CUES = ("licen", "copyright", "reserved", "permission", "redistribut", "domain", "cc0", "cc by", "commons", "mpl")
 
-CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
 WORD = re.compile(r"[\w.+-]*\w", re.UNICODE)
+STOPS = re.compile(r"[/.,:;!?)\"']*")
+#: A word that names licensing; "cc" stands for "cc by".
+CUE_WORD = re.compile("|".join(c.split(" ")[0] + ("$" if " " in c else "") for c in CUES))
 
 
 def words_of(text: str) -> list[str]:
@@ -74,121 +117,118 @@ def words_of(text: str) -> list[str]:
 
 
 class Scanner:
-    """Ranks and confirms templates for blocks. A confirmed template has at least ``least`` of its words, in order, in the
-    block, and every word with a digit or of its name (the words that tell licenses apart) among them, side by side with
-    no other word put in between."""
+    """Ranks and confirms templates. A confirmed template has at least ``least`` of its words, in order, in the block, with
+    at most as many other words put in between as may be missing, and every word with a digit among them (such words tell
+    licenses apart). Templates of up to ``short`` words are confirmed word for word."""
 
-    def __init__(self, level: int = 3, winners: int = 3, least: float = 0.9, saving: float = 0.25):
-        self.winners, self.least, self.saving = winners, least, saving
+    def __init__(self, level: int = 3, least: float = 0.9, saving: float = 0.25, short: int = 12):
+        self.least, self.saving, self.short = least, saving, short
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.templates = []
+        self.templates: list[tuple[str, list[str], zstandard.ZstdCompressor]] = []
+        #: Where each cue word stands: (template, place in it).
+        self.places: dict[str, list[tuple[int, int]]] = {}
         for name, wordings in TEMPLATES.items():
-            for wording in wordings:
-                shared = zstandard.ZstdCompressionDict(" ".join(words_of(wording)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, words_of(wording), zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_dict_id=False)))
-        self.memo: dict[str, tuple[str, float, str, str] | None] = {}
-
-    def best(self, block: str, trim: bool = False) -> tuple[str, float, str, str] | None:
-        """(license, share of bytes saved, template words that are missing, words added inside the wording). With ``trim``
-        the block may hold more words around the notice."""
-        key = " ".join(words_of(block)) + "\n" * trim
-        if key not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            self.memo[key] = self._best(key.rstrip("\n"), trim)
-        return self.memo[key]
-
-    def _best(self, key: str, trim: bool) -> tuple[str, float, str, str] | None:
-        data, every = key.encode(), key.split(" ")
-        alone = len(self.plain.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, len(t), name, t) for name, t, c in self.templates), key=lambda r: (-r[0], -r[1], r[2]))
+            for wording in (*wordings, f"SPDX-License-Identifier: {name}"):
+                words = words_of(wording)
+                shared = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                packed = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_dict_id=False)
+                for at, word in enumerate(words):
+                    if CUE_WORD.search(word):
+                        self.places.setdefault(word, []).append((len(self.templates), at))
+                self.templates.append((name, words, packed))
+
+    def blocks(self, words: list[str]) -> set[tuple[int, int, int]]:
+        """(template, first word, end) of all candidate blocks: where a template would stand, and a fifth of its words
+        more on both sides for a long one. Cues of one notice that line it up at almost the same place give one block."""
+        out = set()
+        last: dict[int, int] = {}
+        for i, word in enumerate(words):
+            for k, at in self.places.get(word, ()):
+                size = len(self.templates[k][1])
+                start = i - at
+                if size <= self.short:
+                    if start >= 0 and words[start : start + size] == self.templates[k][1]:
+                        out.add((k, start, start + size))
+                    continue
+                slack = 2 + size // 5
+                if k in last and abs(start - last[k]) <= size // 20:
+                    continue
+                if start + size + slack > 0:
+                    last[k] = start
+                    out.add((k, max(0, start - slack), min(len(words), start + size + slack)))
+        return out
+
+    def confirm(self, template: list[str], words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+        """(first word, end, missing words, added words) of the template in a block, or nothing."""
+        found = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
+        # Words before and after the notice that the template happens to have too are no part of it.
+        while len(found) > 1 and found[0].size < found[1].b - found[0].b - found[0].size:
+            found.pop(0)
+        while len(found) > 1 and found[-1].size < found[-1].b - found[-2].b - found[-2].size:
+            found.pop()
+        if not found:
+            return None
+        met = {i for b in found for i in range(b.a, b.a + b.size)}
+        taken = {i for b in found for i in range(b.b, b.b + b.size)}
+        start, end = found[0].b, found[-1].b + found[-1].size
+        missing = [w for i, w in enumerate(template) if i not in met]
+        added = [words[i] for i in range(start, end) if i not in taken]
+        most = 0 if len(template) <= self.short else (1 - self.least) * len(template)
+        if len(missing) > most or len(added) > most or any(c.isdigit() for w in missing for c in w):
+            return None
+        return start, end, missing, added
+
+    def scan(self, text: str) -> list[tuple[int, int, str, float, str, str]]:
+        """(start, length in code points, license, share of bytes saved, missing words, added words), in order of place."""
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        ranked = []
+        for k, a, b in self.blocks(words):
+            data = " ".join(words[a:b]).encode()
+            alone, given = len(self.plain.compress(data)), len(self.templates[k][2].compress(data))
+            if alone - given >= self.saving * alone:
+                ranked.append((given - alone, a, b, k, round(1 - given / alone, 6)))
         confirmed = []
-        for saved, _, name, template in ranked[: self.winners]:
-            if saved < self.saving:
-                break
-            words = every
-            if len(words) > 1.25 * len(template) + 3:
-                if not trim:
-                    continue  # more than the notice; a smaller block of it comes next
-                core = SequenceMatcher(None, template, words, autojunk=False).find_longest_match()
-                words = words[max(0, core.b - core.a) :][: len(template)]
-            blocks = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
-            if not blocks:
-                continue
-            met = {i for b in blocks for i in range(b.a, b.a + b.size)}
-            missing = [w for i, w in enumerate(template) if i not in met]
-            inside = words[blocks[0].b : blocks[-1].b + blocks[-1].size]
-            taken = {i for b in blocks for i in range(b.b, b.b + b.size)}
-            added = [w for i, w in enumerate(inside, blocks[0].b) if i not in taken]
-            telling = [w for w in missing if any(c.isdigit() for c in w)]
-            if len(met) >= self.least * len(template) and not telling and len(added) <= (1 - self.least) * len(template) and (len(template) > 12 or not added and not missing):
-                confirmed.append((len(missing) + len(added), -len(template), name, round(saved, 6), " ".join(missing), " ".join(added)))
-        return min(confirmed)[2:] if confirmed else None
-
-    def scan(self, text: str, reach: int = 6, near: int = 600) -> list[tuple[int, int, str, float, str, str]]:
-        """(start, length in code points, license, saving, missing words, added words) of each block, in order of place."""
-        spans: list[list[int]] = []
-        for m in CUE.finditer(text):
-            a = max(text.rfind("\n", 0, m.start()) + 1, m.start() - near)
-            b = text.find("\n", m.end())
-            b = min(len(text) if b < 0 else b, m.end() + near)
-            if spans and a < spans[-1][1]:
-                spans[-1][1] = max(b, spans[-1][1])
-            else:
-                spans.append([a, b])
-        found, done = [], -1
-        for i, (a, b) in enumerate(spans):
-            if i <= done:
-                continue
-            # Lines that belong together (a long notice) are tried as one block first, then the line alone.
-            last = i
-            while last + 1 < len(spans) and text.count("\n", spans[last][1], spans[last + 1][0]) <= reach and spans[last + 1][1] - a < 20 * near:
-                last += 1
-            for end in dict.fromkeys((last, i)):
-                hit = self.best(text[a : spans[end][1]])
-                if hit:
-                    found.append((a, spans[end][1] - a, *hit))
-                    done = end
-                    break
-            else:
-                # A sentence of the line may be the notice, or some words without a stop around them.
-                for s in re.finditer(r"[^.!?;]*[^\s.!?;](?:\.(?=\w)[^.!?;]*)*[.!?;]?", text[a:b]):
-                    if not (cue := CUE.search(s[0])):
-                        continue
-                    if hit := self.best(s[0]):
-                        found.append((a + s.start(), len(s[0]), *hit))
-                    elif m := re.search(r"(?:\S+\s+){0,8}\S*$", s[0][: cue.start()]):
-                        tail = re.match(r"\S*(?:\s+\S+){0,10}", s[0][cue.start() :])
-                        if hit := self.best(m[0] + tail[0], trim=True):
-                            found.append((a + s.start() + m.start(), len(m[0] + tail[0]), *hit))
-        return found
-
-
-_SCANNER: list[Scanner] = []
+        for saved, a, b, k, share in sorted(ranked):
+            if hit := self.confirm(self.templates[k][1], words[a:b]):
+                start, end, missing, added = hit
+                agree = len(self.templates[k][1]) - 2 * len(missing) - len(added)
+                confirmed.append((-agree, saved, a + start, a + end, k, share, " ".join(missing), " ".join(added)))
+        found: list[tuple[int, int, str, float, str, str]] = []
+        taken: list[tuple[int, int]] = []
+        for _, _, start, end, k, share, missing, added in sorted(confirmed):
+            if all(end <= x or start >= y for x, y in taken):
+                taken.append((start, end))
+                at, stop = spans[start][0], STOPS.match(text, spans[end - 1][1]).end()
+                found.append((at, stop - at, self.templates[k][0], share, missing, added))
+        return sorted(found)
 
 
 def _scanner() -> Scanner:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
-    return _SCANNER[0]
+    store = held("licenses")
+    return store.get("scanner") or store.setdefault("scanner", Scanner())
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per confirmed notice: ``doc_id, start, length`` (code points), ``license, saving, missing, added``.
 
-    Texts without a cue are left out before Python sees them; all others are scanned whole. Null and empty texts have no
-    notice, a null id stays null, repeated rows are scanned each, and an empty table gives no rows. No shuffle."""
+    Texts without any cue are left out before Python sees them; all others are scanned whole, at every cue and for every
+    template, without a cap. Null and empty texts have no notice, a null id stays null, repeated rows are scanned each,
+    other columns stay behind, and an empty table gives no rows. No shuffle."""
     lower = F.lower("text")
     cued = F.lit(False)
     for cue in CUES:
         cued = cued | F.contains(lower, F.lit(cue))
+    names = ["doc_id", "start", "length", "license", "saving", "missing", "added"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows = [(i, *hit) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in _scanner().scan(t)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string())
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "license", "saving", "missing", "added"])
+                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                rows = [(i, *hit) for i, t in zip(ids, texts, strict=True) for hit in _scanner().scan(t)]
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return whole_text(docs, id_col, text_col).filter(cued).mapInArrow(run, "doc_id long, start long, length long, license string, saving double, missing string, added string")
+    schema = "doc_id long, start long, length long, license string, saving double, missing string, added string"
+    return whole_text(docs, id_col, text_col).filter(cued).mapInArrow(run, schema)

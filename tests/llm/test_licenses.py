@@ -1,4 +1,6 @@
-from ledgerlark.llm.licenses import TEMPLATES, Scanner, scan_licenses
+import random
+
+from ledgerlark.llm.licenses import CUES, TEMPLATES, Scanner, scan_licenses, words_of
 
 PROSE = "Anblewh sttible athawh thonre was is anly hend and, oftionnten.\nEnti a wherer, anhe ntedin thhe."
 
@@ -34,3 +36,55 @@ def test_frames(spark):
     assert scan_licenses(docs.limit(0)).count() == 0
     long = "w " * 400000 + "Released under the MIT License. " + "w " * 1000
     assert [r.license for r in scan_licenses(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()] == ["MIT"]
+
+
+def brute(text):
+    """Licenses whose wording stands in a text word for word, the longest first at each place, and where."""
+    words = words_of(text)
+    found = []
+    for i in range(len(words)):
+        fits = [(len(t), name) for name, ws in TEMPLATES.items() for t in map(words_of, ws) if words[i : i + len(t)] == t]
+        if fits:
+            found.append((i, *max(fits)))
+    return [n for k, (i, _, n) in enumerate(found) if not any(a <= i < a + m for a, m, _ in found[:k])]
+
+
+def test_every_template_anywhere_against_brute_force():
+    """At any offset, several to a sentence, on one long line or wrapped as a comment."""
+    rng, s = random.Random(12), Scanner()
+    noise = [*PROSE.replace("\n", " ").split(), "license", "of", "the", "software", "copyright", "permission", "in", "and"]
+    every = [(n, w) for n, ws in TEMPLATES.items() for w in ws]
+    for name, w in every:
+        for _ in range(4):
+            parts, want = [], []
+            for n, v in [(name, w), *rng.sample(every, rng.randrange(3))]:
+                parts += [" ".join(rng.choice(noise) for _ in range(rng.randrange(40))) + " zzz", v.rstrip(".: ") + ","]
+                want.append(n)
+            text = " ".join(parts) + " zzz " + " ".join(rng.choice(noise) for _ in range(rng.randrange(300)))
+            if rng.random() < 0.5:
+                text = text.replace(" zzz ", " zzz\n# ").replace(" of ", " of\n# ")
+            assert [h[2] for h in s.scan(text)] == want == brute(text), (name, w)
+
+
+def test_numbered_and_edited_notices():
+    rng, s = random.Random(13), Scanner()
+    for name, ws in TEMPLATES.items():
+        long = max(ws, key=len)
+        words = long.split()
+        if len(words) < 40:
+            continue
+        for _ in range(5):
+            edited = list(words)
+            for _ in range(len(words) // 25):  # words without digits go, others come in
+                i = rng.randrange(len(edited))
+                if not any(c.isdigit() for c in edited[i]):
+                    edited[i] = rng.choice(["", "zzz", edited[i] + " qqq"])
+            hits = s.scan("of the software in any " * 9 + " ".join(edited) + " and the of in any" * 9)
+            assert name in [h[2] for h in hits], (name, hits)
+    bsd = TEMPLATES["BSD-2-Clause"][1].replace("Redistributions of", "\n  1. Redistributions of").replace("Redistributions in", "\n  2. Redistributions in")
+    assert [h[2] for h in s.scan(bsd)] == ["BSD-2-Clause"]
+    assert [h[2] for h in s.scan("Released under the MIT License, and Licensed under CC BY 4.0, by us. SPDX-License-Identifier: Zlib")] == ["MIT", "CC-BY-4.0", "Zlib"]
+
+
+def test_every_template_has_a_cue():
+    assert all(any(c in w.lower() for c in CUES) for ws in TEMPLATES.values() for w in ws)
