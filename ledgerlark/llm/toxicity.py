@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.storage import materialize
 from ledgerlark.llm.texts import slices, whole_text
 
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Labels say toxic or not. Grades above 1 are counted from the marker words of the fit: at least so many occurrences.
-GRADE_HITS = (1, 3, 6)
+#: Labels say toxic or not. The fit makes grades 1 to this number of the toxic ones, by their rank in held-out scores.
+GRADES = 3
+#: Letters of the longest word that can be a feature.
+LONGEST = 64
 
 
 @dataclass
@@ -75,58 +79,83 @@ def fit_ordinal(rows: list[list[tuple[int, float]]], grades: np.ndarray, n_featu
     return free[:n_features], free[n_features] + np.r_[0, np.cumsum(np.exp(free[n_features + 1 :]))]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, min_docs: int = 4, odds: float = 8.0, max_words: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fits on at most ``sample_rows`` labelled documents, those with the smallest hashes of their ids (the one bounded
-    sample here). Features are the sample's words whose odds in toxic documents are ``odds`` times higher or lower, at
-    most ``max_words`` of them; marker words are the higher ones. Null labels and ids are left out; documents without
-    texts count as empty. Without any toxic label the model has no words and finds nothing toxic."""
-    chosen = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+def held_out_grades(features: list[list[tuple[int, float]]], toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """0 for rows that are not toxic; toxic ones get 1 to ``GRADES`` by the rank of a score from a fit on the other half of
+    the rows, which has not seen their own labels. Rows are halved in turn, ties go by their order."""
+    half = np.arange(len(toxic)) % 2
+    score = np.zeros(len(toxic))
+    for mine in (0, 1):
+        other = np.flatnonzero(half != mine)
+        if len(set(toxic[other].tolist())) == 2:
+            weights, _ = fit_ordinal([features[i] for i in other], toxic[other].astype(np.int64), n_features, 2)
+            for i in np.flatnonzero(half == mine):
+                score[i] = sum(weights[j] * v for j, v in features[i])
+    grades = np.zeros(len(toxic), np.int64)
+    bad = np.flatnonzero(toxic)
+    rank = np.empty(len(bad), np.int64)
+    rank[np.argsort(score[bad], kind="stable")] = np.arange(len(bad))
+    grades[bad] = 1 + rank * GRADES // max(1, len(bad))
+    return grades
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, toxic, words`` (each word with its count) of a bounded sample, with near copies once. An id counts as toxic
+    if any of its labels says so; of texts with one id the least is taken."""
+    chosen = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
+    chosen = chosen.agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # The sample is bounded by its parameter, so it can be sent to every task.
-    rows = whole_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = whole_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("w", pa.string()), ("c", pa.int32())]))]
         for whole in batches:
             for batch in slices(whole, "text"):
-                found: list[str] = []
-                for t in batch.column("text").to_pylist():
-                    seen: dict[str, int] = {}
-                    for w in WORD.findall(t.lower()):
-                        seen[w] = seen.get(w, 0) + 1
-                    found.append("\n".join(f"{w} {c}" for w, c in seen.items()))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.string())], names=["toxic", "bag"])
-
-    toxic, bags, sketches = [], [], set()
-    for r in rows.mapInArrow(run, "toxic int, bag string").toLocalIterator():
-        bag = {w: int(c) for w, _, c in (x.partition(" ") for x in r.bag.split("\n") if x)}
-        # Near copies count once, or one mislabelled text's copies would make its rare words look toxic.
-        sketch = tuple(sorted(zlib.crc32(w.encode()) for w in bag)[:4])
-        if len(bag) < 4 or sketch not in sketches:
-            sketches.add(sketch)
-            toxic.append(r.toxic)
-            bags.append(bag)
-    y = np.array(toxic, np.int64) > 0
-    n, here = len(y), {}
-    for bag, bad in zip(bags, y.tolist(), strict=True):
-        for w in bag:
-            pair = here.setdefault(w, [0, 0])
-            pair[bad] += 1
-    n1, n0 = int(y.sum()), int(n - y.sum())
+                out = []
+                for doc_id, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
+                    words = WORD.findall(text.lower())
+                    grams = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(len(words) - 2)})[:4]
+                    # Near copies count once, or one mislabelled text's copies would make its rare words look toxic.
+                    key = ",".join(map(str, grams)) if len(grams) == 4 else f"row {doc_id}"
+                    out.append((doc_id, toxic, key, [{"w": w, "c": c} for w, c in sorted(Counter(words).items()) if len(w) <= LONGEST]))
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "toxic", "sketch", "words"])
+
+    told = rows.mapInArrow(run, "doc_id long, toxic int, sketch string, words array<struct<w:string,c:int>>")
+    first = told.groupBy("sketch").agg(F.min_by(F.struct("doc_id", "toxic", "words"), "doc_id").alias("x")).select("x.*")
+    return materialize(first, "labelled")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, min_docs: int = 4, odds: float = 8.0, max_words: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    """Fits on at most ``sample_rows`` labelled documents, those with the smallest hashes of their ids (the one bounded
+    sample here). Features are the sample's words whose odds in toxic documents are ``odds`` times higher or lower, at
+    most ``max_words`` of them, of at most ``LONGEST`` letters. The labels say toxic or not; which toxic documents are the
+    worse ones is told by ``held_out_grades``.
+
+    Null labels and ids are left out; null texts are empty; repeated ids and labels count once, as in
+    ``labelled_sample``. Without any toxic label, or without any other, the model has no words and finds nothing toxic.
+    Words are counted in Spark; only the features of the sample come to the driver, and the fit is the same each time."""
+    sample = labelled_sample(docs, labels, sample_rows, id_col, text_col)
+    toxic = F.col("toxic") > 0
+    n1, n0 = sample.agg(F.count(F.when(toxic, 1)), F.count(F.when(~toxic, 1))).first()
+    nothing = OrdinalModel({}, np.zeros(0), np.arange(60.0, 60.0 + GRADES))
     if not n1 or not n0:
-        return OrdinalModel({}, np.zeros(0), np.array([60.0, 61.0, 62.0]))
-    scored = []
-    for w, (a0, a1) in here.items():
-        if a0 + a1 >= min_docs:
-            ratio = (a1 + 0.5) * (n0 - a0 + 0.5) / ((n1 - a1 + 0.5) * (a0 + 0.5))
-            if ratio <= 1 / odds or ratio >= odds and a1 >= 0.02 * n1:
-                scored.append((-abs(np.log(ratio)) * np.sqrt(a0 + a1), w, ratio))
-    kept = sorted(scored)[:max_words]
-    words = {w: j for j, (_, w, _) in enumerate(kept)}
-    markers = {w for _, w, r in kept if r >= odds}
-    hits = np.array([sum(c for w, c in bag.items() if w in markers) for bag in bags])
-    grades = np.where(y, 1 + sum((hits >= h).astype(np.int64) for h in GRADE_HITS[1:]), 0)
-    features = [[(words[w], float(1 + np.log(c))) for w, c in bag.items() if w in words] for bag in bags]
-    weights, cuts = fit_ordinal(features, grades, len(words), len(GRADE_HITS) + 1)
+        return nothing
+    a1, a0 = F.col("a1"), F.col("a0")
+    ratio = (a1 + 0.5) * (n0 - a0 + 0.5) / ((n1 - a1 + 0.5) * (a0 + 0.5))
+    counts = sample.select(toxic.cast("long").alias("y"), F.explode("words.w").alias("w")).groupBy("w").agg(F.sum("y").alias("a1"), F.sum(1 - F.col("y")).alias("a0"))
+    telling = (F.col("r") <= 1 / odds) | ((F.col("r") >= odds) & (a1 >= 0.02 * n1))
+    best = counts.filter(a1 + a0 >= min_docs).withColumn("r", ratio).filter(telling).orderBy((F.abs(F.log("r")) * F.sqrt(a1 + a0)).desc(), "w").limit(max_words)
+    words = {r.w: j for j, r in enumerate(best.select("w").collect())}
+    if not words:
+        return nothing
+    # At most sample_rows rows of max_words short words.
+    known = best.select("w", F.lit(True).alias("known"))
+    some = sample.select("doc_id", F.explode("words").alias("x")).select("doc_id", "x.w", "x.c").join(F.broadcast(known), "w")
+    bags = some.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", "c"))).alias("bag"))
+    rows = sample.select("doc_id", "toxic").join(bags, "doc_id", "left").orderBy("doc_id").collect()
+    features = [[(words[x.w], float(1 + np.log(x.c))) for x in r.bag or ()] for r in rows]
+    grades = held_out_grades(features, np.array([r.toxic > 0 for r in rows]), len(words))
+    weights, cuts = fit_ordinal(features, grades, len(words), GRADES + 1)
     return OrdinalModel(words, weights, cuts)
 
 
@@ -150,4 +179,5 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document scored by a model fitted on the labels; cases as in ``fit_toxicity`` and ``score_toxicity``."""
     return score_toxicity(docs, fit_toxicity(docs, labels))
