@@ -49,9 +49,8 @@ def _risk(txn: str = "aml_txn", alert: str = "aml_alert", days: int = 180) -> st
     LEFT JOIN (SELECT customer_id AS c, count(*) AS ac, {cnt("severity = 'critical'")} AS cr, {cnt("severity = 'high'")} AS hi FROM {alert} WHERE {since} GROUP BY 1) a ON a.c = u.customer_id"""
 
 
-_TRAIN = f"""WITH lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_customer_id ORDER BY created_at DESC, id DESC) AS rk FROM aml_txn) x WHERE rk <= 50), la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, alert_id DESC) AS rk FROM aml_alert) x WHERE rk <= 5),
+_TRAIN = f"""WITH lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_customer_id ORDER BY created_at DESC, id DESC) AS rk FROM aml_txn) x WHERE rk <= 500), la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, alert_id DESC) AS rk FROM aml_alert) x WHERE rk <= 200),
 f AS ({_risk('lt', 'la')}) SELECT f.*, CAST(f.customer_id IN (SELECT a.customer_id FROM aml_case c JOIN aml_alert a ON a.alert_id = c.alert_id WHERE c.status IN ('escalated', 'closed')) AS INTEGER) AS label FROM f"""
-_TRAIN_ALL = _TRAIN.replace("rk <= 50)", "rk <= 500)").replace("rk <= 5)", "rk <= 200)")
 _SAR_RISKY = f"(coalesce(originating_country IN {_in(X.SAR_HIGH)}, false) OR coalesce(destination_country IN {_in(X.SAR_HIGH)}, false))"
 _SARF = f"""WITH j AS (
   SELECT a.alert_id, t.*, row_number() OVER w AS k, count(*) OVER (PARTITION BY a.alert_id) AS c
@@ -96,8 +95,8 @@ def _prep(t):
 PLANS = {
     "customer_features": (lambda t: X.customer_features(t.aml_customer, t.aml_txn, t.aml_alert, AT), _FEATURES),
     "risk_model_features": (lambda t: X.risk_model_features(t.aml_customer, t.aml_txn, t.aml_alert, AT), _risk()),
-    "risk_training_set": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT, 50, 5), _TRAIN),
-    "risk_training_set_whole": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), _TRAIN_ALL),
+    "risk_training_set": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), _TRAIN),
+    "risk_training_set_whole": (lambda t: X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), _TRAIN),
     "sar_features": (lambda t: X.sar_features(t.aml_alert, t.aml_customer, t.aml_txn, t.aml_case, AT), _SARF),
     "time_features": (
         lambda t: X.time_features(t.aml_txn),
