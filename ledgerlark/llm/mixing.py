@@ -21,9 +21,11 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def hash60(key: Column) -> Column:
-    """The first 15 hexadecimal digits of a key's MD5: the same in any engine and on any run."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def hash60(key: Column, text: Column) -> Column:
+    """The first 15 hexadecimal digits of the MD5 of a row's id, or of its text where it has no id: the same in any engine
+    and on any run."""
+    known = F.coalesce(key.cast("string"), F.concat(F.lit("t"), text), F.lit(""))
+    return F.conv(F.substring(F.md5(known), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -83,8 +85,8 @@ def _source_key(source: Column) -> Column:
 
 def _items(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")).select(
-            "*", hash60(F.col("doc_id")).alias("h"), _source_key(F.col("source")).alias("k")
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), hash60(F.col(id_col).cast("long"), F.col(text_col)).alias("h")).select(
+            "*", _source_key(F.col("source")).alias("k")
         ),
         "sizes",
     )
@@ -110,8 +112,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     A document's size is its number of words. A target of q times the source's size takes every document floor(q) times
     and once more those whose hash lies below the source's threshold, so taken words miss the target by less than the
     document at the boundary, and no document is taken more than ``cap`` times. Null texts have size 0, null sources form
-    one source, which comes last, and empty tables give no rows. Rows with one id share a hash and are taken together.
-    Hashes depend on ids only, so reruns agree. Texts are read once; later passes see ids, sources and sizes.
+    one source, which comes last, and empty tables give no rows. Rows with one id share a hash and are taken together, as
+    are rows without an id that have one text. Hashes depend on ids, or on texts without one, so reruns agree. Texts are
+    read once; later passes see ids, sources and sizes.
     """
     items = _items(docs, id_col, text_col, source_col)
     return (
@@ -127,7 +130,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     one row for each source; being a written table, its size is known, and the planner ships it only where it is small."""
     key, whole, below, repeats, n = spare(docs, "k", "whole", "below", "repeats", "n")
     plan = materialize(_plan(_items(docs, id_col, text_col, source_col), weights, cap).select(F.col("k").alias(key), F.col("whole").alias(whole), F.col("below").alias(below)), "plan")
-    times = _repeats(hash60(F.col(id_col).cast("long")), F.col(whole), F.col(below), cap)
+    times = _repeats(hash60(F.col(id_col).cast("long"), F.col(text_col)), F.col(whole), F.col(below), cap)
     rows = docs.withColumn(key, _source_key(F.col(source_col))).join(plan, key).withColumn(repeats, times).filter(F.col(repeats) > 0)
     return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(repeats)))).select(*map(column, docs.columns))
 
@@ -135,7 +138,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS h
+    CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), 't' || text, '')), 1, 15)) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

@@ -70,4 +70,21 @@ def test_small_and_empty(spark):
     schema = "doc_id long, text string, source string"
     assert mix_sources(spark.createDataFrame([], schema)).count() == 0
     assert [r.taken for r in mix_sources(spark.createDataFrame([(1, None, None)], schema)).collect()] == [0]
-    assert [r.taken for r in mix_sources(spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "c", None)], schema)).collect()] is not None
+    same = mix_sources(spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "c", None)], schema)).collect()
+    # "x" weighs 1 and the null source 2, whose most is 3 of 5 words; of the rest, rows of one id go together or not at all
+    assert sorted((r.doc_id or 0, r.size, r.source_size, r.target, r.taken) for r in same) == [(0, 1, 1, 3.0, 3), (1, 2, 4, 2.0, 0), (1, 2, 4, 2.0, 0)]
+
+
+def test_rows_without_an_id_don_t_move_as_one(spark):
+    """A source without any id comes near its target; a long text counts whole."""
+    rows = [(None, f"word{i} " + "w " * (i % 300), "b") for i in range(400)] + [(7, "w " * 60000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = []
+    for frame in (docs, docs.repartition(7)):
+        got = mix_sources(frame).collect()
+        mine = [r for r in got if r.doc_id is None]
+        assert len(mine) == 400 and len(got) == 401 and max(r.size for r in got) == 60000
+        assert mine[0].target / mine[0].source_size % 1 > 0.1  # neither all nor none of the rows
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 300 and all(r.taken <= 3 * r.size for r in got)
+        runs.append(sorted((r.size, r.taken) for r in got))
+    assert runs[0] == runs[1]
