@@ -78,22 +78,28 @@ def _encoder(path: str) -> ByteEncoder:
     return store.get(path) or store.setdefault(path, ByteEncoder(path))
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int, size: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most ``sample_docs`` documents, trained in one task; only the
-    dictionary itself, of at most ``size`` bytes, comes to the driver. Empty if the sample is too small to train on."""
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int, sample_chars: int, size: int) -> bytes:
+    """A zstandard dictionary from the serialized ids of at most ``sample_docs`` documents of at most ``sample_chars``
+    characters: it serves short documents, so longer ones say nothing to it. Rows are taken from as few partitions as
+    give enough of them, and their ids, bounded by both parameters, come to the driver, which trains on them. Empty if
+    the sample is too small to train on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, samples = _encoder(tokenizer), []
+        coder, left = _encoder(tokenizer), sample_docs
+        end = coder._pack([end_id])
         for batch in batches:
-            samples += [coder.encode(t) + coder._pack([end_id]) for t in batch.column("text").to_pylist()]
-        try:
-            made = zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
-        except zstandard.ZstdError:
-            made = b""
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["made"])
+            some = batch.column("text").slice(0, left).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([coder.encode(t) + end for t in some], pa.binary())], names=["ids"])
+            left -= len(some)
+            if not left:
+                return
 
-    rows = docs.select("text").limit(sample_docs).coalesce(1).mapInArrow(run, "made binary").collect()
-    return bytes(rows[0].made) if rows else b""
+    short = docs.select("text").filter(F.length("text") <= sample_chars)
+    samples = [bytes(r.ids) for r in short.mapInArrow(run, "ids binary").limit(sample_docs).collect()]
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
+    except zstandard.ZstdError:
+        return b""
 
 
 def _compressor(trained: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -105,7 +111,7 @@ def _compressor(trained: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, sample_docs: int = 1000, dict_bytes: int = 64 << 10,
+    docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, sample_docs: int = 1000, sample_chars: int = 16 << 10, dict_bytes: int = 64 << 10,
     level: int = 1, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Encodes every text, appends ``end_id``, and writes shard files into ``out_dir``; returns the manifest, one row per
@@ -118,7 +124,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     texts = whole_text(docs, id_col, text_col)
-    trained = train_dictionary(texts, tokenizer, end_id, sample_docs, dict_bytes)
+    trained = train_dictionary(texts, tokenizer, end_id, sample_docs, sample_chars, dict_bytes)
     digest = hashlib.sha256(trained).digest()
     dictionary = f"{out_dir}/{digest.hex()}.dict" if trained else ""
     spark.sparkContext.parallelize([out_dir], 1).foreach(lambda d: _store(d)[0].create_dir(_store(d)[1], recursive=True))
