@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.storage import materialize
+
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id`` and the components as floor(scale * x), x as double. Vectors that are null, or hold a null or a component
@@ -101,7 +103,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows:
 
 
 def top_of_every_50th(embeddings: DataFrame) -> DataFrame:
-    vectors = integer_vectors(embeddings)
+    """The 5 best of every row whose id is divisible by 50; cases as in ``integer_vectors`` and ``exact_top_k``. Vectors
+    are written once, as both counts and both sides read them."""
+    vectors = materialize(integer_vectors(embeddings), "vectors")
     return exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
