@@ -26,9 +26,12 @@ from ledgerlark.operators.components import connected_components
 PIECE = 1 << 20
 
 
-def choose_bands(threshold: float, recall: float, rows: int = 4) -> int:
-    """The least number of bands of ``rows`` rows that finds a pair at the threshold with at least this probability."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+def choose_banding(threshold: float, recall: float, hashes: int = 96) -> tuple[int, int]:
+    """(bands, rows in each) that find a pair at the threshold with at least this probability. A band count follows from
+    the rows; of the choices within ``hashes`` hashes a text, the one with most rows has the fewest chance candidates."""
+    bands = lambda rows: max(1, math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
+    rows = max((r for r in range(1, hashes + 1) if bands(r) * r <= hashes), default=1)
+    return bands(rows), rows
 
 
 def text_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,7 @@ def jaccard_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], th
     return linked.sum(axis=1), ids[label]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, rows: int = 4, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, hashes: int = 96, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, class_id, n_links, n_copies``.
 
     Texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is at least ``threshold``; a
@@ -120,7 +123,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
 
     A group of any size is cut into blocks of ``block`` texts; blocks are compared only if they share a bucket.
     """
-    bands = choose_bands(threshold, recall, rows)
+    bands, rows = choose_banding(threshold, recall, hashes)
     texts, unique = keyed(docs, id_col, text_col)
     base = materialize(sketches(texts, width, bands, rows), "sketches")
     known = base.filter(F.col("doc_id").isNotNull() & (F.size("bands") > 0))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from ledgerlark.llm import neardup
-from ledgerlark.llm.neardup import choose_bands, keep_one_of_each, near_duplicates, text_shingles
+from ledgerlark.llm.neardup import choose_banding, keep_one_of_each, near_duplicates, text_shingles
 
 
 def grams(text, width=5):
@@ -65,7 +65,10 @@ def test_shingles():
     found, first = text_shingles(pa.array(texts), 5)
     sets = [found[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
     assert list(map(len, sets)) == [2, 0, 1, 2, 1, 1] and sets[0] == sets[3] and sets[4] == sets[0][:1] and sets[5] != sets[4]
-    assert choose_bands(0.8, 0.9999) == 18
+    assert choose_banding(0.8, 0.9999) == (18, 4)
+    assert choose_banding(1.0, 0.99) == (1, 96) and choose_banding(0.5, 0.99)[1] < 4
+    bands, rows = choose_banding(0.3, 0.99)
+    assert 1 - (1 - 0.3**rows) ** bands >= 0.99
 
 
 def test_equals_brute_force(spark):
