@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import ago, count_if, fixed_values, hours_between, pct, rounded, stamp, total
+from ledgerlark.functions.order import median
 
 LEVELS = ["low", "medium", "high", "critical"]
 BUCKETS = [(0, 1000), (1000, 5000), (5000, 10000), (10000, 50000), (50000, 100000), (100000, None)]
@@ -105,7 +106,9 @@ def alert_rates(alerts: DataFrame) -> DataFrame:
 def alert_time_to_resolve(alerts: DataFrame) -> DataFrame:
     h = hours_between(F.col("created_at"), F.col("closed_at"))
     rows = alerts.filter(F.col("closed_at").isNotNull()).select(h.alias("h"))
-    return rows.agg(F.count("*").alias("n"), rounded(F.sum(F.col("h").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("mean_h"), rounded(F.median("h")).alias("median_h"), rounded(F.min("h")).alias("min_h"), rounded(F.max("h")).alias("max_h"))
+    mean = F.sum(F.col("h").cast("decimal(18,4)")).cast("double") / F.count("*")
+    row = rows.agg(F.count("*").alias("n"), rounded(mean).alias("mean_h"), rounded(F.min("h")).alias("min_h"), rounded(F.max("h")).alias("max_h"))
+    return row.crossJoin(F.broadcast(median(rows, "h"))).select("n", "mean_h", rounded(F.col("median")).alias("median_h"), "min_h", "max_h")
 
 
 def alert_severity_trend(alerts: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import ago, count_if, fixed_values, hours_between, pct, rounded, stamp, total
+from ledgerlark.functions.order import median
 
 LEVELS = ["low", "medium", "high", "critical"]
 CASE_STATUSES = ["open", "investigating", "pending_review", "escalated", "closed", "filed_sar"]
@@ -33,9 +34,10 @@ def sar_filing_rate(cases: DataFrame, as_of: str, days: int = 90) -> DataFrame:
 def case_resolution_stats(cases: DataFrame) -> DataFrame:
     rows = cases.filter(F.col("closed_at").isNotNull() & F.col("created_at").isNotNull()).select(hours_between(F.col("created_at"), F.col("closed_at")).alias("h"))
     row = rows.agg(
-        F.count("*").alias("n"), (F.sum(F.col("h").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("mean"), F.median("h").alias("median"), F.min("h").alias("least"), F.max("h").alias("most"),
+        F.count("*").alias("n"), (F.sum(F.col("h").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("mean"), F.min("h").alias("least"), F.max("h").alias("most"),
         count_if(F.col("h") <= 24).alias("within_24h"), count_if(F.col("h") <= 72).alias("within_72h"),
     )
+    row = row.crossJoin(F.broadcast(median(rows, "h")))
     zero = lambda c: F.coalesce(rounded(F.col(c)), F.lit(0.0))
     return row.select("n", *(zero(c).alias(f"{c}_hours") for c in ("mean", "median", "least", "most")), "within_24h", "within_72h", pct(F.col("within_24h"), F.col("n")).alias("sla_24h_pct"), pct(F.col("within_72h"), F.col("n")).alias("sla_72h_pct"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import ago, count_if, rounded, stamp, total
+from ledgerlark.functions.order import median, placed_values, running
 from ledgerlark.operators.behavior import deviation, moments
 from ledgerlark.operators.risk import points
 
@@ -165,7 +167,8 @@ def time_features(txns: DataFrame) -> DataFrame:
 def impute_encode_scale(df: DataFrame, key: str, numbers: list[str], words: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, one fitted row of medians and ranges, fitted codes). Missing numbers take the median and are scaled to
     [0, 1] of the fitted range; missing words take the most frequent one and become codes in sorted order."""
-    fitted = df.agg(*(F.median(c).alias(f"{c}_median") for c in numbers))
+    # Medians are one row each.
+    fitted = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), (median(df, c, f"{c}_median") for c in numbers))
     filled = df.crossJoin(F.broadcast(fitted)).select(key, *words, *(F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")).alias(c) for c in numbers))
     ranges = filled.agg(*(x for c in numbers for x in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))))
     seen = df.select(F.explode(F.array(*(F.struct(F.lit(w).alias("column"), F.col(w).alias("value")) for w in words))).alias("x")).select("x.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -187,9 +190,7 @@ def outliers(df: DataFrame, key: str, column: str, method: str = "iqr") -> DataF
         s, q = moments(F.col(column))
         fit = rows.agg(F.count("*").alias("n"), s.alias("s"), q.alias("q")).select((F.col("s") / F.col("n")).alias("_m"), deviation(F.col("n"), F.col("s"), F.col("q")).alias("_d"))
         return rows.crossJoin(F.broadcast(fit)).filter((F.col("_d") > 0) & (F.abs(F.col(column) - F.col("_m")) / F.col("_d") > 3)).select(key, column)
-    # Counts by value are summed in order; only values with their counts are ordered, not rows.
-    values = rows.groupBy(column).agg(F.count("*").alias("_k"))
-    upto = values.withColumn("_upto", F.sum("_k").over(Window.orderBy(column))).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    upto = placed_values(rows, column).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
     fit = upto.agg(F.min(F.when(F.col("_upto") > F.floor(F.col("_n") / 4), F.col(column))).alias("_a"), F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * 3 / 4), F.col(column))).alias("_b"))
     low, high = F.col("_a") - (F.col("_b") - F.col("_a")) * 1.5, F.col("_b") + (F.col("_b") - F.col("_a")) * 1.5
     return rows.crossJoin(F.broadcast(fit)).filter((F.col(column) < low) | (F.col(column) > high)).select(key, column)
@@ -212,9 +213,8 @@ def classification_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFra
 def ranking_metrics(scored: DataFrame) -> DataFrame:
     """ROC area (ties count half) and average precision, from counts per score: scores are ordered, not rows."""
     per = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("p"))
-    down = Window.orderBy(F.desc("score"))
     c = F.col
-    rows = per.withColumn("_p", F.sum("p").over(down)).withColumn("_n", F.sum("n").over(down)).crossJoin(F.broadcast(per.agg(F.sum("p").alias("_pos"), F.sum("n").alias("_all"))))
+    rows = running(per, F.desc("score"), _p="p", _n="n").crossJoin(F.broadcast(per.agg(F.sum("p").alias("_pos"), F.sum("n").alias("_all"))))
     negatives = c("n") - c("p")
     area = F.sum(negatives * (c("_p") - c("p")) + negatives * c("p") / 2.0)
     precision = F.sum((c("p") / c("_pos") * (c("_p") / c("_n"))).cast("decimal(38,12)")).cast("double")

@@ -94,6 +94,20 @@ _SCORES = f"""WITH l AS ({_LAYER}), b AS (SELECT DISTINCT from_customer_id AS cu
         SELECT b.customer_id, coalesce(s.confidence, 0E0) AS smurfing, coalesce(lc.confidence, 0E0) AS layering, coalesce(i.confidence, 0E0) AS integration, coalesce(m.confidence, 0E0) AS rapid_movement, coalesce(c.confidence, 0E0) AS counterparties FROM b LEFT JOIN ({_SMURF}) s ON s.customer_id = b.customer_id
         LEFT JOIN lc ON lc.customer_id = b.customer_id LEFT JOIN ({_INTEG}) i ON i.customer_id = b.customer_id LEFT JOIN ({_RAPID}) m ON m.customer_id = b.customer_id LEFT JOIN ({_OTHERS}) c ON c.customer_id = b.customer_id) x"""
 
+def _isolation(levels: int = 32) -> str:
+    """Levels of ``f`` one by one: as many as a table of 2^31 nodes can need, those beyond the limit changing nothing."""
+    steps = ["n AS (SELECT CASE WHEN count(*) = 0 THEN 0 ELSE length(bin(count(*))) END AS most FROM f)", "l0 AS (SELECT f.*, 'r' AS cell, CAST(NULL AS INTEGER) AS depth FROM f)"]
+    for d in range(levels):
+        x = _F[d % len(_F)]
+        cell = f"CASE WHEN active AND NOT stop THEN cell || CASE WHEN {x} < (lo + hi) / 2 THEN '0' ELSE '1' END ELSE cell END"
+        steps.append(
+            f"""l{d + 1} AS (SELECT node, {', '.join(_F)}, {cell} AS cell, CASE WHEN active AND stop THEN CAST({d} AS INTEGER) ELSE depth END AS depth FROM (
+            SELECT *, depth IS NULL AND {d} < most AS active, k <= 1 OR lo = hi AS stop FROM (SELECT *, min({x}) OVER w AS lo, max({x}) OVER w AS hi, count(*) OVER w AS k FROM l{d} WINDOW w AS (PARTITION BY cell)) a, n) b)"""
+        )
+    return ", ".join(steps) + f"""
+        SELECT node, depth, score, score > 0.9E0 AS is_anomaly FROM (SELECT node, depth, {r('power(2E0, -depth / (greatest(1, most) / 2E0))', 4)} AS score FROM (SELECT node, CAST(coalesce(depth, most) AS INTEGER) AS depth, most FROM l{levels}, n) a) b"""
+
+
 PLANS = {
     "behavior_off_hours": (lambda t: B.behavior_off_hours(t.aml_txn), _OFF),
     "behavior_amount_anomaly": (lambda t: B.behavior_amount_anomaly(t.aml_txn), _ANOMALY),
@@ -160,5 +174,5 @@ PLANS = {
         f"""WITH e AS ({_edges()}), s AS (SELECT {_stat('amount')}, {_stat('n')} FROM e) SELECT src, dst, amount, n, {r('za', 3)} AS amount_z, {r('zn', 3)} AS count_z, CASE WHEN za > zn THEN 'high_amount' ELSE 'high_frequency' END AS kind
         FROM (SELECT e.*, abs(amount - amount_mean) / amount_std AS za, abs(n - n_mean) / n_std AS zn FROM e, s) x WHERE za > 2.5 OR zn > 2.5""",
     ),
-    "isolation_depth_scores": (lambda t: G.isolation_depth_scores(G.node_features(G.graph_nodes(_graph(t)))), None),
+    "isolation_depth_scores": (lambda t: G.isolation_depth_scores(G.node_features(G.graph_nodes(_graph(t)))), f"WITH nodes AS ({_NODES}), f AS ({_FEAT}), {_isolation()}"),
 }
