@@ -11,12 +11,14 @@ from ledgerlark.operators.rules import evaluate_rules
 
 
 def stream_alerts(arriving: DataFrame, customers: DataFrame, rules: DataFrame, history_path: str, alerts_path: str, checkpoint: str, hours: int = 72) -> StreamingQuery:
-    """Evaluates all rules on each micro-batch and writes its matches; together they equal the batch job, as long as
-    transactions arrive in the order of their times.
+    """Evaluates all rules on each micro-batch and writes its matches (``txn_id, rule_id`` once); together they equal the
+    batch job.
 
-    A batch is joined with what its customers did in the longest window before it, read from the history that earlier
-    batches wrote. Both tables are partitioned by batch id and a batch overwrites its own partition, so a batch that is
-    tried again changes nothing."""
+    A batch is joined with what its customers did from the longest window before it on, read from the history that earlier
+    batches wrote. A transaction may arrive late: those at most ``hours`` after it that share a customer with it are judged
+    once more, and what matches only now is written with this batch. Matches already written stay as they are. Both tables
+    are partitioned by batch id, so a batch that is tried again overwrites its own rows; the history also by day, and a
+    batch reads only the days that it can reach."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -24,22 +26,46 @@ def stream_alerts(arriving: DataFrame, customers: DataFrame, rules: DataFrame, h
         try:
             if batch.isEmpty():
                 return
-            schema = batch.schema
-            first = batch.agg(F.min("created_at")).first()[0]
-            seen = spark.read.schema(schema.add("batch_id", "long")).parquet(history_path).filter(F.col("batch_id") < batch_id).drop("batch_id") if _exists(spark, history_path) else batch.limit(0)
-            known = F.explode(F.array("from_customer_id", "to_customer_id"))
-            touched = batch.select(known.alias("_c")).distinct()
-            recent = seen.filter(F.col("created_at") >= F.lit(first).cast("timestamp") - F.make_interval(hours=F.lit(hours)))
-            past = recent.join(touched.withColumnRenamed("_c", "from_customer_id"), "from_customer_id", "left_semi").unionByName(recent.join(touched.withColumnRenamed("_c", "to_customer_id"), "to_customer_id", "left_semi")).dropDuplicates(["id"])
-            matches = evaluate_rules(batch.unionByName(past), customers, rules).join(batch.select(F.col("id").alias("txn_id")), "txn_id", "left_semi")
-            matches.dropDuplicates(["txn_id", "rule_id"]).write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
-            batch.write.mode("overwrite").parquet(f"{history_path}/batch_id={batch_id}")
+            earlier = F.col("batch_id") < batch_id
+            span = F.make_interval(hours=F.lit(hours))
+            first, last = (x.cast("timestamp") for x in map(F.lit, batch.agg(F.min("created_at"), F.max("created_at")).first()))
+            seen = batch.limit(0)
+            if _exists(spark, history_path):
+                stored = spark.read.schema(f"{_ddl(batch)}, batch_id long, day date").parquet(history_path)
+                reach = F.col("day").between(F.to_date(first - span), F.to_date(last + span))
+                recent = (F.col("created_at") >= first - span) & (F.col("created_at") <= last + span)
+                seen = stored.filter(earlier & reach & recent).select(*batch.columns)
+            touched = _customers(batch)
+            # Transactions from the batch's first time on may match more now; they need all of their customers' rows.
+            again = _of(seen.filter(F.col("created_at") >= first), touched)
+            past = _of(seen, touched.unionByName(_customers(again)).distinct())
+            judged = batch.select(F.col("id").alias("txn_id")).unionByName(again.select(F.col("id").alias("txn_id"))).distinct()
+            matches = evaluate_rules(batch.unionByName(past), customers, rules).join(judged, "txn_id", "left_semi").dropDuplicates(["txn_id", "rule_id"])
+            if _exists(spark, alerts_path):
+                told = spark.read.schema(f"{_ddl(matches)}, batch_id long").parquet(alerts_path).filter(earlier)
+                matches = matches.join(told.select("txn_id", "rule_id"), ["txn_id", "rule_id"], "left_anti")
+            matches.write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
+            batch.withColumn("day", F.to_date("created_at")).write.partitionBy("day").mode("overwrite").parquet(f"{history_path}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
     return arriving.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _customers(txns: DataFrame) -> DataFrame:
+    return txns.select(F.explode(F.array("from_customer_id", "to_customer_id")).alias("_c")).filter(F.col("_c").isNotNull()).distinct()
+
+
+def _of(txns: DataFrame, customers: DataFrame) -> DataFrame:
+    """Transactions that one of the customers sends or receives, each once."""
+    sides = [txns.join(customers.withColumnRenamed("_c", c), c, "left_semi") for c in ("from_customer_id", "to_customer_id")]
+    return sides[0].unionByName(sides[1]).dropDuplicates(["id"])
+
+
 def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -93,6 +93,20 @@ def test_stream_equals_batch(spark, customers, rules, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "alerts"))) == key(evaluate_rules(spark.createDataFrame(rows, TXN), customers, rules))
 
 
+def test_stream_with_late_rows_equals_batch(spark, customers, rules, tmp_path):
+    """Rows of several days in no order: every match of the batch job is written once, whichever row completes it."""
+    rng = np.random.default_rng(6)
+    rows = [txn(i, rng.choice([20, 9000, 3000, 15000]), int(rng.integers(1, 6)), int(rng.integers(1, 6)), at=NOW + dt.timedelta(hours=3 * i)) for i in range(90)]
+    order = rng.permutation(90)
+    for k in range(3):
+        spark.createDataFrame([rows[i] for i in order[30 * k : 30 * k + 30]], TXN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(TXN).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_alerts(arriving, customers, rules, str(tmp_path / "seen"), str(tmp_path / "alerts"), str(tmp_path / "cp")).awaitTermination()
+    got = [(r.txn_id, r.rule_id) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()]
+    want = {(r.txn_id, r.rule_id) for r in evaluate_rules(spark.createDataFrame(rows, TXN), customers, rules).collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_windows_and_sessions(spark, tmp_path):
     rows = [txn(i, 50, 1, at=NOW + dt.timedelta(minutes=m)) for i, m in enumerate((0, 10, 20, 200, 205, 5000))]
     df = spark.createDataFrame(rows, TXN)
