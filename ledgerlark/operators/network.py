@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -51,18 +52,21 @@ def graph_hubs(nodes: DataFrame, customers: DataFrame, least: int = 5) -> DataFr
     return rows.join(customers.select(F.col("customer_id").alias("node"), "full_name", "risk_level"), "node", "left").select("node", "degree", "out_degree", "in_degree", "full_name", "risk_level")
 
 
-def chains(txns: DataFrame, hours: int, close: Column, least: int, most: int | None, strict: bool) -> Iterator[tuple[int, DataFrame]]:
+def chains(txns: DataFrame, hours: int, close: Column, within: float, least: int, most: int | None, strict: bool) -> Iterator[tuple[int, DataFrame]]:
     """(length, chains) of ``least`` to ``most`` transactions (without ``most``, until none grows): each sent by the last
     one's receiver, no earlier than it and at most ``hours`` later (``strict``: later, and less than that), amounts close,
-    no customer twice. ``close`` compares ``amount`` with ``amount_next``. Chains of one length grow from those before,
-    which are written.
+    no customer twice. ``close`` compares ``amount`` with ``amount_next``, which differ by at most the share ``within``.
+    Chains of one length grow from those before, which are written.
 
-    A step joins on the customer and a bucket of time as long as the span, a path looking into its own bucket and the
-    next: no pair farther apart than two buckets is ever compared."""
+    A step joins on the customer, a bucket of time as long as the span, and a bucket of the amount's logarithm as wide as
+    the share. A path looks into its own bucket of time and the next, and into its own bucket of amounts and those beside
+    it: an account with very many transactions spreads over its amounts, and no pair farther apart is ever compared."""
+    width = -math.log(1 - within) * 1.001
     span = hours * MICROS
     at = F.unix_micros(F.col("created_at").cast("timestamp"))
     rows = txns.filter(F.col("from_customer_id").isNotNull() & F.col("to_customer_id").isNotNull() & (F.col("amount") > 0) & (F.col("from_customer_id") != F.col("to_customer_id"))).select("id", "from_customer_id", "to_customer_id", "amount", at.alias("at"))
-    following = rows.select(F.col("from_customer_id").alias("last"), F.floor(F.col("at") / span).alias("bucket"), F.col("id").alias("id_next"), F.col("to_customer_id").alias("to_next"), F.col("amount").alias("amount_next"), F.col("at").alias("at_next"))
+    step = F.floor(F.log("amount") / width)
+    following = rows.select(F.col("from_customer_id").alias("last"), F.floor(F.col("at") / span).alias("bucket"), step.alias("step"), F.col("id").alias("id_next"), F.col("to_customer_id").alias("to_next"), F.col("amount").alias("amount_next"), F.col("at").alias("at_next"))
     paths = rows.select(F.col("id").alias("start_id"), F.array("id").alias("ids"), F.array("from_customer_id", "to_customer_id").alias("path"), F.col("to_customer_id").alias("last"), "amount", "at", F.col("amount").alias("total"))
     gap = F.col("at_next") - F.col("at")
     timely = (gap > 0) & (gap < span) if strict else (gap >= 0) & (gap <= span)
@@ -73,8 +77,8 @@ def chains(txns: DataFrame, hours: int, close: Column, least: int, most: int | N
         if length == most or (length > 1 and paths.isEmpty()):
             return
         bucket = F.floor(F.col("at") / span)
-        probe = paths.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-        grown = probe.join(following, ["last", "bucket"]).filter(timely & close & ~F.array_contains("path", F.col("to_next")))
+        probe = paths.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+        grown = probe.join(following, ["last", "bucket", "step"]).filter(timely & close & ~F.array_contains("path", F.col("to_next")))
         paths = grown.select("start_id", F.concat("ids", F.array("id_next")).alias("ids"), F.concat("path", F.array("to_next")).alias("path"), F.col("to_next").alias("last"), F.col("amount_next").alias("amount"), F.col("at_next").alias("at"), (F.col("total") + F.col("amount_next")).alias("total"))
         length += 1
         if length != most:
@@ -85,7 +89,7 @@ def pattern_layering(txns: DataFrame, hops: int = 3, most: int | None = None) ->
     """Layering chains within 48 hours and 20%, of at least ``hops`` transactions: customers along the way and the
     transactions, as texts."""
     close = F.abs(F.col("amount_next") - F.col("amount")) / F.col("amount") <= 0.20
-    found = reduce(DataFrame.unionByName, (paths for _, paths in chains(txns, 48, close, hops, most, strict=False)))
+    found = reduce(DataFrame.unionByName, (paths for _, paths in chains(txns, 48, close, 0.20, hops, most, strict=False)))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return found.select("start_id", text("ids").alias("txn_ids"), text("path").alias("customers"), rounded(F.col("total")).alias("total_amount"))
 
@@ -101,7 +105,7 @@ def graph_layering_chains(txns: DataFrame, as_of: str, hops: int = 9, days: int
     recent = txns.filter(F.col("created_at") >= ago(as_of, days=days))
     close = F.abs(F.col("amount_next") - F.col("amount")) / F.col("amount") < 0.15
     out = []
-    for length, found in chains(recent, 24, close, 2, hops, strict=True):
+    for length, found in chains(recent, 24, close, 0.15, 2, hops, strict=True):
         out.append(found.groupBy("start_id").agg(F.min(F.struct("ids", "total")).alias("m")).select("start_id", F.lit(length).alias("length"), F.element_at("m.ids", -1).alias("end_id"), rounded(F.col("m.total")).alias("total_amount")))
     return reduce(DataFrame.unionByName, out)
 
