@@ -78,29 +78,32 @@ def url_keys(host: Column, path: Column, labels: int) -> list[Column]:
     return [F.when(some, F.concat(F.lit("p:"), host, path)), *domains]
 
 
-def _places(key: Column, salt: int, bits: int, hashes: int) -> list[Column]:
-    """Where a key sets its bits in a level. The salt goes first, so keys that collide in one level part in another."""
-    h = F.xxhash64(F.lit(salt).cast("long"), key)
-    low, high = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33).bitwiseOR(F.lit(1))
-    return [F.pmod(low + F.lit(j) * high, F.lit(bits).cast("long")) for j in range(hashes)]
+def _marks(key: Column, salt: int, words: int, bits: int) -> list[tuple[Column, Column]]:
+    """The words of a level in which a key sets bits, and which: up to four in each, from one hash. The salt goes into the
+    hash before the key, so keys that collide in one level part in another."""
+    found = []
+    for group in range(-(-bits // 4)):
+        h = F.xxhash64(F.lit(salt).cast("long"), F.lit(group), key)
+        ones = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * j).bitwiseAND(F.lit(63).cast("long")).cast("int")) for j in range(min(4, bits - 4 * group))]
+        found.append((F.pmod(F.shiftright(h, 24), F.lit(words).cast("long")).cast("int"), reduce(Column.bitwiseOR, ones)))
+    return found
 
 
 class Level:
     """One Bloom filter: a written table of one row with its words, which plans read as a scalar subquery."""
 
     def __init__(self, keys: DataFrame, n: int, rate: float, salt: int):
-        self.salt, self.hashes = salt, max(1, round(-math.log2(rate)))
-        self.bits = 64 * max(1, math.ceil(n * self.hashes / math.log(2) / 64))
-        places = keys.select(F.explode(F.array(*_places(F.col("key"), salt, self.bits, self.hashes))).alias("p"))
-        ones = places.select(F.shiftright("p", 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("w"))
-        zeros = keys.sparkSession.range(self.bits // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))
+        self.salt, self.bits = salt, max(1, round(-math.log2(rate)))
+        self.size = max(1, math.ceil(n * self.bits / math.log(2) / 64))
+        ones = keys.select(F.inline(F.array(*(F.struct(i.alias("i"), w.alias("w")) for i, w in _marks(F.col("key"), salt, self.size, self.bits)))))
+        zeros = keys.sparkSession.range(self.size).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("w"))
         words = ones.unionAll(zeros).groupBy("i").agg(F.bit_or("w").alias("w"))
-        # One row of at most MOST_BITS / 64 words, whatever the corpus.
+        # One row of at most MOST_BITS / 64 words or so, whatever the corpus.
         self.words = materialize(words.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words")), "bloom")
 
     def passes(self, key: Column) -> Column:
         words = self.words.scalar()
-        return reduce(and_, (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(key, self.salt, self.bits, self.hashes)))
+        return reduce(and_, (F.get(words, i).bitwiseAND(w) == w for i, w in _marks(key, self.salt, self.size, self.bits)))
 
 
 class Cascade:
@@ -119,9 +122,9 @@ class Cascade:
         others = asked.agg(F.approx_count_distinct("key")).first()[0] or 0
         rate = min(0.5, max(2.0**-20, n_listed / (math.sqrt(2) * max(1, others))))
         self.levels.append(first := Level(listed, n_listed, rate, salt))
-        let_through = materialize(asked.filter(F.col("key").isNotNull()).filter(first.passes(F.col("key"))).distinct(), "passed")
-        inside = materialize(let_through.join(listed, "key", "left_semi"), "inside")
-        wrong = materialize(let_through.join(listed, "key", "left_anti"), "wrong")
+        let_through = asked.filter(F.col("key").isNotNull()).filter(first.passes(F.col("key"))).distinct()
+        both = materialize(let_through.join(listed.withColumn("in_list", F.lit(True)), "key", "left"), "passed")
+        inside, wrong = both.filter("in_list").select("key"), both.filter("in_list IS NULL").select("key")
         while n := wrong.count():
             self.levels.append(level := Level(wrong, n, later, salt + len(self.levels)))
             # What belongs to the other side and passes here has to be told apart by the next level.
