@@ -19,6 +19,16 @@ def money(x: Column) -> Column:
     return x.cast("decimal(18,2)")
 
 
+def cents(x: Column) -> Column:
+    """An amount as a whole number of hundredths; all amounts of a table may sum up to 92 million billions."""
+    return (money(x) * 100).cast("long")
+
+
+def dollars_of(n: Column) -> Column:
+    """A sum of ``cents`` as a double."""
+    return (n.cast("decimal(20,0)") * F.lit(0.01).cast("decimal(3,2)")).cast("double")
+
+
 def total(x: Column, when: Column | None = None) -> Column:
     return F.coalesce(F.sum(money(x) if when is None else F.when(when, money(x))), F.lit(0)).cast("double")
 

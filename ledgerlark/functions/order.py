@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.storage import materialize
 
 
-def running(df: DataFrame, order: Column, **sums: str) -> DataFrame:
+def running(df: DataFrame, order: Column | list[Column], **sums: str) -> DataFrame:
     """``df`` with a column for each of ``sums``: the sum of the named column over all rows up to and with this one.
 
-    ``order`` has to tell all rows apart (group by it first). Rows are sorted into ranges and written; each range is
+    ``order``, of one or several columns, has to tell all rows apart (group by it first). Rows are sorted into ranges and written; each range is
     summed by itself, and takes on the sums of the ranges before it, of which there are as many as shuffle partitions.
     Null values count as none; an empty frame stays empty."""
-    placed = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ordered")
+    order = order if isinstance(order, list) else [order]
+    placed = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = placed.groupBy("_range").agg(*(F.sum(x).alias(name) for name, x in sums.items()))
     starts = whole.select("_range", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums))
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.join(F.broadcast(starts), "_range")
     return rows.select(*df.columns, *((F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_before_{name}")).alias(name) for name, x in sums.items()))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.columns import ago, count_if, money, pct, rounded, total
+from ledgerlark.functions.columns import ago, cents, count_if, dollars_of, money, pct, rounded, total
+from ledgerlark.functions.sliding import Span, sliding
 from ledgerlark.operators.risk import band, steps
 from ledgerlark.operators.rules import MICROS
 
@@ -115,20 +116,21 @@ def pattern_smurfing(txns: DataFrame, limit: float = 10000.0, days: int = 3) ->
 
 
 def pattern_integration(txns: DataFrame, least: float = 5000.0, days: int = 7) -> DataFrame:
-    """Payments or wires with a flagged transaction of the sender in the days before: one window, no join."""
+    """Payments or wires with a flagged transaction of the sender in the days before."""
     rows = sent(txns).withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
-    back = Window.partitionBy("customer_id").orderBy("at").rangeBetween(-days * DAY, -1)
-    seen = F.min(F.when(F.col("flagged"), F.col("at"))).over(back)
-    event = F.col("transaction_type").isin("payment", "wire") & (F.col("amount") >= least) & F.col("_seen").isNotNull()
-    per = rows.withColumn("_seen", seen).groupBy("customer_id").agg(count_if(event).alias("events"), count_if(F.col("flagged")).alias("flagged"))
+    event = F.col("transaction_type").isin("payment", "wire") & (F.col("amount") >= least)
+    one = F.lit(1).cast("long")
+    cells = sliding(rows, "customer_id", "at", {"events": F.when(event, one), "flagged": F.when(F.col("flagged"), one)}, {"before": Span("flagged", -days * DAY, -1, event)})
+    per = cells.groupBy("customer_id").agg(F.coalesce(F.sum(F.when(F.col("before") > 0, F.col("events"))), F.lit(0)).alias("events"), F.sum("flagged").alias("flagged"))
     return per.withColumn("confidence", F.least(F.lit(100.0), F.col("events") * 15.0 + F.col("flagged") * 5.0))
 
 
 def pattern_rapid_clusters(txns: DataFrame, hours: int = 24, limit: float = 10000.0) -> DataFrame:
     """Transactions from which the next hours hold at least three that sum to the limit."""
-    ahead = Window.partitionBy("customer_id").orderBy("at").rangeBetween(0, hours * MICROS)
-    rows = sent(txns).withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp"))).select("customer_id", F.count("*").over(ahead).alias("n"), F.sum(money(F.col("amount"))).over(ahead).cast("double").alias("s"))
-    per = rows.filter((F.col("n") >= 3) & (F.col("s") >= limit)).groupBy("customer_id").agg(F.count("*").alias("clusters"), F.max("s").alias("largest"))
+    rows = sent(txns).withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
+    ahead = {name: Span(measure, 0, hours * MICROS) for name, measure in (("n", "own"), ("s", "volume"))}
+    cells = sliding(rows, "customer_id", "at", {"own": F.lit(1).cast("long"), "volume": cents(F.col("amount"))}, ahead).withColumn("s", dollars_of(F.col("s")))
+    per = cells.filter((F.col("n") >= 3) & (F.col("s") >= limit)).groupBy("customer_id").agg(F.sum("own").alias("clusters"), F.max("s").alias("largest"))
     return per.withColumn("confidence", F.least(F.lit(100.0), F.col("clusters") * 20.0))
 
 

@@ -1,9 +1,8 @@
 """Detection rules over whole transaction tables.
 
-All rules share one pass. Each transaction is a leg of its sender and a leg of its receiver; legs are dealt by customer
-and stretch of time, where a stretch also sees the longest window before it, so a customer of any size is spread over
-many tasks and windows stay exact. One window operator computes all counts and sums, and every transaction carries an
-array of its matches.
+All rules share one pass. Each transaction is a leg of its sender and a leg of its receiver; every count and sum over the
+hours before a leg is a difference of running sums over all legs in the order of customer and time, which are sorted into
+ranges, so a customer of any size is spread over many tasks. Every transaction carries an array of its matches.
 """
 
 from __future__ import annotations
@@ -13,16 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.columns import money, padded, rounded
+from ledgerlark.functions.columns import cents, dollars_of, padded, rounded
+from ledgerlark.functions.sliding import Span, sliding
 
 # Countries that the rules hold to be of high risk.
 HIGH_RISK_COUNTRIES = ["IR", "KP", "SY", "CU", "SD", "RU", "BY", "MM", "AF", "IQ", "LY", "SO", "YE", "VE", "ZW"]
 
 INCOMING, OUTGOING = ["deposit", "transfer", "wire"], ["withdrawal", "transfer", "wire"]
 MICROS = 3_600_000_000
-#: Hours of one stretch of time; windows are at most as long.
-STRETCH_HOURS = 720
-
 MATCH = "struct<rule_id:int,rule_name:string,category:string,severity:string,reason:string,risk_score:double,details:string>"
 
 
@@ -35,18 +32,30 @@ def capped(score: Column, most: float) -> Column:
 
 
 class Frames:
-    """Windows over legs: of one customer and stretch, from some hours before a leg up to it (equal times included)."""
+    """What the rules ask about the hours up to a leg (equal times included) of the same customer."""
 
     def __init__(self):
-        self.needs: dict[str, Column] = {}
-        self.sender = F.col("role") == "S"
+        self.measures: dict[str, Column] = {}
+        self.spans: dict[str, Span] = {}
+        self.firsts: dict[str, str] = {}
+        self.receivers = False
+
+    def sum(self, measure: str, value: Column, hours: float, wanted: Column | None = None, role: str = "S") -> Column:
+        """The sum of ``value`` over legs in one role, for senders' legs that ``wanted`` holds for."""
+        self.receivers |= role == "R"
+        self.measures[measure] = F.when(F.col("role") == role, value)
+        sender = F.col("role") == "S"
+        name = f"{measure}_{hours}h"
+        self.spans[name] = Span(measure, -int(hours * MICROS), 0, sender if wanted is None else sender & wanted)
+        return F.col(name)
 
-    def over(self, hours: float) -> Window:
-        return Window.partitionBy("who", "stretch").orderBy("at").rangeBetween(-int(hours * MICROS), 0)
+    def count(self, measure: str, test: Column, hours: float, wanted: Column | None = None) -> Column:
+        return self.sum(measure, F.when(test, F.lit(1).cast("long")), hours, wanted)
 
-    def add(self, name: str, value: Column) -> Column:
-        self.needs[name] = value
-        return F.col(name)
+    def first(self, measure: str, hours: float) -> Column:
+        """The time of the first leg that a count over the same hours counts."""
+        self.firsts[f"first_{measure}_{hours}h"] = f"{measure}_{hours}h"
+        return F.col(f"first_{measure}_{hours}h")
 
 
 def _large(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
@@ -60,21 +69,21 @@ def _structuring(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
     limit, hours = rule.threshold_amount or 10000.0, rule.time_window_hours or 72
     a = F.col("amount")
     band = a.between(limit * 0.80, limit * 0.999)
-    n = w.add(f"band_{rule.rule_id}", F.count(F.when(w.sender & band, 1)).over(w.over(hours)) - 1)
+    n = w.count(f"band_{rule.rule_id}", band, hours, band) - 1
     reason = F.concat(F.lit("Potential structuring: amount "), dollars(a), F.lit(" is just below reporting threshold. "), n.cast("string"), F.lit(f" similar transactions in the past {hours}h."))
     return band, capped(55 + n * 8.0, 95.0), reason, F.struct("amount", F.lit(limit).alias("threshold"), n.alias("similar_transactions_in_window"), F.lit(hours).alias("window_hours"))
 
 
 def _frequency(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
     hours, most = rule.time_window_hours or 24, rule.threshold_count or 5
-    n = w.add(f"sent_{hours}", F.count(F.when(w.sender, 1)).over(w.over(hours)))
+    n = w.count("sent", F.lit(True), hours)
     reason = F.concat(F.lit("High transaction frequency: "), n.cast("string"), F.lit(f" transactions in the past {hours} hours (threshold: {most})"))
     return n >= most, capped(50 + (n - most) * 5.0, 90.0), reason, F.struct(n.alias("transaction_count"), F.lit(most).alias("count_threshold"), F.lit(hours).alias("window_hours"))
 
 
 def _velocity(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
     hours, limit = rule.time_window_hours or 24, rule.threshold_amount or 25000.0
-    s = w.add(f"volume_{hours}", F.sum(F.when(w.sender, money(F.col("amount")))).over(w.over(hours)).cast("double"))
+    s = dollars_of(w.sum("volume", cents(F.col("amount")), hours))
     reason = F.concat(F.lit("High velocity: cumulative amount "), dollars(s), F.lit(f" in {hours}h exceeds threshold of "), dollars(F.lit(limit)))
     return s >= limit, capped(55 + (s - limit) / limit * 25, 92.0), reason, F.struct(rounded(s).alias("total_volume_in_window"), F.lit(limit).alias("amount_threshold"), F.lit(hours).alias("window_hours"))
 
@@ -91,8 +100,8 @@ def _country(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 def _rapid(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
     hours, least = rule.time_window_hours or 24, rule.threshold_amount or 5000.0
     kind = F.col("transaction_type")
-    sums = {side: F.coalesce(F.sum(F.when((F.col("role") == role) & kind.isin(kinds), money(F.col("amount")))).over(w.over(hours)), F.lit(0)).cast("double") for side, role, kinds in (("in", "R", INCOMING), ("out", "S", OUTGOING))}
-    got, sent = (w.add(f"{side}_{hours}", s) for side, s in sums.items())
+    got = dollars_of(w.sum("in", F.when(kind.isin(INCOMING), cents(F.col("amount"))), hours, role="R"))
+    sent = dollars_of(w.sum("out", F.when(kind.isin(OUTGOING), cents(F.col("amount"))), hours))
     ratio = sent / got
     reason = F.concat(F.lit("Rapid fund movement: received "), dollars(got), F.lit(" and sent "), dollars(sent), F.lit(f" within {hours}h (turnover ratio: "), F.format_number(ratio * 100, 0), F.lit("%)"))
     details = F.struct(rounded(got).alias("incoming_total"), rounded(sent).alias("outgoing_total"), rounded(ratio, 3).alias("turnover_ratio"), F.lit(hours).alias("window_hours"))
@@ -102,8 +111,8 @@ def _rapid(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 def _round(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
     limit, hours = rule.threshold_amount or 1000.0, rule.time_window_hours or 48
     a = F.col("amount")
-    n = w.add(f"from_{rule.rule_id}", F.count(F.when(w.sender & (a >= limit), 1)).over(w.over(hours)) - 1)
     whole = ((a % 1000 == 0) | ((a % 500 == 0) & (a >= 5000))) & (a - F.floor(a) < 0.01)
+    n = w.count(f"from_{rule.rule_id}", a >= limit, hours, (a >= limit) & whole) - 1
     reason = F.concat(F.lit("Suspicious round-number transaction: "), dollars(a), F.lit(". "), n.cast("string"), F.lit(f" similar round amounts in past {hours}h."))
     score = 45 + n * 5.0 + F.when(a >= 10000, 15.0).otherwise(0.0)
     return (a >= limit) & whole & ((n >= 1) | (a >= 10000)), capped(score, 85.0), reason, F.struct("amount", n.alias("round_transactions_in_window"))
@@ -118,9 +127,9 @@ def _pep(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 
 def _micro(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
     most, least, hours = rule.threshold_amount or 100.0, rule.threshold_count or 4, rule.time_window_hours or 1
-    small = w.sender & (F.col("amount") <= most)
-    n = w.add(f"small_{rule.rule_id}", F.count(F.when(small, 1)).over(w.over(hours)))
-    first = w.add(f"small_from_{rule.rule_id}", F.min(F.when(small, F.col("at"))).over(w.over(hours)))
+    small = F.col("amount") <= most
+    n = w.count(f"small_{rule.rule_id}", small, hours, small)
+    first = w.first(f"small_{rule.rule_id}", hours)
     # The mean gap of ordered times is their span over the number of gaps; the leg itself is the latest.
     gap = F.when(n >= 2, (F.col("at") - first) / 6e7 / (n - 1)).otherwise(F.lit(0.0))
     reason = F.concat(
@@ -137,19 +146,15 @@ RULES: dict[str, Callable] = {
 }
 
 
-def legs(txns: DataFrame, hours: float, stretch_hours: int = STRETCH_HOURS) -> DataFrame:
-    """Sender and receiver rows of each transaction, once in their own stretch of time (``core``) and once more in the
-    next one if that looks back on them."""
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    both = F.array(F.struct(F.col("from_customer_id").alias("who"), F.lit("S").alias("role")), F.struct(F.col("to_customer_id").alias("who"), F.lit("R").alias("role")))
-    span = stretch_hours * MICROS
-    own = F.floor(F.col("at") / span)
-    spread = F.when((own + 1) * span - F.col("at") <= int(hours * MICROS), F.array(own, own + 1)).otherwise(F.array(own))
-    rows = txns.withColumn("at", at).select("*", F.inline(both)).filter((F.col("role") == "S") | F.col("who").isNotNull())
-    return rows.select("*", own.alias("own"), F.explode(spread).alias("stretch")).withColumn("core", F.col("own") == F.col("stretch"))
+def legs(txns: DataFrame, receivers: bool = True) -> DataFrame:
+    """``who, role`` and ``at`` (microseconds) of each transaction's sender, and of its receiver where it has one."""
+    sides = [F.struct(F.col("from_customer_id").alias("who"), F.lit("S").alias("role"))]
+    if receivers:
+        sides.append(F.struct(F.col("to_customer_id").alias("who"), F.lit("R").alias("role")))
+    return txns.select("*", F.inline(F.array(*sides))).filter((F.col("role") == "S") | F.col("who").isNotNull())
 
 
-def evaluate_rules(txns: DataFrame, customers: DataFrame, rules: DataFrame, stretch_hours: int = STRETCH_HOURS) -> DataFrame:
+def evaluate_rules(txns: DataFrame, customers: DataFrame, rules: DataFrame) -> DataFrame:
     """``txn_id, customer_id, created_at`` and the columns of a match, one row per active rule and transaction it fires on.
 
     The time of a transaction is the end of its windows. Missing thresholds (null or 0) take each rule's default. The
@@ -159,13 +164,10 @@ def evaluate_rules(txns: DataFrame, customers: DataFrame, rules: DataFrame, stre
     made = [(r, *RULES[r.category](r, w)) for r in active]
     known = customers.select(F.col("customer_id").alias("_id"), F.col("country").alias("customer_country"), F.col("pep_status").alias("customer_pep"), F.col("full_name").alias("customer_name"))
     slim = txns.select("id", "from_customer_id", "to_customer_id", "amount", "currency", "transaction_type", "originating_country", "destination_country", "created_at")
-    if w.needs:
-        longest = max([72, *(r.time_window_hours or 0 for r in active)])
-        if longest > stretch_hours:
-            raise ValueError("a window is longer than a stretch of time")
-        rows = legs(slim, longest, stretch_hours).withColumns(w.needs).filter((F.col("role") == "S") & F.col("core"))
-    else:
-        rows = slim.withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
+    rows = slim.withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
+    if w.spans:
+        spans = sliding(legs(rows, w.receivers), "who", "at", w.measures, w.spans, w.firsts).select("who", F.col("at").alias("_at"), *w.spans, *w.firsts)
+        rows = rows.join(spans, F.col("from_customer_id").eqNullSafe(F.col("who")) & (F.col("at") == F.col("_at")), "left")
     rows = rows.join(known, rows["from_customer_id"] == known["_id"], "left")
     found = [
         F.when(test, F.struct(
