@@ -1,4 +1,9 @@
-"""Vectorised name helpers: folding to ASCII and the fuzzy name score."""
+"""Vectorised name helpers: folding to ASCII and the fuzzy name score.
+
+``match_score`` and ``jaro_winkler`` state the score for one pair; ``match_scores`` gives the same doubles for many pairs in
+array operations: names and tokens are coded once, the characters of all pairs are matched place by place in bit masks,
+each distinct pair of tokens is compared once, and whole names are compared only where the rest leaves a chance.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -68,6 +74,130 @@ def match_score(query: str, candidate: str) -> float:
     return float(int(min(whole, 99.9) * 100 + 0.5 + 1e-9)) / 100
 
 
+#: Longer names, and names of more tokens, are scored one by one.
+MOST_LETTERS, MOST_TOKENS = 64, 16
+
+
+def _coded(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of names in rows, 0 beyond their ends, and their lengths."""
+    sizes = np.array([len(n) for n in names], np.int64)
+    codes = np.zeros((len(names), max(1, int(sizes.max(initial=1)))), np.int32)
+    if len(names):
+        codes[np.arange(codes.shape[1]) < sizes[:, None]] = np.frombuffer("".join(names).encode("utf-32-le"), np.int32)
+    return codes, sizes
+
+
+def jaro_winkler_many(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``jaro_winkler(left[i], right[j])`` for all pairs of places; names have at most ``MOST_LETTERS`` letters."""
+    a, la = _coded(left)
+    b, lb = _coded(right)
+    letters = np.unique(np.concatenate([[0], a.ravel(), b.ravel()]))
+    a, b = np.searchsorted(letters, a), np.searchsorted(letters, b)
+    one, full = np.uint64(1), ~np.uint64(0)
+    # Of each right name and letter the places where it stands, as bits.
+    places = np.zeros((len(right), len(letters)), np.uint64)
+    for k in range(b.shape[1]):
+        places[np.arange(len(right)), b[:, k]] |= one << np.uint64(k)
+    places[:, 0] = 0
+    na, nb, n = la[i], lb[j], len(i)
+    reach = np.maximum(0, np.maximum(na, nb) // 2 - 1)
+    upto = lambda k: np.where(k >= 64, full, (one << np.minimum(k, 63).astype(np.uint64)) - one)
+    taken, m, rows = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.arange(n)
+    first = np.zeros((n, a.shape[1]), a.dtype)
+    for k in range(a.shape[1]):
+        letter = a[i, k]
+        free = places[j, letter] & upto(np.minimum(nb, k + reach + 1)) & ~upto(np.maximum(0, k - reach)) & ~taken
+        bit = free & (~free + one)
+        taken |= bit
+        hit = np.flatnonzero(bit)
+        first[hit, m[hit]] = letter[hit]
+        m[hit] += 1
+    second, at = np.zeros_like(first), np.zeros(n, np.int64)
+    for k in range(b.shape[1]):
+        hit = np.flatnonzero(taken >> np.uint64(k) & one)
+        second[hit, at[hit]] = b[j[hit], k]
+        at[hit] += 1
+    moved = (first != second).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / na + m / nb + (m - moved) / m) / 3, 0.0)
+    same, going = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(min(4, a.shape[1], b.shape[1])):
+        going &= (a[i, k] == b[j, k]) & (k < na) & (k < nb)
+        same += going
+    return np.where(jaro > 0.7, jaro + same * 0.1 * (1 - jaro), jaro)
+
+
+def match_scores(queries: list[str], candidates: list[str], least: float = 0.0) -> np.ndarray:
+    """``match_score`` of each pair; NaN where it cannot reach ``least``: not even with as many letters of the whole names
+    in common as the shorter one has, in their order."""
+    q_names, i = np.unique(np.array([q or "" for q in queries], object), return_inverse=True) if len(queries) else (np.array([], object), np.array([], np.int64))
+    c_names, j = np.unique(np.array([c or "" for c in candidates], object), return_inverse=True) if len(candidates) else (np.array([], object), np.array([], np.int64))
+    q_tokens, c_tokens = ([sorted(set(n.split())) for n in names] for names in (q_names, c_names))
+    fits = lambda names, tokens: np.array([len(n) <= MOST_LETTERS and len(t) <= MOST_TOKENS for n, t in zip(names, tokens, strict=True)], bool)
+    q_fits, c_fits = fits(q_names, q_tokens), fits(c_names, c_tokens)
+    out = np.zeros(len(i))
+    alone = ~(q_fits[i] & c_fits[j])
+    for k in np.flatnonzero(alone):
+        out[k] = match_score(q_names[i[k]], c_names[j[k]])
+    rest = np.flatnonzero(~alone & np.array([bool(n) for n in q_names], bool)[i] & np.array([bool(n) for n in c_names], bool)[j])
+    if not len(rest):
+        return out
+    i, j = i[rest], j[rest]
+    words = sorted({t for tokens, fit in ((q_tokens, q_fits), (c_tokens, c_fits)) for ts, f in zip(tokens, fit, strict=True) if f for t in ts})
+    number = {t: k for k, t in enumerate(words)}
+    q_table, c_table = (_table(tokens, fit, number) for tokens, fit in ((q_tokens, q_fits), (c_tokens, c_fits)))
+    q_size, c_size = (np.array([len(t) for t in tokens]) for tokens in (q_tokens, c_tokens))
+    qt, ct = q_table[i], c_table[j]
+    both = (qt[:, :, None] >= 0) & (ct[:, None, :] >= 0)
+    keys = np.where(both, qt[:, :, None].astype(np.int64) * len(words) + ct[:, None, :], -1)
+    known, back = np.unique(keys, return_inverse=True)
+    known_score = np.full(len(known), -1.0)
+    real = known >= 0
+    known_score[real] = jaro_winkler_many(words, words, known[real] // len(words), known[real] % len(words))
+    best = known_score[back].reshape(keys.shape).max(axis=2)
+    # Summed token by token, as in the definition.
+    tokens = np.zeros(len(i))
+    for k in range(best.shape[1]):
+        tokens += np.where(k < q_size[i], best[:, k], 0.0)
+    tokens = tokens / q_size[i]
+    common = ((qt[:, :, None] == ct[:, None, :]) & both).any(axis=2).sum(axis=1)
+    shared = common / (q_size[i] + c_size[j] - common)
+    inside = common == q_size[i]
+    score = np.full(len(i), 100.0)
+    qa, ca = (np.array([len(n) for n in names]) for names in (q_names, c_names))
+    short = np.minimum(qa[i], ca[j])
+    jaro = (short / qa[i] + short / ca[j] + 1) / 3
+    bound = 60.0 * tokens + 25.0 * (jaro + 0.4 * (1 - jaro)) + 15.0 * shared
+    hopeless = ~inside & (bound + 0.01 < least)
+    score[hopeless] = np.nan
+    todo = np.flatnonzero(~inside & ~hopeless)
+    q_short, c_short = ([n if f else "" for n, f in zip(names, fit, strict=True)] for names, fit in ((q_names, q_fits), (c_names, c_fits)))
+    whole = 60.0 * tokens[todo] + 25.0 * jaro_winkler_many(q_short, c_short, i[todo], j[todo]) + 15.0 * shared[todo]
+    score[todo] = np.floor(np.minimum(whole, 99.9) * 100 + 0.5 + 1e-9) / 100
+    out[rest] = score
+    return out
+
+
+def _table(tokens: list[list[str]], fit: np.ndarray, number: dict[str, int]) -> np.ndarray:
+    """Numbers of each name's tokens in rows, -1 beyond their ends."""
+    table = np.full((len(tokens), max([1, *(len(t) for t, f in zip(tokens, fit, strict=True) if f)])), -1, np.int64)
+    for row, (ts, f) in enumerate(zip(tokens, fit, strict=True)):
+        if f:
+            table[row, : len(ts)] = [number[t] for t in ts]
+    return table
+
+
 @F.pandas_udf(DoubleType())
 def name_match_score(queries: pd.Series, candidates: pd.Series) -> pd.Series:
-    return pd.Series([match_score(q, c) for q, c in zip(queries, candidates, strict=True)], dtype="float64")
+    return pd.Series(match_scores(queries.tolist(), candidates.tolist()))
+
+
+def name_match_from(least: float):
+    """``name_match_score``, or null where the score cannot reach ``least``."""
+
+    @F.pandas_udf(DoubleType())
+    def score(queries: pd.Series, candidates: pd.Series) -> pd.Series:
+        found = match_scores(queries.tolist(), candidates.tolist(), least)
+        return pd.Series(found).astype(object).where(~np.isnan(found), None)
+
+    return score

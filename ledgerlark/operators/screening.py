@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import count_if, pct, rounded
-from ledgerlark.functions.names import folded, name_match_score
+from ledgerlark.functions.names import folded, name_match_from
+from ledgerlark.functions.storage import materialize
 
 
 def grams(text: Column, n: int) -> Column:
@@ -14,36 +15,72 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
 
 
-def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str, most: int = 3) -> DataFrame:
-    """Rows of both sides where ``text`` contains ``needle`` (not empty). A needle is looked up by its rarest run of
-    ``most`` characters (all of it, if shorter) in an index of the runs of the texts, and then verified: an equi-join,
-    never a comparison of all pairs."""
+#: Places in one block of a run's list, and needles that meet a block at once.
+BLOCK = 4096
+
+
+def _runs(text: Column, most: int) -> Column:
+    """(n, run) of the distinct runs of 1 to ``most`` characters of a text."""
+
+    def of(n: int) -> Column:
+        found = F.when(F.length(text) >= n, grams(text, n)).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_gram")))
+
+    return F.flatten(F.array(*map(of, range(1, most + 1))))
+
+
+def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str, most: int = 3, block: int = BLOCK) -> DataFrame:
+    """``_needle, _text``: distinct needles (not empty) and the distinct texts that contain them.
+
+    A needle is looked up by its rarest run of ``most`` characters (all of it, if shorter) in an index of the texts' runs,
+    and then verified: an equi-join, never a comparison of all pairs. The list of a frequent run is cut into blocks of
+    about ``block`` texts, and needles that share it into blocks as well, so however common a run is, one key of the join
+    holds at most a block of each. Null texts contain nothing."""
     wanted = needles.filter(F.length(needle) > 0).select(F.col(needle).alias("_needle")).distinct().withColumn("_n", F.least(F.length("_needle"), F.lit(most)))
-    places = hay.select(text).distinct()
-    index = None
-    for n in range(1, most + 1):
-        part = places.filter(F.length(text) >= n).select(F.col(text).alias("_text"), F.lit(n).alias("_n"), F.explode(grams(F.col(text), n)).alias("_gram"))
-        part = part.join(wanted.filter(F.col("_n") == n).select(F.explode(grams(F.col("_needle"), n)).alias("_gram")).distinct(), "_gram", "left_semi")
-        index = part if index is None else index.unionByName(part)
-    size = F.col("_n")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_needle") - size + 1), lambda i: F.substring(F.col("_needle"), i, size)))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_needle") - F.col("_n") + 1), lambda i: F.substring(F.col("_needle"), i, F.col("_n"))))
+    asked = wanted.select("_needle", "_n", F.explode(runs).alias("_gram"))
+    places = texts.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    index = places.select("_text", F.inline(_runs(F.col("_text"), most))).join(asked.select("_n", "_gram").distinct(), ["_n", "_gram"], "left_semi")
+    index = materialize(index, "runs")
     frequent = index.groupBy("_n", "_gram").agg(F.count("*").alias("_f"))
-    rarest = wanted.select("_needle", "_n", F.explode(runs).alias("_gram")).join(frequent, ["_n", "_gram"]).groupBy("_needle", "_n").agg(F.min_by("_gram", F.struct("_f", "_gram")).alias("_gram"))
-    pairs = rarest.join(index, ["_n", "_gram"]).filter(F.contains("_text", "_needle")).select("_needle", "_text")
+    rarest = asked.join(frequent, ["_n", "_gram"]).groupBy("_needle", "_n").agg(F.min(F.struct("_f", "_gram")).alias("_r")).select("_needle", "_n", F.col("_r._gram").alias("_gram"))
+    # A needle of which some run stands in no text is in no text either; the rarest found run verifies to nothing then.
+    tiles = rarest.groupBy("_n", "_gram").agg(F.ceil(F.count("*") / block).alias("_q")).join(frequent, ["_n", "_gram"]).select("_n", "_gram", "_q", F.ceil(F.col("_f") / block).alias("_t"))
+    part = lambda of, count: F.pmod(F.xxhash64(of), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    left = rarest.join(tiles, ["_n", "_gram"]).select("_n", "_gram", "_needle", part("_needle", "_q").alias("_a"), every("_t").alias("_b"))
+    right = index.join(tiles, ["_n", "_gram"]).select("_n", "_gram", "_text", part("_text", "_t").alias("_b"), every("_q").alias("_a"))
+    return left.join(right, ["_n", "_gram", "_a", "_b"]).filter(F.contains("_text", "_needle")).select("_needle", "_text")
+
+
+def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str, most: int = 3) -> DataFrame:
+    """Rows of both sides where ``text`` contains ``needle`` (not empty); see ``contains_pairs``."""
+    pairs = contains_pairs(needles, hay, needle, text, most)
     return needles.join(pairs, F.col(needle) == F.col("_needle")).join(hay, F.col("_text") == F.col(text)).drop("_needle", "_text")
 
 
+def name_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """``q, alias_name`` of distinct folded queries (``q``) and distinct raw names (``alias_name``, and folded ``c``): any
+    token of three or more letters stands in the raw name, whatever the case; a query without such tokens is looked up
+    whole; one of a single letter, in the folded name (no other can score)."""
+    tokens = F.filter(F.split("q", " "), lambda t: F.length(t) >= 3)
+    needles = queries.select("q", F.explode(F.when(F.size(tokens) > 0, F.array_distinct(tokens)).when(F.length("q") >= 2, F.array("q"))).alias("needle"))
+    raw = names.select("alias_name", F.lower("alias_name").alias("hay"))
+    found = contains_join(needles, raw, "needle", "hay").select("q", "alias_name")
+    one = contains_join(queries.filter(F.length("q") == 1).select("q", F.col("q").alias("needle")), names.select("alias_name", F.col("c").alias("hay")), "needle", "hay", most=1)
+    return found.unionByName(one.select("q", "alias_name")).distinct()
+
+
+def _names(aliases: DataFrame) -> DataFrame:
+    return materialize(aliases.select("alias_name").filter(F.col("alias_name").isNotNull()).distinct().withColumn("c", folded("alias_name")), "names")
+
+
 def screen_candidates(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``query_id, alias_id`` pairs: any token of three or more letters stands in the raw alias, whatever the case; a
-    query without such tokens is looked up whole; one of a single letter, in the folded alias (no other can score)."""
+    """``query_id, alias_id`` pairs of queries and aliases whose names ``name_pairs`` brings together. A query without a
+    name has none."""
     q = queries.select("query_id", folded(F.coalesce("name", F.lit(""))).alias("q"))
-    tokens = F.filter(F.split("q", " "), lambda t: F.length(t) >= 3)
-    long = q.filter(F.size(tokens) > 0).select("query_id", F.explode(F.array_distinct(tokens)).alias("needle"))
-    rest = q.filter((F.size(tokens) == 0) & (F.length("q") > 0))
-    raw = aliases.select("alias_id", F.lower("alias_name").alias("hay"))
-    found = contains_join(long.unionByName(rest.filter(F.length("q") >= 2).select("query_id", F.col("q").alias("needle"))), raw, "needle", "hay")
-    single = contains_join(rest.filter(F.length("q") == 1).select("query_id", F.col("q").alias("needle")), aliases.select("alias_id", folded("alias_name").alias("hay")), "needle", "hay", most=1)
-    return found.select("query_id", "alias_id").unionByName(single.select("query_id", "alias_id")).distinct()
+    pairs = name_pairs(q.select("q").distinct(), _names(aliases))
+    return q.join(pairs, "q").join(aliases.select("alias_id", "alias_name"), "alias_name").select("query_id", "alias_id").distinct()
 
 
 def filter_entries(entries: DataFrame, entity_type: str | None = None, list_name: str | None = None, program: str | None = None) -> DataFrame:
@@ -85,11 +122,14 @@ def label(score: Column) -> Column:
 def bulk_screen(queries: DataFrame, entries: DataFrame, aliases: DataFrame, locations: DataFrame, identifiers: DataFrame, min_score: float = 65.0, most: int = 5, hits_only: bool = False) -> DataFrame:
     """Each query's best hits by score and matched name, with address and all aliases; queries without any keep one
     NO MATCH row unless ``hits_only``."""
-    q = queries.select("query_id", "entity_type", folded(F.coalesce("name", F.lit(""))).alias("q"))
-    a = aliases.select("alias_id", "entry_id", "alias_name", "low_quality", folded("alias_name").alias("c"))
-    kinds = entries.select("entry_id", F.col("entity_type").alias("_kind"))
-    pairs = screen_candidates(queries, aliases).join(q, "query_id").join(a, "alias_id").join(kinds, "entry_id").filter(F.col("entity_type").isNull() | (F.col("entity_type") == F.col("_kind")))
-    raw = pairs.withColumn("raw", name_match_score("q", "c"))
+    q = materialize(queries.select("query_id", "entity_type", folded(F.coalesce("name", F.lit(""))).alias("q")), "queries")
+    names = _names(aliases)
+    pairs = materialize(name_pairs(q.select("q").distinct(), names).join(names, "alias_name"), "name_pairs")
+    # Each pair of folded names is scored once, whoever asks and however many aliases have it; a score below the least is
+    # of no use, as a low quality only lowers it.
+    scored = pairs.select("q", "c").distinct().withColumn("raw", name_match_from(min_score)("q", "c")).filter(F.col("raw") >= min_score)
+    a = aliases.select("alias_id", "entry_id", "alias_name", "low_quality").join(entries.select("entry_id", F.col("entity_type").alias("_kind")), "entry_id")
+    raw = pairs.join(scored, ["q", "c"]).select("q", "alias_name", "raw").join(a, "alias_name").join(q, "q").filter(F.col("entity_type").isNull() | (F.col("entity_type") == F.col("_kind")))
     score = F.when(F.col("low_quality") & (F.col("raw") < 100), F.col("raw") * 0.97).otherwise(F.col("raw"))
     names = raw.withColumn("score", score).filter(F.col("score") >= min_score).select("query_id", "entry_id", "alias_id", "alias_name", rounded(F.col("score")).alias("score"), F.lit(0).alias("by_id"))
     by_id = screen_by_id(queries, identifiers, aliases).join(aliases.select("alias_id", "alias_name"), "alias_id").select("query_id", "entry_id", "alias_id", "alias_name", F.lit(100.0).alias("score"), F.lit(1).alias("by_id"))
