@@ -20,9 +20,16 @@ HIGH_RISK_COUNTRIES = ["IR", "KP", "SY", "CU", "SD", "RU", "BY", "MM", "AF", "IQ
 
 INCOMING, OUTGOING = ["deposit", "transfer", "wire"], ["withdrawal", "transfer", "wire"]
 MICROS = 3_600_000_000
+#: Hours that a rule looks back where its row doesn't say.
+WINDOW_HOURS = {"structuring": 72, "frequency": 24, "velocity": 24, "rapid_movement": 24, "round_amount": 48, "micro_transaction": 1}
+
 MATCH = "struct<rule_id:int,rule_name:string,category:string,severity:string,reason:string,risk_score:double,details:string>"
 
 
+def window_hours(rule: Row) -> int:
+    return rule.time_window_hours or WINDOW_HOURS.get(rule.category, 0)
+
+
 def dollars(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(x, 2))
 
@@ -66,7 +73,7 @@ def _large(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 
 
 def _structuring(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
-    limit, hours = rule.threshold_amount or 10000.0, rule.time_window_hours or 72
+    limit, hours = rule.threshold_amount or 10000.0, window_hours(rule)
     a = F.col("amount")
     band = a.between(limit * 0.80, limit * 0.999)
     n = w.count(f"band_{rule.rule_id}", band, hours, band) - 1
@@ -75,14 +82,14 @@ def _structuring(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 
 
 def _frequency(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
-    hours, most = rule.time_window_hours or 24, rule.threshold_count or 5
+    hours, most = window_hours(rule), rule.threshold_count or 5
     n = w.count("sent", F.lit(True), hours)
     reason = F.concat(F.lit("High transaction frequency: "), n.cast("string"), F.lit(f" transactions in the past {hours} hours (threshold: {most})"))
     return n >= most, capped(50 + (n - most) * 5.0, 90.0), reason, F.struct(n.alias("transaction_count"), F.lit(most).alias("count_threshold"), F.lit(hours).alias("window_hours"))
 
 
 def _velocity(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
-    hours, limit = rule.time_window_hours or 24, rule.threshold_amount or 25000.0
+    hours, limit = window_hours(rule), rule.threshold_amount or 25000.0
     s = dollars_of(w.sum("volume", cents(F.col("amount")), hours))
     reason = F.concat(F.lit("High velocity: cumulative amount "), dollars(s), F.lit(f" in {hours}h exceeds threshold of "), dollars(F.lit(limit)))
     return s >= limit, capped(55 + (s - limit) / limit * 25, 92.0), reason, F.struct(rounded(s).alias("total_volume_in_window"), F.lit(limit).alias("amount_threshold"), F.lit(hours).alias("window_hours"))
@@ -98,7 +105,7 @@ def _country(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 
 
 def _rapid(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
-    hours, least = rule.time_window_hours or 24, rule.threshold_amount or 5000.0
+    hours, least = window_hours(rule), rule.threshold_amount or 5000.0
     kind = F.col("transaction_type")
     got = dollars_of(w.sum("in", F.when(kind.isin(INCOMING), cents(F.col("amount"))), hours, role="R"))
     sent = dollars_of(w.sum("out", F.when(kind.isin(OUTGOING), cents(F.col("amount"))), hours))
@@ -109,7 +116,7 @@ def _rapid(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 
 
 def _round(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
-    limit, hours = rule.threshold_amount or 1000.0, rule.time_window_hours or 48
+    limit, hours = rule.threshold_amount or 1000.0, window_hours(rule)
     a = F.col("amount")
     whole = ((a % 1000 == 0) | ((a % 500 == 0) & (a >= 5000))) & (a - F.floor(a) < 0.01)
     n = w.count(f"from_{rule.rule_id}", a >= limit, hours, (a >= limit) & whole) - 1
@@ -126,7 +133,7 @@ def _pep(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
 
 
 def _micro(rule: Row, w: Frames) -> tuple[Column, Column, Column, Column]:
-    most, least, hours = rule.threshold_amount or 100.0, rule.threshold_count or 4, rule.time_window_hours or 1
+    most, least, hours = rule.threshold_amount or 100.0, rule.threshold_count or 4, window_hours(rule)
     small = F.col("amount") <= most
     n = w.count(f"small_{rule.rule_id}", small, hours, small)
     first = w.first(f"small_{rule.rule_id}", hours)
@@ -154,12 +161,16 @@ def legs(txns: DataFrame, receivers: bool = True) -> DataFrame:
     return txns.select("*", F.inline(F.array(*sides))).filter((F.col("role") == "S") | F.col("who").isNotNull())
 
 
+def active_rules(rules: DataFrame) -> list[Row]:
+    return [r for r in rules.filter("is_active").orderBy("rule_id").collect() if r.category in RULES]
+
+
 def evaluate_rules(txns: DataFrame, customers: DataFrame, rules: DataFrame) -> DataFrame:
     """``txn_id, customer_id, created_at`` and the columns of a match, one row per active rule and transaction it fires on.
 
     The time of a transaction is the end of its windows. Missing thresholds (null or 0) take each rule's default. The
     rules table is configuration of a few rows and is read by the driver to build the expressions."""
-    active = [r for r in rules.filter("is_active").orderBy("rule_id").collect() if r.category in RULES]
+    active = active_rules(rules)
     w = Frames()
     made = [(r, *RULES[r.category](r, w)) for r in active]
     known = customers.select(F.col("customer_id").alias("_id"), F.col("country").alias("customer_country"), F.col("pep_status").alias("customer_pep"), F.col("full_name").alias("customer_name"))

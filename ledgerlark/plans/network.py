@@ -48,17 +48,7 @@ _OTHERS = f"""SELECT *, concat_ws(',', CASE WHEN others > 10 THEN 'high_diversit
   SELECT a AS customer_id, count(*) AS others, {cnt('n = 1')} AS one_time FROM (SELECT a, b, count(*) AS n FROM (SELECT from_customer_id AS a, to_customer_id AS b FROM aml_txn UNION ALL SELECT to_customer_id, from_customer_id FROM aml_txn) p WHERE a <> b GROUP BY 1, 2) q GROUP BY 1) z"""
 
 
-def _step(i: int, hours: int, rule: str, strict: bool) -> str:
-    a, b = f"t{i}", f"t{i + 1}"
-    span = f"{b}.created_at > {a}.created_at AND {b}.created_at < {a}.created_at + INTERVAL {hours} HOUR" if strict else f"{b}.created_at >= {a}.created_at AND {b}.created_at <= {a}.created_at + INTERVAL {hours} HOUR"
-    visited = " AND ".join(f"{b}.to_customer_id <> t1.from_customer_id" if k == 0 else f"{b}.to_customer_id <> t{k}.to_customer_id" for k in range(i + 1))
-    return f"JOIN x {b} ON {b}.from_customer_id = {a}.to_customer_id AND {span} AND abs({b}.amount - {a}.amount) / {a}.amount {rule} AND {visited}"
-
-
 _X = "x AS (SELECT id, from_customer_id, to_customer_id, amount, created_at FROM aml_txn WHERE amount > 0 AND from_customer_id <> to_customer_id"
-_LAYER = f"WITH {_X}) SELECT t1.id AS start_id, concat_ws(',', t1.id, t2.id, t3.id) AS txn_ids, concat_ws(',', t1.from_customer_id, t1.to_customer_id, t2.to_customer_id, t3.to_customer_id) AS customers, {r('t1.amount + t2.amount + t3.amount')} AS total_amount FROM x t1 {_step(1, 48, '<= 0.2E0', False)} {_step(2, 48, '<= 0.2E0', False)}"
-
-
 def _grown(hours: int, rule: str, strict: bool, most: int | None, where: str = "") -> str:
     """``p``: chains of any length up to ``most`` transactions."""
     span = f"b.created_at > p.at AND b.created_at < p.at + INTERVAL {hours} HOUR" if strict else f"b.created_at >= p.at AND b.created_at <= p.at + INTERVAL {hours} HOUR"
@@ -66,8 +56,8 @@ def _grown(hours: int, rule: str, strict: bool, most: int | None, where: str = "
     UNION ALL SELECT p.start_id, list_append(p.ids, b.id), list_append(p.path, b.to_customer_id), b.to_customer_id, b.amount, b.created_at, p.total + b.amount FROM p JOIN x b ON b.from_customer_id = p.last AND {span} AND abs(b.amount - p.amount) / p.amount {rule} AND NOT list_contains(p.path, b.to_customer_id){f' WHERE len(p.ids) < {most}' if most else ''})"""
 
 
-_LAYER_ALL = f"{_grown(48, '<= 0.2E0', False, None)} SELECT start_id, array_to_string(ids, ',') AS txn_ids, array_to_string(path, ',') AS customers, {r('total')} AS total_amount FROM p WHERE len(ids) >= 3"
-_CHAINS_ALL = f"{_grown(24, '< 0.15E0', True, 9, f' AND created_at >= {_win(30)}')} SELECT start_id, CAST(len(ids) AS INTEGER) AS length, ids[-1] AS end_id, {r('total')} AS total_amount FROM (SELECT *, row_number() OVER (PARTITION BY start_id, len(ids) ORDER BY ids) AS k FROM p WHERE len(ids) >= 2) q WHERE k = 1"
+_LAYER = f"{_grown(48, '<= 0.2E0', False, None)} SELECT start_id, array_to_string(ids, ',') AS txn_ids, array_to_string(path, ',') AS customers, {r('total')} AS total_amount FROM p WHERE len(ids) >= 3"
+_CHAINS = f"{_grown(24, '< 0.15E0', True, 9, f' AND created_at >= {_win(30)}')} SELECT start_id, CAST(len(ids) AS INTEGER) AS length, ids[-1] AS end_id, {r('total')} AS total_amount FROM (SELECT *, row_number() OVER (PARTITION BY start_id, len(ids) ORDER BY ids) AS k FROM p WHERE len(ids) >= 2) q WHERE k = 1"
 _CYCLES = "\nUNION\n".join(
     f"SELECT CAST({n} AS INTEGER) AS length, array_to_string(list_sort([{', '.join(f'e{i}.src' for i in range(1, n + 1))}]), ',') AS nodes FROM e e1 "
     + " ".join(f"JOIN e e{i} ON e{i}.src = e{i - 1}.dst AND e{i}.src > e1.src" + "".join(f" AND e{i}.src <> e{j}.src" for j in range(2, i)) for i in range(2, n + 1)) + f" WHERE e{n}.dst = e1.src" for n in range(2, 6))
@@ -133,14 +123,8 @@ PLANS = {
     "pattern_integration": (lambda t: B.pattern_integration(t.aml_txn), _INTEG),
     "pattern_rapid_clusters": (lambda t: B.pattern_rapid_clusters(t.aml_txn), _RAPID),
     "pattern_counterparties": (lambda t: B.pattern_counterparties(t.aml_txn), _OTHERS),
-    "pattern_layering": (lambda t: G.pattern_layering(t.aml_txn, most=3), _LAYER),
-    "pattern_scores": (
-        lambda t: B.pattern_scores(t.aml_txn, G.layering_confidence(t.aml_txn, most=3)),
-        _SCORES,
-    ),
-    "pattern_layering_whole": (lambda t: G.pattern_layering(t.aml_txn), _LAYER_ALL),
-    "pattern_scores_whole": (lambda t: B.pattern_scores(t.aml_txn, G.layering_confidence(t.aml_txn)), _SCORES.replace(_LAYER, _LAYER_ALL)),
-    "graph_layering_chains_whole": (lambda t: G.graph_layering_chains(t.aml_txn, AT), _CHAINS_ALL),
+    "pattern_layering": (lambda t: G.pattern_layering(t.aml_txn), _LAYER),
+    "pattern_scores": (lambda t: B.pattern_scores(t.aml_txn, G.layering_confidence(t.aml_txn)), _SCORES),
     "graph_edges": (lambda t: _graph(t, 30), _edges(30)),
     "graph_nodes": (lambda t: G.graph_nodes(_graph(t)), _NODES),
     "graph_cycles": (lambda t: G.graph_cycles(_graph(t)), f"WITH e AS (SELECT src, dst FROM ({_edges()}) q) {_CYCLES}"),
@@ -148,10 +132,7 @@ PLANS = {
         lambda t: G.graph_hubs(G.graph_nodes(_graph(t)), t.aml_customer),
         f"SELECT node, out_degree + in_degree AS degree, out_degree, in_degree, full_name, risk_level FROM ({_NODES}) n LEFT JOIN aml_customer c ON c.customer_id = n.node WHERE out_degree + in_degree >= 5",
     ),
-    "graph_layering_chains": (
-        lambda t: G.graph_layering_chains(t.aml_txn, AT, hops=2),
-        f"WITH {_X} AND created_at >= {_win(30)}) SELECT start_id, CAST(2 AS INTEGER) AS length, end_id, total_amount FROM (SELECT t1.id AS start_id, t2.id AS end_id, {r('t1.amount + t2.amount')} AS total_amount, row_number() OVER (PARTITION BY t1.id ORDER BY t2.id) AS k FROM x t1 {_step(1, 24, '< 0.15E0', True)}) q WHERE k = 1",
-    ),
+    "graph_layering_chains": (lambda t: G.graph_layering_chains(t.aml_txn, AT), _CHAINS),
     "graph_centrality": (
         lambda t: G.graph_centrality(G.graph_nodes(_graph(t)), _graph(t)),
         f"""WITH nodes AS ({_NODES}), p AS (SELECT node, sum(n) AS taken FROM (SELECT src AS node, n FROM ({_edges()}) a UNION ALL SELECT dst, n FROM ({_edges()}) b) x GROUP BY 1)

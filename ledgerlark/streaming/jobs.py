@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlark.functions.columns import money
-from ledgerlark.operators.rules import evaluate_rules
+from ledgerlark.functions.storage import materialize
+from ledgerlark.operators.rules import active_rules, evaluate_rules, window_hours
 
 
-def stream_alerts(arriving: DataFrame, customers: DataFrame, rules: DataFrame, history_path: str, alerts_path: str, checkpoint: str, hours: int = 72) -> StreamingQuery:
-    """Evaluates all rules on each micro-batch and writes its matches (``txn_id, rule_id`` once); together they equal the
-    batch job.
+KEY = ["txn_id", "rule_id"]
 
-    A batch is joined with what its customers did from the longest window before it on, read from the history that earlier
-    batches wrote. A transaction may arrive late: those at most ``hours`` after it that share a customer with it are judged
-    once more, and what matches only now is written with this batch. Matches already written stay as they are. Both tables
-    are partitioned by batch id, so a batch that is tried again overwrites its own rows; the history also by day, and a
-    batch reads only the days that it can reach."""
+
+def stream_alerts(arriving: DataFrame, customers: DataFrame, rules: DataFrame, history_path: str, alerts_path: str, checkpoint: str, changes_path: str | None = None, hours: int | None = None) -> StreamingQuery:
+    """Evaluates all rules on each micro-batch and writes its matches; with the changes, they equal the batch job however
+    late a transaction arrives (``current_alerts``).
+
+    A batch is joined with what its customers did within the longest window of the active rules (or ``hours``) around it,
+    read from the history that earlier batches wrote, of those days alone. Transactions after a late one that share a
+    customer with it are judged twice: on the history as it was and as it is now. Matches that are new go to ``alerts_path``;
+    to ``changes_path``, if there is one, go those that no longer hold (``withdraw``) and those whose score or reason is
+    another one (``update``). Earlier alerts are never read, so the cost of a batch doesn't grow with their number. All
+    tables are partitioned by batch id, the history by day first; a batch that is tried again overwrites its own rows.
+    Rules have to stay the same while a stream runs, and ids have to tell transactions apart."""
+    reach = hours or max([1, *map(window_hours, active_rules(rules))])
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -26,32 +33,48 @@ def stream_alerts(arriving: DataFrame, customers: DataFrame, rules: DataFrame, h
         try:
             if batch.isEmpty():
                 return
-            earlier = F.col("batch_id") < batch_id
-            span = F.make_interval(hours=F.lit(hours))
+            span = F.make_interval(hours=F.lit(reach))
             first, last = (x.cast("timestamp") for x in map(F.lit, batch.agg(F.min("created_at"), F.max("created_at")).first()))
+            days = batch.select(F.explode(F.sequence(F.to_date(first - span), F.to_date(last + span)))).distinct()
+            held = [path for (day,) in sorted(days.collect()) if _exists(spark, path := f"{history_path}/day={day}")]
             seen = batch.limit(0)
-            if _exists(spark, history_path):
-                stored = spark.read.schema(f"{_ddl(batch)}, batch_id long, day date").parquet(history_path)
-                reach = F.col("day").between(F.to_date(first - span), F.to_date(last + span))
-                recent = (F.col("created_at") >= first - span) & (F.col("created_at") <= last + span)
-                seen = stored.filter(earlier & reach & recent).select(*batch.columns)
+            if held:
+                stored = spark.read.schema(f"{_ddl(batch)}, day date, batch_id long").option("basePath", history_path).parquet(*held)
+                seen = stored.filter((F.col("batch_id") < batch_id) & (F.col("created_at") >= first - span) & (F.col("created_at") <= last + span)).select(*batch.columns)
             touched = _customers(batch)
-            # Transactions from the batch's first time on may match more now; they need all of their customers' rows.
+            # Transactions from the batch's first time on may match otherwise now; they need all of their customers' rows.
             again = _of(seen.filter(F.col("created_at") >= first), touched)
-            past = _of(seen, touched.unionByName(_customers(again)).distinct())
-            judged = batch.select(F.col("id").alias("txn_id")).unionByName(again.select(F.col("id").alias("txn_id"))).distinct()
-            matches = evaluate_rules(batch.unionByName(past), customers, rules).join(judged, "txn_id", "left_semi").dropDuplicates(["txn_id", "rule_id"])
-            if _exists(spark, alerts_path):
-                told = spark.read.schema(f"{_ddl(matches)}, batch_id long").parquet(alerts_path).filter(earlier)
-                matches = matches.join(told.select("txn_id", "rule_id"), ["txn_id", "rule_id"], "left_anti")
-            matches.write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
-            batch.withColumn("day", F.to_date("created_at")).write.partitionBy("day").mode("overwrite").parquet(f"{history_path}/batch_id={batch_id}")
+            past = materialize(_of(seen, touched.unionByName(_customers(again)).distinct()), "past")
+            ids = again.select(F.col("id").alias("txn_id"))
+            new = _judged(batch.unionByName(past), customers, rules, batch.select(F.col("id").alias("txn_id")).unionByName(ids))
+            old = _judged(past, customers, rules, ids)
+            new.join(old, KEY, "left_anti").write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
+            if changes_path:
+                was = old.select(*KEY, F.struct("risk_score", "reason", "details").alias("_was"))
+                update = new.join(was, KEY).filter(~F.struct("risk_score", "reason", "details").eqNullSafe(F.col("_was"))).drop("_was").withColumn("change", F.lit("update"))
+                withdraw = old.join(new, KEY, "left_anti").withColumn("change", F.lit("withdraw"))
+                update.unionByName(withdraw).write.mode("overwrite").parquet(f"{changes_path}/batch_id={batch_id}")
+            parts = batch.withColumn("day", F.to_date("created_at")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            parts.write.partitionBy("day", "batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(history_path)
         finally:
             batch.unpersist()
 
     return arriving.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _judged(txns: DataFrame, customers: DataFrame, rules: DataFrame, ids: DataFrame) -> DataFrame:
+    return materialize(evaluate_rules(txns, customers, rules).join(ids.distinct(), "txn_id", "left_semi").dropDuplicates(KEY), "matches")
+
+
+def current_alerts(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Matches that hold after all batches, each as the last batch that touched it left it. Both frames are what
+    ``stream_alerts`` wrote, with their ``batch_id``."""
+    told = alerts.withColumn("change", F.lit("add")).unionByName(changes)
+    columns = [c for c in told.columns if c not in KEY]
+    last = told.groupBy(*KEY).agg(F.max_by(F.struct(*columns), "batch_id").alias("_l")).filter(F.col("_l.change") != "withdraw")
+    return last.select(*KEY, *(F.col(f"_l.{c}").alias(c) for c in columns if c not in ("change", "batch_id"))).select(*(c for c in alerts.columns if c != "batch_id"))
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

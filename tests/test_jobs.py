@@ -11,7 +11,7 @@ from ledgerlark.operators import listing, models, network
 from ledgerlark.operators.rules import evaluate_rules, generate_alerts
 from ledgerlark.sources.fixtures import VIEWS
 from ledgerlark.sources.sanctions_xml import load_sdn_xml, load_un_xml
-from ledgerlark.streaming.jobs import customer_sessions, stream_alerts, stream_velocity_windows
+from ledgerlark.streaming.jobs import current_alerts, customer_sessions, stream_alerts, stream_velocity_windows
 
 NOW = dt.datetime(2024, 1, 10, 12)
 TXN = "id long, from_customer_id long, to_customer_id long, amount double, currency string, transaction_type string, originating_country string, destination_country string, created_at timestamp"
@@ -111,6 +111,28 @@ def test_stream_with_late_rows_equals_batch(spark, customers, rules, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_stream_with_long_windows_and_withdrawn_matches_equals_batch(spark, customers, rules, tmp_path):
+    """Windows of a week, rows in any order, a late row that breaks up a burst of small amounts: what holds at the end is
+    what the batch job finds, scores and reasons too, and some match was taken back."""
+    rng = np.random.default_rng(11)
+    weekly = rules.withColumn("time_window_hours", F.when(F.col("category") == "micro_transaction", 4).otherwise(168)).withColumn("threshold_count", F.when(F.col("category") == "micro_transaction", 2).otherwise(F.col("threshold_count")))
+    rows = [txn(i, rng.choice([9000, 3000, 15000]), int(rng.integers(1, 5)), int(rng.integers(1, 5)), at=NOW + dt.timedelta(hours=7 * i)) for i in range(60)]
+    rows = [rows[i] for i in rng.permutation(60)]
+    # Two small amounts 5 minutes apart match; an earlier one makes their mean gap too long.
+    start = NOW + dt.timedelta(days=3)
+    small = [txn(200, 20, 4, 3, at=start + dt.timedelta(minutes=60)), txn(201, 20, 4, 3, at=start + dt.timedelta(minutes=55)), txn(202, 20, 9, 8, at=start + dt.timedelta(minutes=240)), txn(203, 20, 9, 8, at=start + dt.timedelta(minutes=235)), txn(204, 20, 9, 8, at=start)]
+    batches = [[*rows[:20], small[2], small[3]], [*rows[20:40], small[0]], [*rows[40:], small[1], small[4]]]
+    weekly = weekly.withColumn("threshold_count", F.when(F.col("category") == "frequency", 3).otherwise(F.col("threshold_count")))
+    for b in batches:
+        spark.createDataFrame(b, TXN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(TXN).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_alerts(arriving, customers, weekly, str(tmp_path / "seen"), str(tmp_path / "alerts"), str(tmp_path / "cp"), str(tmp_path / "changes")).awaitTermination()
+    adds, changes = spark.read.parquet(str(tmp_path / "alerts")), spark.read.parquet(str(tmp_path / "changes"))
+    key = lambda df: sorted((r.txn_id, r.rule_id, r.risk_score, r.reason, r.details) for r in df.collect())
+    assert key(current_alerts(adds, changes)) == key(evaluate_rules(spark.createDataFrame(sum(batches, []), TXN), customers, weekly))
+    assert {r.change for r in changes.collect()} == {"update", "withdraw"}
+
+
 def test_windows_and_sessions(spark, tmp_path):
     rows = [txn(i, 50, 1, at=NOW + dt.timedelta(minutes=m)) for i, m in enumerate((0, 10, 20, 200, 205, 5000))]
     df = spark.createDataFrame(rows, TXN)
