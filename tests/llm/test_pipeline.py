@@ -78,7 +78,10 @@ def test_null_and_repeated_ids(spark):
 
     want = sum(r.repeats for r in mix_sources(docs).collect())
     before, after = Counter(rows), Counter(many)
-    assert len(many) == want and all(after[r] <= 3 * before[r] and after[r] % before[r] == 0 for r in after)
+    assert len(many) == want and all(after[r] <= 3 * before[r] for r in after)
+    # Only at its boundary does a source take some of several equal rows once more than the others.
+    split = [(r[3], r[1]) for r in after if after[r] % before[r]]
+    assert len(split) == len({source for source, _ in split})
 
 
 def test_clashing_columns_and_nulls(spark):
