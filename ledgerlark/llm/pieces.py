@@ -127,11 +127,15 @@ class Model:
         return not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in self.pieces)
 
 
+#: Ids that one call of the decoder gets, unless a single text has more.
+IDS = 200_000
+
+
 class Codec:
     """Encodes and decodes texts with the tokenizers library; sentencepiece is asked for parity only.
 
-    Where the model lets words be encoded one by one, a worker remembers the ids of up to ``most`` distinct words, and
-    parity and round trip are verified word by word when a word is first met; else on whole texts. A call of a library gets
+    Every text is decoded whole and compared. Where the model lets words be encoded one by one, a worker remembers the ids
+    of up to ``most`` distinct words, and parity is verified when a word is first met; else on whole texts. A call of a library gets
     at most ``batch`` words, as its results take far more memory than the ids that are kept."""
 
     def __init__(self, path: str, threads: int = 2, most: int = 600_000, batch: int = 4096):
@@ -151,7 +155,6 @@ class Codec:
         self.silent = np.array([kind == CONTROL for _, _, kind in model.pieces])
         self.memo: dict[str, bytes] = {}
         self.odd: set[str] = set()
-        self.lossy: set[str] = set()
         self.most, self.batch = most, batch
 
     def _learn(self, words: list[str]) -> None:
@@ -163,8 +166,6 @@ class Codec:
             theirs = self.reference.encode(some, num_threads=1)
             # A space that ends a text is a lone marker; sentencepiece takes an empty text to have none.
             self.odd.update(w for w, a, b in zip(some, found, theirs, strict=True) if a != (b if w else [self.reference.piece_to_id(MARK)]))
-            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-            self.lossy.update(w for w, b in zip(some, back, strict=True) if w != b)
 
     def encode(self, texts: list[str], runs=re.compile(" +[^ ]*|[^ ]+").findall) -> list[tuple[np.ndarray, bool, bool]]:
         """Of each text: its ids, whether sentencepiece gives the same ones, and whether decoding gives the text back."""
@@ -175,7 +176,6 @@ class Codec:
         if len(self.memo) > self.most:
             self.memo.clear()
             self.odd.clear()
-            self.lossy.clear()
         # A word is what follows a space (or the start of the text), with any further spaces before it. A marker that
         # stands in the text counts as a space.
         texts = [t.replace(MARK, " ") if MARK in t else t for t in texts]
@@ -187,17 +187,22 @@ class Codec:
         out = []
         for found in words:
             ids = np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4")
-            out.append((ids, not self.odd or self.odd.isdisjoint(found), not self.lossy or self.lossy.isdisjoint(found)))
+            out.append((ids, not self.odd or self.odd.isdisjoint(found)))
         for w in (w for w in missing if len(w) > 48):
             del self.memo[w]
             self.odd.discard(w)
-            self.lossy.discard(w)
-        return out
+        return [(ids, same, t == back) for (ids, same), t, back in zip(out, texts, self.decode([ids for ids, _ in out]), strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The text of each array of ids; control pieces are silent."""
-        spoken = [x[~self.silent[x]].tolist() for x in ids]
-        return self.tokenizer.decode_batch(spoken, skip_special_tokens=False)
+        """The text of each array of ids; control pieces are silent. A call of the library gets about ``IDS`` ids."""
+        texts, some, held = [], [], 0
+        for x in ids:
+            some.append(x[~self.silent[x]].tolist())
+            held += len(x)
+            if held >= IDS:
+                texts += self.tokenizer.decode_batch(some, skip_special_tokens=False)
+                some, held = [], 0
+        return texts + self.tokenizer.decode_batch(some, skip_special_tokens=False)
 
     def normal(self, text: str) -> str:
         """What decoding gives back: the text itself, unless the model's normaliser rewrites it. A marker that stands in

@@ -94,3 +94,13 @@ def test_parse():
     with open(PATH, "rb") as f:
         model = Model.parse(f.read())
     assert len(model.pieces) == 32000 and model.byte_fallback and model.kind == 2
+
+
+def test_round_trip_sees_whole_texts():
+    """A decoder that is right for every single word but loses the spaces between words is found out."""
+    from tokenizers import decoders
+
+    codec = Codec(PATH)
+    assert [back for _, _, back in codec.encode(["one", "one two", " three", ""])] == [True] * 4
+    codec.tokenizer.decoder = decoders.Sequence([decoders.Replace("▁", ""), decoders.ByteFallback(), decoders.Fuse()])
+    assert [back for _, _, back in codec.encode(["one", "one two", " three", ""])] == [True, False, False, True]
