@@ -11,10 +11,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import rounded
+from ledgerlark.functions.order import running
 from ledgerlark.functions.storage import materialize
 from ledgerlark.operators.features import RISK_FEATURES, classification_metrics
 from ledgerlark.operators.risk import band, points
@@ -82,11 +83,27 @@ def predict_sar(model: Logistic, rows: DataFrame, key: str = "alert_id") -> Data
     return rows.select(key, rounded(model.probability(), 4).alias("probability")).withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
 
 
+def stratified_folds(rows: DataFrame, key: str, k: int = 5, label: str = "label") -> DataFrame:
+    """``rows`` with ``_fold`` from 0 to k - 1: rows of a class in the order of a hash of their key, dealt in turn, so folds
+    of a class differ by one row at most. Rows are numbered by running counts over sorted ranges, never a class in one task.
+    ``key`` has to tell rows apart; a null label is a class of its own."""
+    places = [F.col(label), F.xxhash64(key), F.col(key)]
+    placed = running(rows.withColumn("_one", F.lit(1).cast("long")), places, _k="_one")
+    first = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_k").alias("_first"))
+    dealt = placed.join(first, F.col(label).eqNullSafe(F.col("_label")))
+    return dealt.withColumn("_fold", ((F.col("_k") - F.col("_first")) % k).cast("int")).drop("_one", "_k", "_label", "_first")
+
+
+def held_out(rows: DataFrame, key: str, share: int = 5, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(rows to fit on, rows to test with): every ``share``-th row of each class is left out of the fit."""
+    dealt = materialize(stratified_folds(rows, key, share, label), "split")
+    return dealt.filter(F.col("_fold") != 0).drop("_fold"), dealt.filter(F.col("_fold") == 0).drop("_fold")
+
+
 def cross_validate(rows: DataFrame, fit, key: str, k: int = 5, threshold: float = 0.5) -> DataFrame:
-    """Stratified folds: rows of a class in the order of a hash of their key, dealt in turn. ``fit(train)`` returns a
-    function from rows to ``key, score``. Mean, population deviation, least and most of four metrics."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(key), key)
-    dealt = materialize(rows.withColumn("_fold", (F.row_number().over(order) - 1) % k), "folds")
+    """Over stratified folds. ``fit(train)`` returns a function from rows to ``key, score``. Mean, population deviation,
+    least and most of four metrics."""
+    dealt = materialize(stratified_folds(rows, key, k), "folds")
     results = []
     for fold in range(k):
         score = fit(dealt.filter(F.col("_fold") != fold).drop("_fold"))

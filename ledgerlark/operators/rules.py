@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import cents, dollars_of, padded, rounded
+from ledgerlark.functions.order import running
 from ledgerlark.functions.sliding import Span, sliding
 
 # Countries that the rules hold to be of high risk.
@@ -197,15 +198,13 @@ def one_rule(category: str, txns: DataFrame, customers: DataFrame, rules: DataFr
 
 def generate_alerts(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(alerts, rejected matches). An alert needs a customer. Numbers count per day in the order of time, transaction and
-    rule: a day's alerts are counted by hour first, so that no task numbers more than an hour's."""
-    day, hour = F.to_date("created_at"), F.date_trunc("hour", "created_at")
-    alerts = matches.filter(F.col("customer_id").isNotNull()).withColumn("day", day).withColumn("hour", hour)
-    per_hour = alerts.groupBy("day", "hour").agg(F.count("*").alias("n"))
-    before = per_hour.select("hour", F.coalesce(F.sum("n").over(Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("hour").orderBy("created_at", "txn_id", "rule_id"))
-    numbered = alerts.withColumn("k", within).join(before, "hour")
+    rule: running counts over sorted ranges, so a day of any size is numbered by many tasks."""
+    alerts = matches.filter(F.col("customer_id").isNotNull()).withColumn("day", F.to_date("created_at")).withColumn("_one", F.lit(1).cast("long"))
+    placed = running(alerts, [F.col("created_at"), F.col("txn_id"), F.col("rule_id")], _k="_one")
+    first = placed.groupBy("day").agg(F.min("_k").alias("_first"))
+    numbered = placed.join(first, "day").withColumn("k", F.col("_k") - F.col("_first") + 1)
     made = numbered.select(
-        F.concat(F.lit("ALT-"), F.date_format("day", "yyyyMMdd"), F.lit("-"), padded(F.col("before") + F.col("k"), 5)).alias("alert_number"),
+        F.concat(F.lit("ALT-"), F.date_format("day", "yyyyMMdd"), F.lit("-"), padded(F.col("k"), 5)).alias("alert_number"),
         F.col("txn_id").alias("transaction_id"), "customer_id", "rule_id", "severity", F.lit("open").alias("status"), "reason", "details", "risk_score", "created_at",
     )
     return made, matches.filter(F.col("customer_id").isNull())

@@ -65,3 +65,16 @@ def test_anomaly_scores(spark, most):
     assert all(0 <= r.score <= 100 for r in got.values()) and {r.confidence for r in got.values()} == {30, 100}
     assert got[7].reason in M.FOREST_FEATURES and sum(r.is_anomaly for r in got.values() if r.customer_id == 1) <= 3
     assert M.anomaly_scores(txns.limit(0)).count() == 0
+
+
+def test_stratified_folds_and_held_out_rows(spark):
+    rows = spark.range(1003).selectExpr("id", "IF(id % 10 = 0, 1, IF(id % 97 = 0, NULL, 0)) AS label", "'x' AS _kind")
+    dealt = M.stratified_folds(rows, "id", 4)
+    assert dealt.columns == [*rows.columns, "_fold"] and dealt.count() == 1003
+    counts = {}
+    for r in dealt.groupBy("label", "_fold").count().collect():
+        counts.setdefault(r.label, []).append(r["count"])
+    assert len(counts) == 3 and all(len(c) == 4 and max(c) - min(c) <= 1 for c in counts.values())
+    fit, test = M.held_out(rows, "id")
+    assert fit.join(test, "id").isEmpty() and fit.count() + test.count() == 1003 and abs(test.filter("label = 1").count() - 101 / 5) < 1
+    assert M.stratified_folds(rows.limit(0), "id").count() == 0
