@@ -64,18 +64,27 @@ class Logistic:
 
 def train_sar_classifier(rows: DataFrame, features: list[str], rate: float = 0.01, epochs: int = 100) -> Logistic:
     """Logistic regression by full-batch descent from zero. An epoch is one aggregate of the gradient over a written
-    frame; only as many sums as there are features come back."""
+    frame; only as many sums as there are features come back. Weights come in as a frame of one row, so all epochs are
+    the same plan and its code is compiled once. Gradients are summed as whole billionths: any order of rows gives the
+    same model. A null feature counts as the least value; without rows, all weights are 0."""
+    spark = rows.sparkSession
     fit = rows.agg(*(x for c in features for x in (F.min(c).cast("double").alias(f"{c}_lo"), F.max(c).cast("double").alias(f"{c}_hi")))).first()
     low = [fit[f"{c}_lo"] or 0.0 for c in features]
     span = [((fit[f"{c}_hi"] or 0.0) - lo) or 1.0 for c, lo in zip(features, low, strict=True)]
-    scaled = materialize(rows.select(F.array(*((F.col(c) - lo) / sp for c, lo, sp in zip(features, low, span, strict=True))).alias("x"), F.col("label").cast("double").alias("y")), "descent")
-    n, weights, bias = scaled.count(), [0.0] * len(features), 0.0
+    places = range(len(features))
+    values = [F.coalesce((F.col(c) - lo) / sp, F.lit(0.0)).alias(f"x{i}") for i, (c, lo, sp) in enumerate(zip(features, low, span, strict=True))]
+    scaled = materialize(rows.select(*values, F.col("label").cast("double").alias("y")), "descent")
+    n, weights, bias = max(1, scaled.count()), [0.0] * len(features), 0.0
+    z = reduce(lambda a, b: a + b, (F.col(f"x{i}") * F.col(f"w{i}") for i in places), F.col("b"))
+    error = (1 / (1 + F.exp(-z)) - F.col("y")).alias("e")
+    parts = lambda v: F.sum(F.floor(v * 1e9 + 0.5).cast("decimal(20,0)"))
+    gradient = [parts(F.col("e")).alias("b"), *(parts(F.col(f"x{i}") * F.col("e")).alias(f"g{i}") for i in places)]
+    model = "b double, " + ", ".join(f"w{i} double" for i in places)
     for _ in range(epochs):
-        z = reduce(lambda a, b: a + b, (F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(bias))
-        error = 1 / (1 + F.exp(-z)) - F.col("y")
-        sums = scaled.select("x", error.alias("e")).agg(F.sum("e").alias("b"), *(F.sum(F.col("x")[i] * F.col("e")).alias(f"g{i}") for i in range(len(features)))).first()
-        weights = [w - rate * sums[f"g{i}"] / n for i, w in enumerate(weights)]
-        bias -= rate * sums["b"] / n
+        now = spark.createDataFrame([(bias, *weights)], model)
+        sums = scaled.crossJoin(F.broadcast(now)).select(*(f"x{i}" for i in places), error).agg(*gradient).first()
+        weights = [w - rate * (float(sums[f"g{i}"] or 0) / 1e9) / n for i, w in enumerate(weights)]
+        bias -= rate * (float(sums["b"] or 0) / 1e9) / n
     return Logistic(features, low, span, weights, bias)
 
 
