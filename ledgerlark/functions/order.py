@@ -1,4 +1,4 @@
-"""Running sums and medians in one order over a whole table, without ordering it in one task."""
+"""Running sums, medians and quantiles over a whole table or each of its groups, without ordering one of them in one task."""
 
 from __future__ import annotations
 
@@ -38,3 +38,30 @@ def median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
         F.min(F.when(F.col("_upto") > F.floor(F.col("_n") / 2), F.col(column))).alias("_b"),
     )
     return row.select((F.col("_a") * 0.5 + F.col("_b") * 0.5).alias(name))
+
+
+def quantiles(df: DataFrame, key: str, column: str, **shares: float) -> DataFrame:
+    """``key`` and a column for each of ``shares``: that quantile of the key's values, between two of them in proportion
+    (``half=0.5`` is the median). Exact, and no task holds a key's values: equal ones are counted first, the distinct ones
+    are sorted into ranges by key and value, counts of a key's ranges say in which one a place lies, and only there are the
+    values counted one by one. Null values count as none; a key without any is left out; a null key is a key like others."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(column).alias("_v")).agg(F.count("*").alias("_k"))
+    placed = materialize(counted.repartitionByRange("_key", "_v").withColumn("_range", F.spark_partition_id()), "quantiles")
+    per = Window.partitionBy("_key")
+    cells = placed.groupBy("_key", "_range").agg(F.sum("_k").alias("_in"))
+    cells = cells.withColumn("_n", F.sum("_in").over(per)).withColumn("_upto", F.sum("_in").over(per.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)))
+    wants = []
+    for name, share in shares.items():
+        place = (F.col("_n") - 1) * F.lit(share)
+        wants += [F.struct(F.lit(name).alias("_name"), place.alias("_place"), end(place).cast("long").alias("_at")) for end in (F.floor, F.ceil)]
+    wanted = cells.withColumn("_w", F.explode(F.array_distinct(F.array(*wants)))).select("_key", "_range", "_w.*", (F.col("_upto") - F.col("_in")).alias("_before"), "_upto")
+    wanted = wanted.filter((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_upto")))
+    # A range without a place of its key is not read on; one that has any is of bounded size.
+    cut = placed.join(wanted.select(F.col("_key").alias("_mine"), F.col("_range").alias("_there"), "_name", "_place", "_at", "_before"), F.col("_key").eqNullSafe(F.col("_mine")) & (F.col("_range") == F.col("_there")))
+    inside = Window.partitionBy("_key", "_range", "_name", "_at").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_before") + F.sum("_k").over(inside)
+    hits = cut.select("_key", "_name", "_place", "_at", "_v", "_k", last.alias("_last")).filter((F.col("_at") < F.col("_last")) & (F.col("_at") >= F.col("_last") - F.col("_k")))
+    ends = hits.groupBy("_key", "_name").agg(F.min(F.struct("_at", "_v")).alias("_a"), F.max(F.struct("_at", "_v")).alias("_b"), F.first("_place").alias("_place"))
+    low, high = F.col("_a._v"), F.col("_b._v")
+    value = F.when((F.col("_a._at") == F.col("_b._at")) | (low == high), low.cast("double")).otherwise((F.col("_b._at") - F.col("_place")) * low + (F.col("_place") - F.col("_a._at")) * high)
+    return ends.withColumn("_value", value).groupBy(F.col("_key").alias(key)).agg(*(F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in shares))

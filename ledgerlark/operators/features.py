@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import ago, count_if, rounded, stamp, total
-from ledgerlark.functions.order import median, placed_values, running
+from ledgerlark.functions.order import placed_values, quantiles, running
 from ledgerlark.operators.behavior import deviation, moments
 from ledgerlark.operators.risk import points
 
@@ -32,14 +30,15 @@ def _days_since(column: Column, as_of: str) -> Column:
 
 def customer_features(customers: DataFrame, txns: DataFrame, alerts: DataFrame, as_of: str) -> DataFrame:
     """One row per customer: profile, amounts, velocity, time of day, geography and alerts, each history in a single
-    aggregation; customers without history take the defaults."""
+    aggregation but for the median, which is found in ranges of amounts, so a customer may have any number of them.
+    Customers without history take the defaults."""
     a, h, c = F.col("amount"), F.hour("created_at"), F.col
     risky = F.coalesce(F.upper("originating_country").isin(HIGH), F.lit(False)) | F.coalesce(F.upper("destination_country").isin(HIGH), F.lit(False))
     s, q = moments(a)
     windows = {"1h": 1, "24h": 24, "7d": 168, "30d": 720}
     recent = {k: c("created_at") >= ago(as_of, hours=n) for k, n in windows.items()}
     t = txns.filter(c("from_customer_id").isNotNull()).groupBy(c("from_customer_id").alias("customer_id")).agg(
-        F.count("*").alias("n"), s.alias("s"), q.alias("q"), F.max(a).alias("amount_max"), F.min(a).alias("amount_min"), F.median(a).alias("amount_median"),
+        F.count("*").alias("n"), s.alias("s"), q.alias("q"), F.max(a).alias("amount_max"), F.min(a).alias("amount_min"),
         count_if(a >= 10000).alias("large_txn_count"), count_if((a >= 8000) & (a < 10000)).alias("structuring_count"), count_if((a >= 1000) & (a % 1000 == 0)).alias("round_amount_count"),
         *(count_if(w).alias(f"count_{k}") for k, w in recent.items()), *(total(a, w).alias(f"volume_{k}") for k, w in recent.items()),
         count_if((h < 6) | (h >= 22)).alias("night"), count_if(F.weekday("created_at") >= 5).alias("weekend"), F.sum(h).alias("hours"), count_if(h.between(9, 17)).alias("business"),
@@ -49,7 +48,8 @@ def customer_features(customers: DataFrame, txns: DataFrame, alerts: DataFrame,
         F.count("*").alias("alert_count"), count_if(c("created_at") >= ago(as_of, days=90)).alias("alert_count_90d"), count_if(c("severity") == "critical").alias("critical_alerts"), count_if(c("severity") == "high").alias("high_alerts"),
         count_if(c("status") == "open").alias("open_alerts"), F.sum(points("severity", SEVERITY_WEIGHT, 0)).alias("alert_severity_score"), F.max("created_at").alias("last_alert"),
     )
-    rows = customers.join(t, "customer_id", "left").join(al, "customer_id", "left")
+    middle = quantiles(txns.filter(c("from_customer_id").isNotNull()).select(c("from_customer_id").alias("customer_id"), "amount"), "customer_id", "amount", amount_median=0.5)
+    rows = customers.join(t, "customer_id", "left").join(middle, "customer_id", "left").join(al, "customer_id", "left")
     n = F.coalesce("n", F.lit(0))
     mean, std = c("s") / c("n"), deviation(c("n"), c("s"), c("q"))
     zero = lambda x: F.coalesce(x, F.lit(0.0)).cast("double")
@@ -164,25 +164,6 @@ def time_features(txns: DataFrame) -> DataFrame:
     return txns.select("id", pick(h, 12).alias("hour"), pick(w, 0).alias("weekday"), pick(F.month(t), 1).alias("month"), pick((w >= 5).cast("int"), 0).alias("is_weekend"), pick(((h < 8) | (h >= 20)).cast("int"), 0).alias("is_off_hours"))
 
 
-def impute_encode_scale(df: DataFrame, key: str, numbers: list[str], words: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, one fitted row of medians and ranges, fitted codes). Missing numbers take the median and are scaled to
-    [0, 1] of the fitted range; missing words take the most frequent one and become codes in sorted order."""
-    # Medians are one row each.
-    fitted = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), (median(df, c, f"{c}_median") for c in numbers))
-    filled = df.crossJoin(F.broadcast(fitted)).select(key, *words, *(F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")).alias(c) for c in numbers))
-    ranges = filled.agg(*(x for c in numbers for x in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))))
-    seen = df.select(F.explode(F.array(*(F.struct(F.lit(w).alias("column"), F.col(w).alias("value")) for w in words))).alias("x")).select("x.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-    codes = seen.withColumn("code", F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1)
-    rows = filled.crossJoin(F.broadcast(ranges))
-    for w in words:
-        mine = codes.filter(F.col("column") == w)
-        mode = mine.agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("_mode"), F.count("*").alias("_len"))
-        rows = rows.crossJoin(F.broadcast(mode)).withColumn(w, F.coalesce(w, "_mode")).drop("_mode")
-        rows = rows.join(mine.select(F.col("value").alias(w), F.col("code").alias(f"{w}_code")), w, "left").withColumn(f"{w}_code", F.coalesce(f"{w}_code", "_len").cast("long")).drop("_len")
-    scaled = [F.when(F.col(f"{c}_max") > F.col(f"{c}_min"), rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - F.col(f"{c}_min")) / (F.col(f"{c}_max") - F.col(f"{c}_min")))), 6)).otherwise(0.0).alias(c) for c in numbers]
-    return rows.select(key, *scaled, *(f"{w}_code" for w in words)), fitted.crossJoin(ranges), codes
-
-
 def outliers(df: DataFrame, key: str, column: str, method: str = "iqr") -> DataFrame:
     """Rows outside the quartiles at places n//4 and 3n//4 by 1.5 ranges, or more than 3 deviations from the mean."""
     rows = df.filter(F.col(column).isNotNull()).select(key, column)

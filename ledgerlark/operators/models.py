@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import rounded
-from ledgerlark.functions.order import running
+from ledgerlark.functions.order import quantiles, running
 from ledgerlark.functions.storage import materialize
 from ledgerlark.operators.features import RISK_FEATURES, classification_metrics
 from ledgerlark.operators.risk import band, points
@@ -188,7 +188,8 @@ def anomaly_scores(txns: DataFrame, least: int = 10, contamination: float = 0.05
     by = ["customer_id", "part"]
     schema = ", ".join(["txn_id long", "customer_id long", *(f"{n} double" for n in FOREST_FEATURES), "raw double"])
     scored = materialize(dealt.groupBy(*by).cogroup(sample.groupBy("_customer_id", "_part")).applyInPandas(forest, schema), "forests")
-    fit = scored.groupBy("customer_id").agg(F.count("*").alias("_n"), F.min("raw").alias("_lo"), F.max("raw").alias("_hi"), F.percentile("raw", F.lit(1 - contamination)).alias("_cut"), *(x for n in FOREST_FEATURES for x in (F.avg(n).alias(f"_m_{n}"), F.stddev_pop(n).alias(f"_s_{n}"))))
+    fit = scored.groupBy("customer_id").agg(F.count("*").alias("_n"), F.min("raw").alias("_lo"), F.max("raw").alias("_hi"), *(x for n in FOREST_FEATURES for x in (F.avg(n).alias(f"_m_{n}"), F.stddev_pop(n).alias(f"_s_{n}"))))
+    fit = fit.join(quantiles(scored, "customer_id", "raw", _cut=1 - contamination), "customer_id")
     span = c("_hi") - c("_lo")
     far = [F.abs(c(n) - c(f"_m_{n}")) / F.when(c(f"_s_{n}") > 0, c(f"_s_{n}")).otherwise(1.0) for n in FOREST_FEATURES]
     reason = F.element_at(F.array(*map(F.lit, FOREST_FEATURES)), F.array_position(F.array(*far), F.greatest(*far)).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import features as X
+from ledgerlark.operators.preparation import fit_preparation, impute_encode_scale
 from ledgerlark.plans.network import _SD, _SQ
 from ledgerlark.plans.risk import _case, _in
 from ledgerlark.plans.sql import AT, NOW, cnt, r, total
@@ -89,7 +90,23 @@ _SWEEP = " UNION ALL ".join(f"SELECT {k / 10}E0 AS threshold, {_s('tp', 'tp + fp
 
 
 def _prep(t):
-    return X.impute_encode_scale(t.aml_customer, "customer_id", ["annual_income"], ["nationality", "occupation"])[0]
+    return impute_encode_scale(t.aml_customer, "customer_id", ["annual_income"], ["nationality", "occupation"])[0]
+
+
+def _prep_halves(t):
+    half = F.col("customer_id") % 2 == 0
+    numbers, words = ["annual_income"], ["nationality", "occupation"]
+    return fit_preparation(t.aml_customer.filter(half), numbers, words).transform(t.aml_customer, "customer_id", numbers, words)
+
+
+def _code(column: str, value: str) -> str:
+    """Code of a word among those that were fitted; else how many there are."""
+    word = f"(SELECT {column} AS v, count(*) AS n, row_number() OVER (ORDER BY {column}) - 1 AS code FROM h WHERE {column} IS NOT NULL GROUP BY 1)"
+    return f"(SELECT coalesce(max(code) FILTER (WHERE v = coalesce({value}, (SELECT v FROM {word} b ORDER BY n DESC, v LIMIT 1))), count(*)) FROM {word} a)"
+
+
+_HALVES = f"""WITH h AS (SELECT * FROM aml_customer WHERE customer_id % 2 = 0), m AS (SELECT median(annual_income) AS md, min(annual_income) AS lo, max(annual_income) AS hi FROM h)
+SELECT customer_id, CASE WHEN hi > lo THEN {r('least(1E0, greatest(0E0, (coalesce(annual_income, md) - lo) / (hi - lo)))', 6)} ELSE 0E0 END AS annual_income, {_code('nationality', 'c.nationality')} AS nationality_code, {_code('occupation', 'c.occupation')} AS occupation_code FROM aml_customer c, m"""
 
 
 PLANS = {
@@ -108,6 +125,7 @@ PLANS = {
         g AS (SELECT min(x) AS lo, max(x) AS hi FROM f), c AS (SELECT nationality AS v, row_number() OVER (ORDER BY nationality) - 1 AS code FROM (SELECT DISTINCT nationality FROM aml_customer WHERE nationality IS NOT NULL) z), o AS (SELECT occupation AS v, row_number() OVER (ORDER BY occupation) - 1 AS code FROM (SELECT DISTINCT occupation FROM aml_customer) z)
         SELECT customer_id, {r('(x - lo) / (hi - lo)', 6)} AS annual_income, c.code AS nationality_code, o.code AS occupation_code FROM f JOIN c ON c.v = f.na JOIN o ON o.v = f.occupation, g""",
     ),
+    "prepare_unseen": (_prep_halves, _HALVES),
     "outliers_iqr": (
         lambda t: X.outliers(t.aml_txn, "id", "amount"),
         "WITH s AS (SELECT amount, row_number() OVER (ORDER BY amount) - 1 AS k, count(*) OVER () AS n FROM aml_txn), q AS (SELECT min(amount) FILTER (WHERE k = n // 4) AS a, min(amount) FILTER (WHERE k = 3 * n // 4) AS b FROM s) SELECT id, amount FROM aml_txn, q WHERE amount < a - (b - a) * 1.5E0 OR amount > b + (b - a) * 1.5E0",

@@ -12,9 +12,21 @@ from ledgerlark.plans.sql import AT, r, total
 from ledgerlark.streaming.jobs import customer_sessions
 
 
-def _risk(t):
+def _risk_scored(t):
+    """(scores of all customers, the training set, keys that the model was not fitted on): a fifth of each class."""
     rows = materialize(X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), "risk-features")
-    return M.predict_risk(M.train_risk_model(rows), rows)
+    fit, test = M.held_out(rows, "customer_id")
+    return M.predict_risk(M.train_risk_model(fit), rows), rows, test.select("customer_id")
+
+
+def _risk(t):
+    scores, _, unseen = _risk_scored(t)
+    return scores.join(unseen.withColumn("held_out", F.lit(True)), "customer_id", "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+
+
+def _risk_metrics(t):
+    scores, rows, unseen = _risk_scored(t)
+    return X.classification_metrics(rows.join(unseen, "customer_id", "left_semi").join(scores, "customer_id").select("label", F.col("probability").alias("score")))
 
 
 def _sar(t):
@@ -41,6 +53,7 @@ def _descent(features: list[str], rate: str = "0.01E0", epochs: int = 100) -> st
 
 PLANS = {
     "predict_risk": (_risk, None),
+    "risk_model_metrics": (_risk_metrics, None),
     "predict_sar": (_sar, _descent(X.SAR_FEATURES)),
     "anomaly_scores": (lambda t: M.anomaly_scores(t.aml_txn), None),
     "customer_sessions": (
