@@ -3,7 +3,8 @@
 Every word that names licensing lines the text up with each template that has this word: the words where the template
 would stand are a candidate block. A block is compressed on its own and with its template as zstandard raw dictionary.
 Those that save too little go; the others are ranked by how many bytes that saves, and confirmed, or refused, by the exact
-differences in wording. Of confirmed ones that overlap, that with the most words in agreement stays.
+differences in wording. Of confirmed ones that overlap, that which saves the most bytes of their common words stays; only where
+these are equal, that with the fewest differences. Each license of an SPDX expression is judged on its own.
 """
 
 from __future__ import annotations
@@ -56,12 +57,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
         'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
         "See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed under the Apache License 2.0.",
+        "Apache License Version 2.0, January 2004",
     ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         _MIT.strip(),
         _MIT + _MIT_AS_IS,
+        "Distributed under the MIT License.",
+        "The MIT License (MIT)",
     ),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", _BSD + _BSD_AS_IS),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", _BSD + _BSD_NAMES + _BSD_AS_IS),
@@ -81,17 +86,37 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Eclipse Public License 2.0.",
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
         "Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "MPL-2.0": (
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one "
         "at http://mozilla.org/MPL/2.0/.",
     ),
@@ -107,6 +132,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 CUES = ("licen", "copyright", "reserved", "permission", "redistribut", "domain", "cc0", "cc by", "commons", "mpl")
 
 WORD = re.compile(r"[\w.+-]*\w", re.UNICODE)
+SPDX = "SPDX-License-Identifier"
+#: Operators of SPDX expressions, and endings of names of licenses by version.
+OPERATORS = ("or", "and", "with")
+ENDINGS = ("-only", "-or-later")
 STOPS = re.compile(r"[/.,:;!?)\"']*")
 #: A word that names licensing; "cc" stands for "cc by".
 CUE_WORD = re.compile("|".join(c.split(" ")[0] + ("$" if " " in c else "") for c in CUES))
@@ -116,6 +145,20 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def overlapping(hits: list[tuple]) -> Iterator[list[tuple]]:
+    """``hits``, (first word, end, ...), in groups: those that overlap, or are linked by others that do."""
+    group: list[tuple] = []
+    stop = 0
+    for hit in sorted(hits):
+        if group and hit[0] >= stop:
+            yield group
+            group = []
+        group.append(hit)
+        stop = max(stop, hit[1]) if len(group) > 1 else hit[1]
+    if group:
+        yield group
+
+
 class Scanner:
     """Ranks and confirms templates. A confirmed template has at least ``least`` of its words, in order, in the block, with
     at most as many other words put in between as may be missing, and every word with a digit among them (such words tell
@@ -128,9 +171,11 @@ class Scanner:
         #: Where each cue word stands: (template, place in it).
         self.places: dict[str, list[tuple[int, int]]] = {}
         for name, wordings in TEMPLATES.items():
-            for wording in (*wordings, f"SPDX-License-Identifier: {name}"):
+            names = (name, *(name + e for e in ENDINGS)) if "GPL-" in name else (name,)
+            for wording in (*wordings, *(f"{SPDX}: {n}" for n in names)):
                 words = words_of(wording)
                 shared = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                shared.precompute_compress(level=level)
                 packed = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_dict_id=False)
                 for at, word in enumerate(words):
                     if CUE_WORD.search(word):
@@ -147,7 +192,7 @@ class Scanner:
                 size = len(self.templates[k][1])
                 start = i - at
                 if size <= self.short:
-                    if start >= 0 and words[start : start + size] == self.templates[k][1]:
+                    if 0 <= start <= len(words) - size:
                         out.add((k, start, start + size))
                     continue
                 slack = 2 + size // 5
@@ -158,6 +203,20 @@ class Scanner:
                     out.add((k, max(0, start - slack), min(len(words), start + size + slack)))
         return out
 
+    def candidates(self, words: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+        """(template, place of the first word, words) of all blocks, and of each further license of SPDX expressions, which
+        stands for a tag with its name."""
+        for k, a, b in self.blocks(words):
+            yield k, a, words[a:b]
+        tag = SPDX.lower()
+        for i, word in enumerate(words):
+            if word == tag:
+                j = i + 3
+                while j < len(words) and words[j - 1] in OPERATORS:
+                    for k, _ in self.places[tag]:
+                        yield k, j - 1, [tag, words[j]]
+                    j += 2
+
     def confirm(self, template: list[str], words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
         """(first word, end, missing words, added words) of the template in a block, or nothing."""
         found = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
@@ -182,25 +241,33 @@ class Scanner:
         """(start, length in code points, license, share of bytes saved, missing words, added words), in order of place."""
         spans = [m.span() for m in WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in spans]
+        alone: dict[bytes, int] = {}
         ranked = []
-        for k, a, b in self.blocks(words):
-            data = " ".join(words[a:b]).encode()
-            alone, given = len(self.plain.compress(data)), len(self.templates[k][2].compress(data))
-            if alone - given >= self.saving * alone:
-                ranked.append((given - alone, a, b, k, round(1 - given / alone, 6)))
+        for k, a, block in self.candidates(words):
+            data = " ".join(block).encode()
+            if data not in alone:
+                alone[data] = len(self.plain.compress(data))
+            whole, given = alone[data], len(self.templates[k][2].compress(data))
+            if whole - given >= self.saving * whole:
+                ranked.append((given - whole, a, k, block, round(1 - given / whole, 6)))
         confirmed = []
-        for saved, a, b, k, share in sorted(ranked):
-            if hit := self.confirm(self.templates[k][1], words[a:b]):
+        for _, a, k, block, share in sorted(ranked):
+            if hit := self.confirm(self.templates[k][1], block):
                 start, end, missing, added = hit
-                agree = len(self.templates[k][1]) - 2 * len(missing) - len(added)
-                confirmed.append((-agree, saved, a + start, a + end, k, share, " ".join(missing), " ".join(added)))
+                # A further license of an expression is that one word; its tag stands elsewhere.
+                start += words[a] in OPERATORS and block[0] == SPDX.lower()
+                confirmed.append((a + start, a + end, k, share, missing, added))
         found: list[tuple[int, int, str, float, str, str]] = []
-        taken: list[tuple[int, int]] = []
-        for _, _, start, end, k, share, missing, added in sorted(confirmed):
-            if all(end <= x or start >= y for x, y in taken):
-                taken.append((start, end))
-                at, stop = spans[start][0], STOPS.match(text, spans[end - 1][1]).end()
-                found.append((at, stop - at, self.templates[k][0], share, missing, added))
+        for rivals in overlapping(confirmed):
+            # Only savings on the same words compare.
+            data = " ".join(words[min(c[0] for c in rivals) : max(c[1] for c in rivals)]).encode()
+            order = [(len(self.templates[c[2]][2].compress(data)) if len(rivals) > 1 else 0, len(c[4]) + len(c[5]), -len(self.templates[c[2]][1]), c) for c in rivals]
+            taken: list[tuple[int, int]] = []
+            for *_, (start, end, k, share, missing, added) in sorted(order):
+                if all(end <= x or start >= y for x, y in taken):
+                    taken.append((start, end))
+                    at, stop = spans[start][0], STOPS.match(text, spans[end - 1][1]).end()
+                    found.append((at, stop - at, self.templates[k][0], share, " ".join(missing), " ".join(added)))
         return sorted(found)
 
 

@@ -88,3 +88,29 @@ def test_numbered_and_edited_notices():
 
 def test_every_template_has_a_cue():
     assert all(any(c in w.lower() for c in CUES) for ws in TEMPLATES.values() for w in ws)
+
+
+def test_short_forms_titles_and_expressions():
+    s = Scanner()
+    names = lambda text: [h[2] for h in s.scan(f"{PROSE}\n{text}\n{PROSE}")]
+    for text, want in {
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": ["GPL-3.0"], "Apache License Version 2.0, January 2004": ["Apache-2.0"], "Mozilla Public License Version 2.0": ["MPL-2.0"],
+        "The MIT License (MIT)": ["MIT"], "Distributed under the MIT license.": ["MIT"], "Licensed under the Apache License 2.0": ["Apache-2.0"],
+        "SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0"], "SPDX-License-Identifier: LGPL-3.0-only": ["LGPL-3.0"],
+        "Licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0"], "SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0", "MIT"],
+        "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0 and Zlib": ["MIT", "BSD-3-Clause", "GPL-2.0", "Zlib"],
+        "SPDX-License-Identifier: Unknown-1.0 OR MIT": ["MIT"], "SPDX-License-Identifier: MIT or later": ["MIT"],
+    }.items():
+        assert names(text) == want, (text, names(text))
+    text = "SPDX-License-Identifier: Apache-2.0 OR MIT"
+    assert [text[h[0] : h[0] + h[1]] for h in s.scan(text)] == ["SPDX-License-Identifier: Apache-2.0", "MIT"]
+
+
+def test_saved_bytes_decide_between_confirmed_wordings():
+    """The notice of one license is confirmed for its siblings too, as they differ by one word of forty."""
+    s = Scanner()
+    k = {n: next(i for i, (m, ws, _) in enumerate(s.templates) if m == n and len(ws) > 30) for n in ("GPL-3.0", "LGPL-3.0", "AGPL-3.0")}
+    for name, mine in k.items():
+        words = s.templates[mine][1]
+        assert all(s.confirm(s.templates[other][1], words) for other in k.values())
+        assert [h[2] for h in s.scan(f"{PROSE} {' '.join(words)} {PROSE}")] == [name]
