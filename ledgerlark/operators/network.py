@@ -34,16 +34,28 @@ def prune_to_cycles(edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 
 def graph_cycles(edges: DataFrame, most: int = 5) -> DataFrame:
-    """Directed simple cycles of 2 to ``most`` edges, one per set of nodes. A path starts at its smallest node, so each
-    cycle grows once; a step is an equi-join on the last node, and paths are only as many as can still close."""
-    steps = materialize(prune_to_cycles(edges.select("src", "dst").distinct()), "cycle-edges")
-    paths = steps.filter(F.col("dst") > F.col("src")).select(F.col("src").alias("root"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    """Directed simple cycles of 2 to ``most`` edges, one per set of nodes.
+
+    A cycle grows once, from its node with the most partners (of equal ones, the largest): a path only goes on to nodes
+    below its start in that order, so a hub is passed through by no path but those of greater hubs, and starts no more than
+    one for each partner. A path closes by a join on both of its ends, which tells whether that edge exists; none is grown
+    to find out. Paths of each length are written once. Edges without an end and loops are no part of a cycle; repeated
+    edges count once; an empty table gives no rows."""
+    pairs = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
+    steps = materialize(prune_to_cycles(pairs), "cycle-edges")
+    degree = materialize(steps.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("k")), "cycle-degrees")
+    rank = lambda end: degree.select(F.col("node").alias(end), F.struct("k", "node").alias(f"{end}_rank"))
+    ranked = materialize(steps.join(rank("src"), "src").join(rank("dst"), "dst").filter(F.col("dst_rank") != F.col("src_rank")), "cycle-steps")
+    falling = ranked.filter(F.col("dst_rank") < F.col("src_rank"))
+    paths = falling.select(F.col("src").alias("root"), F.col("src_rank").alias("top"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    back = steps.select(F.col("src").alias("last"), F.col("dst").alias("root"))
+    onward = ranked.select(F.col("src").alias("last"), F.col("dst").alias("next"), "dst_rank")
     found = []
     for length in range(2, most + 1):
-        grown = paths.join(steps.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last")
-        found.append(grown.filter(F.col("next") == F.col("root")).select(F.array_sort("path").alias("nodes"), F.lit(length).alias("length")))
+        found.append(paths.join(back, ["last", "root"], "left_semi").select(F.array_sort("path").alias("nodes"), F.lit(length).alias("length")))
         if length < most:
-            paths = grown.filter((F.col("next") > F.col("root")) & ~F.array_contains("path", F.col("next"))).select("root", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))
+            grown = paths.join(onward, "last").filter((F.col("dst_rank") < F.col("top")) & ~F.array_contains("path", F.col("next")))
+            paths = materialize(grown.select("root", "top", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path")), "cycle-paths")
     return reduce(DataFrame.unionByName, found).distinct().select("length", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"))
 
 
