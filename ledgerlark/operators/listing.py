@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.columns import ago, padded
+from ledgerlark.functions.order import running
 
 TYPES = ["deposit", "withdrawal", "transfer", "wire", "payment", "cash"]
 LEVELS = ["low", "medium", "high", "critical"]
@@ -106,20 +107,18 @@ def export_customers(customers: DataFrame, risk_level: str | None = None, pep_on
 
 def enrich_transactions(raw: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(landed, rejected): sender and receiver from their accounts, whether international, and a reference that counts
-    the day's rows in the order of time and id. An unknown sending account is rejected. A day is numbered by hours, whose
-    counts are summed first, so no task orders more than an hour."""
+    the day's rows in the order of time and id. An unknown sending account is rejected. Rows are numbered by running
+    counts over sorted ranges, so a day, or one booked at a single time, is numbered by many tasks."""
     sender = accounts.select(F.col("account_id").alias("from_account_id"), F.col("customer_id").alias("from_customer_id"))
     receiver = accounts.select(F.col("account_id").alias("to_account_id"), F.col("customer_id").alias("to_customer_id"))
     rows = raw.join(sender, "from_account_id", "left").join(receiver, "to_account_id", "left")
     a, b = F.col("originating_country"), F.col("destination_country")
     good = rows.filter(F.col("from_customer_id").isNotNull()).withColumn("is_international", F.coalesce(a != b, F.lit(False)))
-    good = good.withColumn("_day", F.to_date("created_at")).withColumn("_hour", F.date_trunc("hour", "created_at"))
-    hours = good.groupBy("_day", "_hour").agg(F.count("*").alias("n"))
-    before = hours.select("_hour", F.coalesce(F.sum("n").over(Window.partitionBy("_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    k = F.row_number().over(Window.partitionBy("_hour").orderBy("created_at", "id"))
-    numbered = good.withColumn("_k", k).join(before, "_hour")
-    reference = F.concat(F.lit("TXN-"), F.date_format("_day", "yyyyMMdd"), F.lit("-"), padded(F.col("_before") + F.col("_k"), 6))
-    return numbered.withColumn("reference", reference).drop("_day", "_hour", "_before", "_k"), rows.filter(F.col("from_customer_id").isNull())
+    placed = running(good.withColumn("_day", F.to_date("created_at")).withColumn("_one", F.lit(1).cast("long")), [F.col("created_at"), F.col("id")], _k="_one")
+    first = placed.groupBy(F.col("_day").alias("_of")).agg(F.min("_k").alias("_first"))
+    numbered = placed.join(first, F.col("_day") == F.col("_of"))
+    reference = F.concat(F.lit("TXN-"), F.date_format("_day", "yyyyMMdd"), F.lit("-"), padded(F.col("_k") - F.col("_first") + 1, 6))
+    return numbered.withColumn("reference", reference).drop("_day", "_of", "_one", "_k", "_first"), rows.filter(F.col("from_customer_id").isNull())
 
 
 def sanitize(c: Column, most: int = 500) -> Column:

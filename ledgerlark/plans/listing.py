@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.storage import fresh_path
 from ledgerlark.operators import listing as L
 from ledgerlark.plans.sql import AT, NOW, padded
+from ledgerlark.sources.exports import read_export, write_export
 
 _TXN = "id, from_customer_id, to_customer_id, amount, transaction_type, flagged, created_at"
 _COLS = [c.strip() for c in _TXN.split(",")]
@@ -88,3 +90,18 @@ PLANS = {
         UNION ALL SELECT 'alerts', count(*) FROM aml_alert, k WHERE status IN ('closed', 'false_positive') AND closed_at < cut UNION ALL SELECT 'notes', count(*) FROM aml_case_note WHERE case_id IN (SELECT case_id FROM c)""",
     ),
 }
+
+# The same rows, written as files and read back.
+
+
+def _written(name: str, order: str, fmt: str):
+    def run(t):
+        df = PLANS[name][0](t)
+        path = fresh_path(df.sparkSession, name)
+        write_export(df, path, [order], fmt)
+        return read_export(df.sparkSession, path)
+
+    return run
+
+
+PLANS |= {f"{name}_{fmt}": (_written(name, order, fmt), PLANS[name][1]) for name, order, fmt in (("export_transactions", "id", "csv"), ("export_alerts", "alert_id", "json"))}
