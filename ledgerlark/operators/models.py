@@ -34,9 +34,14 @@ def train_risk_model(rows: DataFrame, features: list[str] = RISK_FEATURES, trees
     return Pipeline(stages=steps).fit(rows)
 
 
-def predict_risk(model: PipelineModel, rows: DataFrame, key: str = "customer_id") -> DataFrame:
+def predict_risk(model: PipelineModel, rows: DataFrame, key: str = "customer_id", unseen: DataFrame | None = None) -> DataFrame:
+    """``key, probability, band``; with ``unseen``, the keys that the fit left out, also ``held_out``."""
     p = vector_to_array("probability")[1]
-    return model.transform(rows).select(key, rounded(p, 4).alias("probability")).withColumn("band", band(F.col("probability"), (0.75, 0.50, 0.25)))
+    scores = model.transform(rows).select(key, rounded(p, 4).alias("probability")).withColumn("band", band(F.col("probability"), (0.75, 0.50, 0.25)))
+    if unseen is None:
+        return scores
+    left_out = unseen.select(key).distinct().withColumn("held_out", F.lit(True))
+    return scores.join(left_out, key, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
 def top_importances(model: PipelineModel, features: list[str] = RISK_FEATURES, n: int = 5) -> list[tuple[str, float]]:

@@ -13,20 +13,19 @@ from ledgerlark.streaming.jobs import customer_sessions
 
 
 def _risk_scored(t):
-    """(scores of all customers, the training set, keys that the model was not fitted on): a fifth of each class."""
+    """(scores of all customers with ``held_out`` for the fifth of each class that the fit left out, the training set)"""
     rows = materialize(X.risk_training_set(t.aml_customer, t.aml_txn, t.aml_alert, t.aml_case, AT), "risk-features")
     fit, test = M.held_out(rows, "customer_id")
-    return M.predict_risk(M.train_risk_model(fit), rows), rows, test.select("customer_id")
+    return M.predict_risk(M.train_risk_model(fit), rows, unseen=test), rows
 
 
 def _risk(t):
-    scores, _, unseen = _risk_scored(t)
-    return scores.join(unseen.withColumn("held_out", F.lit(True)), "customer_id", "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    return _risk_scored(t)[0]
 
 
 def _risk_metrics(t):
-    scores, rows, unseen = _risk_scored(t)
-    return X.classification_metrics(rows.join(unseen, "customer_id", "left_semi").join(scores, "customer_id").select("label", F.col("probability").alias("score")))
+    scores, rows = _risk_scored(t)
+    return X.classification_metrics(scores.filter("held_out").join(rows.select("customer_id", "label"), "customer_id").select("label", F.col("probability").alias("score")))
 
 
 def _sar(t):
