@@ -20,18 +20,20 @@ from ledgerlark.functions.storage import materialize
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id`` and the components as floor(scale * x), x as double. Vectors that are null, or hold a null or a component
-    that is not finite, take no part; nor do rows with a null id. Repeated rows (same id, same vector) count once."""
+    that is not finite, take no part; nor do rows with a null id. Repeated rows stay."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(math.inf)))
-    return (
-        df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~bad)
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("vec"))
-        .dropDuplicates(["vec_id", "vec"])
-    )
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~bad)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("vec"))
 
 
-def threshold_top(ids: np.ndarray, matrix: np.ndarray, order: np.ndarray, sorted_: np.ndarray, query_id: int, query: np.ndarray, k: int, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) for one query: ``order`` and ``sorted_`` are the rows and values of each dimension's list in
+def numbered(vectors: DataFrame) -> DataFrame:
+    """``integer_vectors`` with a number ``row`` that tells all rows apart, written: it stays the same however often it is read."""
+    return materialize(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
+def threshold_top(ids: np.ndarray, matrix: np.ndarray, order: np.ndarray, sorted_: np.ndarray, own: np.ndarray, query: np.ndarray, k: int, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (ids, scores) for one query, without the rows that ``own`` marks: ``order`` and ``sorted_`` are the rows and values of each dimension's list in
     ascending order. Ties go to the smaller id, so reading stops only when the bound is below the k-th score."""
     n, dims = matrix.shape
     used = np.flatnonzero(query)
@@ -49,7 +51,7 @@ def threshold_top(ids: np.ndarray, matrix: np.ndarray, order: np.ndarray, sorted
         fresh[rows] = True
         fresh &= ~seen
         seen |= fresh
-        at = np.flatnonzero(fresh & (ids != query_id))
+        at = np.flatnonzero(fresh & ~own)
         if len(at):
             best_ids, best = np.r_[best_ids, ids[at]], np.r_[best, matrix[at] @ query]
             if len(best) > k:
@@ -71,56 +73,58 @@ def threshold_top(ids: np.ndarray, matrix: np.ndarray, order: np.ndarray, sorted
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 16384, query_rows: int = 8192, blocks: int | None = None) -> DataFrame:
     """Each query's ``k`` highest integer inner products over all other rows: ``query_id, rank, vec_id, score``.
 
-    Both inputs are ``integer_vectors`` frames (``vec_id``, ``vec``). A query is compared with vectors of its own length
-    and never with rows of its own id; ties go to the smaller id; with fewer than k candidates, all are returned. Empty
-    inputs give no rows. Blocks are even whatever the ids or labels, so no key or copy makes a task larger; a row is sent
+    Both inputs are ``numbered`` frames (``row``, ``vec_id``, ``vec``). A query is compared with vectors of its own length
+    and with every row but itself: rows that repeat it, or have its id and another vector, are candidates like others, and
+    queries with one id each have their own ranks. Ties go to the smaller id; with fewer than k candidates, all are
+    returned. Empty inputs give no rows. Blocks are even whatever the ids or labels, so no key or copy makes a task larger; a row is sent
     once to each block of queries, of which there is one for every ``query_rows`` queries. Scores are exact: components
     are integers, and sums stay below 2^53 for components under 2^20 and up to 2^13 dimensions.
     """
     n, n_queries = vectors.count(), queries.count()
     rows, cols = blocks or max(12, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
-    # Rows are distinct, so their hashes are even; and a row has the same block on every attempt of a task.
-    even = lambda df, m: df.withColumn("b", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(m)).cast("int"))
+    # Rows have numbers of their own, so copies spread too; and a row has the same block on every attempt of a task.
+    even = lambda df, m: df.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(m)).cast("int"))
     key = ["cb", "qb", "dims"]
-    left = even(vectors, rows).select(F.col("b").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("qb"), F.size("vec").alias("dims"), "vec_id", "vec")
-    right = even(queries, cols).select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("cb"), F.col("b").alias("qb"), F.size("vec").alias("dims"), "vec_id", "vec")
+    # Both sides may read one table; columns of the queries get names of their own, or a later projection loses them.
+    left = even(vectors, rows).select(F.col("b").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("qb"), F.size("vec").alias("dims"), "row", "vec_id", "vec")
+    right = even(queries, cols).select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("cb"), F.col("b").alias("qb"), F.size("vec").alias("dims"), F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("asked"))
 
     def search(cands: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(cands) and len(asked):
-            ids = cands["vec_id"].to_numpy()
+            ids, rows = cands["vec_id"].to_numpy(), cands["row"].to_numpy()
             matrix = np.stack(cands["vec"].to_list()).astype(np.float64)
             order = np.argsort(matrix, axis=0, kind="stable")
             lists = np.take_along_axis(matrix, order, axis=0)
-            for query_id, vec in zip(asked["vec_id"], asked["vec"], strict=True):
-                top, scores = threshold_top(ids, matrix, order, lists, query_id, np.asarray(vec, np.float64), k)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": top, "score": scores.astype(np.int64)}))
-        return pd.concat(found) if found else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score")})
+            for row, query_id, vec in zip(asked["query"], asked["query_id"], asked["asked"], strict=True):
+                top, scores = threshold_top(ids, matrix, order, lists, rows == row, np.asarray(vec, np.float64), k)
+                found.append(pd.DataFrame({"query": row, "query_id": query_id, "vec_id": top, "score": scores.astype(np.int64)}))
+        return pd.concat(found) if found else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query", "query_id", "vec_id", "score")})
 
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_of_every_50th(embeddings: DataFrame) -> DataFrame:
     """The 5 best of every row whose id is divisible by 50; cases as in ``integer_vectors`` and ``exact_top_k``. Vectors
     are written once, as both counts and both sides read them."""
-    vectors = materialize(integer_vectors(embeddings), "vectors")
+    vectors = numbered(integer_vectors(embeddings))
     return exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
 TOP_SQL = """
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.row AS query, q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_inner_product(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.vec) = len(c.vec)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
