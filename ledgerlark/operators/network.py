@@ -64,7 +64,7 @@ def graph_hubs(nodes: DataFrame, customers: DataFrame, least: int = 5) -> DataFr
     return rows.join(customers.select(F.col("customer_id").alias("node"), "full_name", "risk_level"), "node", "left").select("node", "degree", "out_degree", "in_degree", "full_name", "risk_level")
 
 
-def chains(txns: DataFrame, hours: int, close: Column, within: float, least: int, most: int | None, strict: bool) -> Iterator[tuple[int, DataFrame]]:
+def chains(txns: DataFrame, hours: int, close: Column, within: float, least: int, most: int | None, strict: bool, dense: int = 2048) -> Iterator[tuple[int, DataFrame]]:
     """(length, chains) of ``least`` to ``most`` transactions (without ``most``, until none grows): each sent by the last
     one's receiver, no earlier than it and at most ``hours`` later (``strict``: later, and less than that), amounts close,
     no customer twice. ``close`` compares ``amount`` with ``amount_next``, which differ by at most the share ``within``.
@@ -72,13 +72,19 @@ def chains(txns: DataFrame, hours: int, close: Column, within: float, least: int
 
     A step joins on the customer, a bucket of time as long as the span, and a bucket of the amount's logarithm as wide as
     the share. A path looks into its own bucket of time and the next, and into its own bucket of amounts and those beside
-    it: an account with very many transactions spreads over its amounts, and no pair farther apart is ever compared."""
+    it: an account with very many transactions spreads over its amounts, and no pair farther apart is ever compared. A cell of
+    one account, bucket of time and bucket of amounts with more than ``dense`` transactions is dealt into parts by their ids;
+    a path that looks into it is sent to each of them, so no task meets more than about ``dense`` of them for a path."""
     width = -math.log(1 - within) * 1.001
     span = hours * MICROS
     at = F.unix_micros(F.col("created_at").cast("timestamp"))
     rows = txns.filter(F.col("from_customer_id").isNotNull() & F.col("to_customer_id").isNotNull() & (F.col("amount") > 0) & (F.col("from_customer_id") != F.col("to_customer_id"))).select("id", "from_customer_id", "to_customer_id", "amount", at.alias("at"))
     step = F.floor(F.log("amount") / width)
     following = rows.select(F.col("from_customer_id").alias("last"), F.floor(F.col("at") / span).alias("bucket"), step.alias("step"), F.col("id").alias("id_next"), F.col("to_customer_id").alias("to_next"), F.col("amount").alias("amount_next"), F.col("at").alias("at_next"))
+    cell = ["last", "bucket", "step"]
+    sizes = following.groupBy(*cell).agg(F.ceil(F.count("*") / dense).cast("int").alias("parts"))
+    large = materialize(sizes.filter(F.col("parts") > 1), "chain-cells")
+    following = materialize(following.join(large, cell, "left").withColumn("part", F.pmod(F.xxhash64("id_next"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), "chain-steps")
     paths = rows.select(F.col("id").alias("start_id"), F.array("id").alias("ids"), F.array("from_customer_id", "to_customer_id").alias("path"), F.col("to_customer_id").alias("last"), "amount", "at", F.col("amount").alias("total"))
     gap = F.col("at_next") - F.col("at")
     timely = (gap > 0) & (gap < span) if strict else (gap >= 0) & (gap <= span)
@@ -90,7 +96,8 @@ def chains(txns: DataFrame, hours: int, close: Column, within: float, least: int
             return
         bucket = F.floor(F.col("at") / span)
         probe = paths.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
-        grown = probe.join(following, ["last", "bucket", "step"]).filter(timely & close & ~F.array_contains("path", F.col("to_next")))
+        probe = probe.join(large, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        grown = probe.join(following, [*cell, "part"]).filter(timely & close & ~F.array_contains("path", F.col("to_next")))
         paths = grown.select("start_id", F.concat("ids", F.array("id_next")).alias("ids"), F.concat("path", F.array("to_next")).alias("path"), F.col("to_next").alias("last"), F.col("amount_next").alias("amount"), F.col("at_next").alias("at"), (F.col("total") + F.col("amount_next")).alias("total"))
         length += 1
         if length != most:

@@ -13,7 +13,8 @@ _PARTY = f"""_FixedRef string, Profile struct<_ID:string,_PartySubTypeID:string,
   DocumentedName:array<struct<DocumentedNamePart:{_NAME_PART}>>>>>>>"""
 _LOCATION = "_ID string, LocationCountry array<struct<_CountryID:string>>, LocationPart array<struct<_LocPartTypeID:string,LocationPartValue:array<struct<Value:string>>>>"
 _MEASURES = "_ProfileID string, SanctionsMeasure array<struct<Comment:string>>"
-_LOOKUP = "_ID string, _VALUE string"
+# Lookups stand together in one short element.
+_LOOKUPS = ", ".join(f"{tag}Values struct<{tag}:array<struct<_ID:string,_VALUE:string>>>" for tag in ("AliasType", "PartySubType", "Country"))
 
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -22,11 +23,12 @@ def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 def load_sdn_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, aliases, locations) of the advanced format. Names are their parts, joined; the primary name is the first
-    primary alias, else the first; programs are the distinct comments of measures of at most 40 characters, in order."""
+    primary alias, else the first; programs are the distinct comments of measures of at most 40 characters, in order. The
+    reader splits the file by one kind of element at a time: parties, measures, locations, and the lookups of all kinds."""
     party = _read(spark, path, "DistinctParty", _PARTY)
-    alias_types = _read(spark, path, "AliasType", _LOOKUP).select(F.col("_ID").alias("_AliasTypeID"), F.col("_VALUE").alias("alias_type"))
-    kinds = _read(spark, path, "PartySubType", _LOOKUP).select(F.col("_ID").alias("_PartySubTypeID"), F.col("_VALUE").alias("entity_type"))
-    countries = _read(spark, path, "Country", _LOOKUP).select(F.col("_ID").alias("_CountryID"), F.col("_VALUE").alias("country"))
+    sets = _read(spark, path, "ReferenceValueSets", _LOOKUPS)
+    lookup = lambda tag, name: sets.select(F.inline(f"{tag}Values.{tag}")).select(F.col("_ID").alias(f"_{tag}ID"), F.col("_VALUE").alias(name))
+    alias_types, kinds, countries = lookup("AliasType", "alias_type"), lookup("PartySubType", "entity_type"), lookup("Country", "country")
     flat = F.flatten(F.transform("Profile.Identity", lambda i: i["Alias"]))
     a = party.select(F.col("_FixedRef").alias("fixed_ref"), F.posexplode(flat).alias("place", "a"))
     words = F.flatten(F.transform("a.DocumentedName", lambda d: F.transform(d["DocumentedNamePart"], lambda p: p["NamePartValue"]["_VALUE"])))

@@ -199,6 +199,22 @@ def test_long_chains(spark):
     assert {r.customer_id: r.chains for r in network.layering_confidence(df).collect()} == {i: 11 - i for i in range(1, 11)}
 
 
+def test_an_account_with_many_like_amounts(spark):
+    """Chains through a cell that is dealt into parts are those of a search over all pairs."""
+    rng = np.random.default_rng(5)
+    at = lambda i: NOW + dt.timedelta(minutes=int(rng.integers(0, 1500)))
+    rows = [txn(i, 1000 + float(rng.integers(0, 150)), sender=100 + i if i % 2 else 1, to=1 if i % 2 else 900 + i, at=at(i)) for i in range(240)]
+    df = spark.createDataFrame(rows, TXN)
+    close = F.abs(F.col("amount_next") - F.col("amount")) / F.col("amount") < 0.15
+    spread = lambda dense: sorted(tuple(r.ids) for _, found in network.chains(df, 24, close, 0.15, 2, 2, True, dense) for r in found.select("ids").collect())
+    a = df.select("id", "from_customer_id", "to_customer_id", "amount", "created_at")
+    b = a.select(F.col("id").alias("j"), F.col("from_customer_id").alias("f"), F.col("to_customer_id").alias("t"), F.col("amount").alias("amount_next"), F.col("created_at").alias("later"))
+    gap = F.unix_timestamp("later") - F.unix_timestamp("created_at")
+    want = a.join(b, F.col("to_customer_id") == F.col("f")).filter((gap > 0) & (gap < 86400) & close & (F.col("t") != F.col("from_customer_id")))
+    want = sorted((r.id, r.j) for r in want.collect())
+    assert len(want) > 2000 and spread(7) == want and spread(2048) == want
+
+
 def test_anomalies_of_large_customers_are_comparable(spark):
     rng = np.random.default_rng(4)
     rows = [(*txn(i, float(rng.lognormal(5, 1)), sender=1 + (i % 4 == 0), at=NOW + dt.timedelta(minutes=int(rng.integers(0, 9000)))), bool(rng.integers(2))) for i in range(1200)]
