@@ -84,7 +84,7 @@ def chains(txns: DataFrame, hours: int, close: Column, within: float, least: int
     cell = ["last", "bucket", "step"]
     sizes = following.groupBy(*cell).agg(F.ceil(F.count("*") / dense).cast("int").alias("parts"))
     large = materialize(sizes.filter(F.col("parts") > 1), "chain-cells")
-    following = materialize(following.join(large, cell, "left").withColumn("part", F.pmod(F.xxhash64("id_next"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), "chain-steps")
+    following = materialize(following.join(large, cell, "left").withColumn("part", F.pmod(F.xxhash64("id_next"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts").sortWithinPartitions(*cell, "part"), "chain-steps")
     paths = rows.select(F.col("id").alias("start_id"), F.array("id").alias("ids"), F.array("from_customer_id", "to_customer_id").alias("path"), F.col("to_customer_id").alias("last"), "amount", "at", F.col("amount").alias("total"))
     gap = F.col("at_next") - F.col("at")
     timely = (gap > 0) & (gap < span) if strict else (gap >= 0) & (gap <= span)
