@@ -79,23 +79,20 @@ def _encoder(path: str) -> ByteEncoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int, sample_chars: int, size: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most ``sample_docs`` documents of at most ``sample_chars``
-    characters: it serves short documents, so longer ones say nothing to it. Rows are taken from as few partitions as
-    give enough of them, and their ids, bounded by both parameters, come to the driver, which trains on them. Empty if
-    the sample is too small to train on."""
+    """A zstandard dictionary from the serialized ids of at most ``sample_docs`` documents. They are drawn evenly from all
+    rows; those of more than ``sample_chars`` characters are left out, as the dictionary serves short ones. Their ids,
+    bounded by both parameters, come to the driver, which trains on them. Empty if the sample is too small to train on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, left = _encoder(tokenizer), sample_docs
+        coder = _encoder(tokenizer)
         end = coder._pack([end_id])
         for batch in batches:
-            some = batch.column("text").slice(0, left).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([coder.encode(t) + end for t in some], pa.binary())], names=["ids"])
-            left -= len(some)
-            if not left:
-                return
-
-    short = docs.select("text").filter(F.length("text") <= sample_chars)
-    samples = [bytes(r.ids) for r in short.mapInArrow(run, "ids binary").limit(sample_docs).collect()]
+            yield pa.RecordBatch.from_arrays([pa.array([coder.encode(t) + end for t in batch.column("text").to_pylist()], pa.binary())], names=["ids"])
+
+    n = docs.count()
+    drawn = docs.sample(sample_docs / n, seed=1) if n > sample_docs else docs
+    short = drawn.select("text").filter(F.length("text") <= sample_chars)
+    samples = [bytes(r.ids) for r in short.mapInArrow(run, "ids binary").collect()][:sample_docs]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:

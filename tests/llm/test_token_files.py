@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from ledgerlark.functions.storage import fresh_path
-from ledgerlark.llm.token_files import ByteEncoder, ShardReader, read_token_files, write_token_files
+from ledgerlark.llm.token_files import ByteEncoder, ShardReader, read_token_files, train_dictionary, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -51,3 +51,13 @@ def test_round_trip(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_token_files(write_token_files(docs, PATH, fresh_path(spark, "t"))).count() == 0
+
+
+def test_the_dictionary_learns_from_all_rows(spark):
+    """Documents of later partitions, of a kind of their own, are in the sample as well; long ones are not."""
+    docs = spark.range(0, 6000, 1, 6).selectExpr("id AS doc_id", "concat(IF(id < 3000, 'the first kind of text stands here, number ', 'Quarterly zebra manifests overwhelm seven lighthouses by '), id) AS text")
+    docs = docs.unionByName(spark.range(2000).selectExpr("id AS doc_id", "repeat('Unusual giraffe ledgers bewilder nine harbours. ', 30) AS text"))
+    trained, coder = train_dictionary(docs, PATH, 0, 1000, 200, 8 << 10), ByteEncoder(PATH)
+    assert coder.encode(" first kind of text") in trained and coder.encode(" zebra manifests overwhelm") in trained
+    assert coder.encode(" giraffe ledgers") not in trained
+    assert train_dictionary(docs.limit(5), PATH, 0, 1000, 200, 8 << 10) == b""
