@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with the tokenizers library as the backend.
 
 The model's protobuf is parsed here, and its normaliser, space marker, piece scores and byte fallback are rebuilt as a
-tokenizers pipeline. Batches are encoded and decoded by that library, with its threads. All that it encodes is also
-given to the sentencepiece library, only to say whether both agree.
+tokenizers pipeline. Texts are encoded and decoded by that library, one thread a worker, as Spark runs a worker for each
+core. All that it encodes is also given to the sentencepiece library, only to say whether both agree.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from ledgerlark.llm.texts import held, slices, whole_text
 
 MARK = "▁"
+#: How an unknown piece reads.
+UNREADABLE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text that one pass holds as words and ids.
@@ -95,29 +97,32 @@ class Model:
         found = [(-self.pieces[i][1], i, usable[a], usable[b], a, b) for p, i, a, b in halves if a in usable and b in usable]
         return [f[4:] for f in sorted(found)]
 
-    def normalizer(self, prefix: bool):
+    def normalizer(self):
         from tokenizers import Regex, normalizers
 
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()] if self.squeeze else []
-        steps += [normalizers.Prepend(MARK)] if prefix and self.dummy_prefix else []
+        steps += [normalizers.Prepend(MARK)] if self.dummy_prefix else []
         return normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
 
-    def tokenizer(self, prefix: bool = True):
-        """The model as a tokenizers pipeline; without ``prefix``, texts must bring their first marker along."""
+    def tokenizer(self, words: bool = False):
+        """The model as a tokenizers pipeline; with ``words``, for single words that bring their marker along and that are
+        met once, so they need no normaliser, no splitting and no cache."""
         from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
         unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
-        name = self.pieces[unknown][0]
+        # What is unknown goes by what it reads as; with its spaces, no text holds it once they are markers.
+        names = [UNREADABLE if i == unknown else p for i, (p, _, _) in enumerate(self.pieces)]
         if self.kind == UNIGRAM:
-            made = Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=unknown, byte_fallback=self.byte_fallback))
+            made = Tokenizer(models.Unigram([(p, s) for p, (_, s, _) in zip(names, self.pieces, strict=True)], unk_id=unknown, byte_fallback=self.byte_fallback))
         else:
-            vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            made = Tokenizer(models.BPE(vocab, self.merges(), unk_token=name, fuse_unk=True, byte_fallback=self.byte_fallback))
-        made.normalizer = self.normalizer(prefix)
-        if self.apart:
+            vocab = {p: i for i, p in enumerate(names)}
+            made = Tokenizer(models.BPE(vocab, self.merges(), cache_capacity=0 if words else 10_000, unk_token=UNREADABLE, fuse_unk=True, byte_fallback=self.byte_fallback))
+        if not words:
+            made.normalizer = self.normalizer()
+        if self.apart and not words:
             made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-        steps = [decoders.Replace(name, " ⁇ "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        steps = [decoders.Metaspace(MARK, "never"), decoders.ByteFallback(), decoders.Fuse()]
         made.decoder = decoders.Sequence([*steps, *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         return made
 
@@ -127,18 +132,20 @@ class Model:
         return not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in self.pieces)
 
 
-#: Ids that one call of the decoder gets, unless a single text has more.
-IDS = 200_000
+#: Texts or words that one call of the encoder gets.
+CALL = 256
 
 
 class Codec:
     """Encodes and decodes texts with the tokenizers library; sentencepiece is asked for parity only.
 
     Every text is decoded whole and compared. Where the model lets words be encoded one by one, a worker remembers the ids
-    of up to ``most`` distinct words, and parity is verified when a word is first met; else on whole texts. A call of a library gets
-    at most ``batch`` words, as its results take far more memory than the ids that are kept."""
+    of up to ``most`` distinct words, and parity is verified when a word is first met; else on whole texts. ``memo`` has the words
+    of late, ``older`` those before; when ``memo`` holds half of ``most``, it takes the place of ``older``, so words that come
+    again and again are not forgotten. A call of sentencepiece gets at most ``batch`` words and one of tokenizers ``CALL``,
+    as their results take far more memory than the ids that are kept."""
 
-    def __init__(self, path: str, threads: int = 2, most: int = 600_000, batch: int = 4096):
+    def __init__(self, path: str, threads: int = 1, most: int = 600_000, batch: int = 4096):
         # Set before the import: the library reads them when it starts its threads.
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -151,17 +158,22 @@ class Codec:
         # Words are encoded apart where nothing rewrites or drops spaces.
         self.by_word = model.apart and model.dummy_prefix and not (model.charsmap or model.squeeze)
         self.prefix = model.dummy_prefix
-        self.tokenizer = model.tokenizer(prefix=not self.by_word)
-        self.silent = np.array([kind == CONTROL for _, _, kind in model.pieces])
+        self.tokenizer = model.tokenizer(words=self.by_word)
+        self.aloud = np.array([kind != CONTROL for _, _, kind in model.pieces])
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.most, self.batch = most, batch
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """The tokenizers library's ids of each text."""
+        calls = (texts[k : k + CALL] for k in range(0, len(texts), CALL))
+        return [e.ids for some in calls for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
     def _learn(self, words: list[str]) -> None:
         for k in range(0, len(words), self.batch):
             some = words[k : k + self.batch]
-            marked = [MARK + w.replace(" ", MARK) for w in some]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+            found = self._ids([MARK + w.replace(" ", MARK) for w in some])
             self.memo.update(zip(some, [struct.pack(f"<{len(ids)}I", *ids) for ids in found], strict=True))
             theirs = self.reference.encode(some, num_threads=1)
             # A space that ends a text is a lone marker; sentencepiece takes an empty text to have none.
@@ -170,12 +182,12 @@ class Codec:
     def encode(self, texts: list[str], runs=re.compile(" +[^ ]*|[^ ]+").findall) -> list[tuple[np.ndarray, bool, bool]]:
         """Of each text: its ids, whether sentencepiece gives the same ones, and whether decoding gives the text back."""
         if not self.by_word:
-            ids = [np.array(e.ids, "<u4") for k in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
+            ids = [np.array(x, "<u4") for x in self._ids(texts)]
             theirs = self.reference.encode(texts, num_threads=1)
             return [(a, a.tolist() == b, self.normal(t) == d) for a, b, t, d in zip(ids, theirs, texts, self.decode(ids), strict=True)]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-            self.odd.clear()
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
+            self.odd &= self.older.keys()
         # A word is what follows a space (or the start of the text), with any further spaces before it. A marker that
         # stands in the text counts as a space.
         texts = [t.replace(MARK, " ") if MARK in t else t for t in texts]
@@ -183,7 +195,9 @@ class Codec:
         missing: set[str] = set()
         for found in words:
             missing.update(filterfalse(self.memo.__contains__, found))
-        self._learn(list(missing))
+        again = {w: ids for w in missing if (ids := self.older.get(w))}
+        self.memo.update(again)
+        self._learn(list(missing - again.keys()))
         out = []
         for found in words:
             ids = np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4")
@@ -194,15 +208,8 @@ class Codec:
         return [(ids, same, t == back) for (ids, same), t, back in zip(out, texts, self.decode([ids for ids, _ in out]), strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The text of each array of ids; control pieces are silent. A call of the library gets about ``IDS`` ids."""
-        texts, some, held = [], [], 0
-        for x in ids:
-            some.append(x[~self.silent[x]].tolist())
-            held += len(x)
-            if held >= IDS:
-                texts += self.tokenizer.decode_batch(some, skip_special_tokens=False)
-                some, held = [], 0
-        return texts + self.tokenizer.decode_batch(some, skip_special_tokens=False)
+        """The text of each array of ids; control pieces are silent."""
+        return [self.tokenizer.decode(x[self.aloud[x]].tolist(), skip_special_tokens=False) for x in ids]
 
     def normal(self, text: str) -> str:
         """What decoding gives back: the text itself, unless the model's normaliser rewrites it. A marker that stands in

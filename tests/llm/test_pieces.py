@@ -104,3 +104,57 @@ def test_round_trip_sees_whole_texts():
     assert [back for _, _, back in codec.encode(["one", "one two", " three", ""])] == [True] * 4
     codec.tokenizer.decoder = decoders.Sequence([decoders.Replace("▁", ""), decoders.ByteFallback(), decoders.Fuse()])
     assert [back for _, _, back in codec.encode(["one", "one two", " three", ""])] == [True, False, False, True]
+
+
+def test_frequent_words_are_learned_once():
+    """Words that stand in every text are not encoded again when the memo has filled up with others."""
+    codec, given = Codec(PATH, most=40), []
+    learn = codec._learn
+    codec._learn = lambda words: (given.extend(words), learn(words))[1]
+    reference = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for i in range(60):
+        text = " ".join(["the", "naïve", *(f"w{i}x{k}" for k in range(8))])
+        assert codec.encode([text])[0][0].tolist() == reference.encode(text)
+    assert given.count("the") == given.count("naïve") == 1 and len(given) == 2 + 60 * 8
+    assert len(codec.memo) + len(codec.older) <= 40 + 2 * 10
+
+
+def test_odd_words_are_found_after_the_memo_turned_over():
+    class Stub:
+        def __init__(self, real):
+            self.real = real
+
+        def encode(self, texts, **more):
+            return [[7] if t == "odd" else ids for t, ids in zip(texts, self.real.encode(texts, **more), strict=True)]
+
+        def piece_to_id(self, piece):
+            return self.real.piece_to_id(piece)
+
+    codec = Codec(PATH, most=20)
+    codec.reference = Stub(codec.reference)
+    for i in range(30):
+        assert [same for _, same, _ in codec.encode([f"an odd one{i} a{i} b{i}", f"even c{i}"])] == [False, True]
+    for i in range(30):
+        codec.encode([f"d{i} e{i} f{i} g{i}"])
+    assert not codec.odd
+
+
+def test_unknown_pieces(tmp_path):
+    """What unknown pieces read as comes from their ids alone, whatever stands in the text."""
+    codec, reference = Codec(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    sample = ["<unk>", " ⁇ ", "a ⁇ b", "<unk> <unk>", "▁⁇▁"]
+    for t, (ids, same, back) in zip(sample, codec.encode(sample), strict=True):
+        assert same and back and ids.tolist() == reference.encode(t), t
+    ids = [*reference.encode("one"), reference.unk_id(), *reference.encode("two")]
+    assert codec.decode([np.array(ids)]) == [reference.decode(ids)]
+    marker = [*reference.encode("one"), *(reference.piece_to_id(f"<0x{b:02X}>") for b in "▁".encode())]
+    assert codec.decode([np.array(marker)]) == ["one▁"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    pieces += [(g, -2.0 - k / 8, 1) for k, g in enumerate("▁ a b < > u n k ⁇".split())]
+    data = b"".join(message(1, message(1, p.encode()) + message(2, s) + message(3, k)) for p, s, k in pieces)
+    data += message(2, message(3, 1) + message(35, 1)) + message(3, message(1, b"identity") + message(3, 1) + message(4, 0) + message(5, 1))
+    path = tmp_path / "u.model"
+    path.write_bytes(data)
+    codec, reference = Codec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    for t, (ids, same, back) in zip(sample, codec.encode(sample), strict=True):
+        assert same and back and ids.tolist() == reference.encode(t), t
