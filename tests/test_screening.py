@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 
-from ledgerlark.functions.names import jaro_winkler, jaro_winkler_many, match_score, match_scores
-from ledgerlark.operators.screening import contains_join, contains_pairs
+from ledgerlark.functions.names import fold, jaro_winkler, jaro_winkler_many, match_pairs, match_score, match_scores, score_bounds
+from ledgerlark.operators import screening
+from ledgerlark.operators.screening import bulk_screen, contains_join, contains_pairs, name_scores, screen_candidates
 
 
 def names(rng, n):
@@ -43,3 +44,31 @@ def test_substrings(spark):
     joined = contains_join(left, right, "needle", "hay").select("k", "r").collect()
     assert sorted(map(tuple, joined)) == sorted((k, r) for k, n in enumerate(needles) for r, t in enumerate(texts) if n and t is not None and n in t)
     assert contains_join(left.limit(0), right, "needle", "hay").count() == 0 and contains_join(left, right.limit(0), "needle", "hay").count() == 0
+
+
+def wanted(name, alias):
+    """Whether a query's name and an alias meet, as the SQL says."""
+    q, raw = fold(name), alias.lower()
+    tokens = [t for t in q.split() if len(t) >= 3]
+    return any(t in raw for t in tokens) if tokens else q in raw if len(q) >= 2 else bool(q) and q in fold(alias)
+
+
+def screened(spark, rng):
+    words = ["anna", "annabel", "bell", "nab", "of", "x", "Ébel", "mr", "ann", "el"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3])))
+    q, a = [(k // 2 if k < 9 else k, name()) for k in range(90)], [(k, name()) for k in range(160)]
+    return q, a, spark.createDataFrame(q, "query_id long, name string"), spark.createDataFrame([*a, (999, None)], "alias_id long, alias_name string")
+
+
+def test_candidates_once_and_made_last(spark, monkeypatch):
+    q, a, queries, aliases = screened(spark, random.Random(11))
+    for tile, ids in ((512, 256), (7, 2)):
+        monkeypatch.setattr(screening, "TILE_QUERIES", tile)
+        monkeypatch.setattr(screening, "TILE_NAMES", tile)
+        monkeypatch.setattr(screening, "IDS", ids)
+        found = screen_candidates(queries, aliases)
+        assert sorted(map(tuple, found.collect())) == sorted((i, j) for i, n in q for j, c in a if wanted(n, c))
+    # Pairs are neither sorted, counted nor shuffled once they are made.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Generate" in above and "Exchange" not in above and "Aggregate" not in above
