@@ -72,3 +72,54 @@ def test_candidates_once_and_made_last(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Generate" in above and "Exchange" not in above and "Aggregate" not in above
+
+
+def test_scores_of_candidates(spark, monkeypatch):
+    q, a, queries, aliases = screened(spark, random.Random(12))
+    monkeypatch.setattr(screening, "IDS", 3)
+    found = name_scores(queries, aliases)
+    assert sorted(map(tuple, found.collect())) == sorted((i, j, match_score(fold(n), fold(c))) for i, n in q for j, c in a if wanted(n, c))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_bounds_hold():
+    rng = random.Random(8)
+    for _ in range(6):
+        pool = np.array(sorted(set(names(rng, 50))), object)
+        i, j = (x.ravel() for x in np.indices((len(pool), len(pool))))
+        scores = match_pairs(pool, pool, i, j)
+        assert scores[::7].tolist() == [match_score(pool[x], pool[y]) for x, y in zip(i[::7], j[::7], strict=True)]
+        assert (score_bounds(pool, pool).ravel() >= scores).all()
+
+
+def test_best_of_many_like_names(spark, monkeypatch):
+    """All names share a token, so all pairs meet in one tile; only each query's best are kept."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abeln") for _ in range(rng.choice([2, 4, 6])))
+    q = [(k, f"anna {word()}", rng.choice([None, None, "Vessel"])) for k in range(130)]
+    entries = [(k, rng.choice(["Vessel", "Entity", None])) for k in range(170)]
+    spelt = [f"Anna {word()} {word()}" for _ in range(60)]
+    a = [(k, k, rng.choice(spelt), rng.choice([True, False])) for k in range(170)]
+    stored = {}
+    keep = screening.materialize
+    monkeypatch.setattr(screening, "materialize", lambda df, name: stored.setdefault(name, []).append(out := keep(df, name)) or out)
+    none = {"locations": "entry_id long, address string, city string, state_province string, postal_code string, country string", "identifiers": "entry_id long, id_value string"}
+    got = bulk_screen(
+        spark.createDataFrame([(i, n, kind, None) for i, n, kind in q], "query_id long, name string, entity_type string, id_number string"),
+        spark.createDataFrame([(e, kind, f"e{e}", "SDN") for e, kind in entries], "entry_id long, entity_type string, primary_name string, list_name string"),
+        spark.createDataFrame([(*x, False) for x in a], "alias_id long, entry_id long, alias_name string, low_quality boolean, is_primary boolean"),
+        *(spark.createDataFrame([], s) for s in none.values()),
+    )
+    want = []
+    for i, n, kind in q:
+        hits = []
+        for alias, e, c, low in a:
+            raw = match_score(fold(n), fold(c))
+            score = raw * 0.97 if low and raw < 100 else raw
+            if score >= 65 and kind in (None, entries[e][1]):
+                hits.append((-np.floor(score * 100.0 + 0.5) / 100.0, c, alias, e))
+        best = sorted(hits)[:5]
+        want += [(i, r, e, c, -s) for r, (s, c, _, e) in enumerate(best, 1)] or [(i, 0, None, None, None)]
+    assert sorted(map(tuple, got.select("query_id", "rank", "entry_id", "matched_name", "score").collect())) == sorted(want)
+    assert max(t.count() for tables in stored.values() for t in tables) < 130 * 60 / 4
