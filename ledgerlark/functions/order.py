@@ -9,19 +9,29 @@ from ledgerlark.functions.storage import materialize
 
 
 def running(df: DataFrame, order: Column | list[Column], **sums: str) -> DataFrame:
+    """``summed_ranges`` without the columns that tell of the ranges."""
+    return summed_ranges(df, order if isinstance(order, list) else [order], **sums)[0].select(*df.columns, *sums)
+
+
+def summed_ranges(df: DataFrame, order: list[Column], merge: bool = False, **sums: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with a column for each of ``sums``: the sum of the named column over all rows up to and with this one.
 
     ``order``, of one or several columns, has to tell all rows apart (group by it first). Rows are sorted into ranges and written; each range is
     summed by itself, and takes on the sums of the ranges before it, of which there are as many as shuffle partitions.
-    Null values count as none; an empty frame stays empty."""
-    order = order if isinstance(order, list) else [order]
-    placed = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered")
+    Null values count as none; an empty frame stays empty. ``_range`` is a row's range, ``_edge`` whether its range may share the
+    first column of ``order`` with another one. With ``merge``, rows of one place, which have no columns but those of ``order``
+    and the summed ones, are first summed, in their range. The second frame is the written table."""
+    placed = df.repartitionByRange(*order)
+    if merge:
+        placed = placed.groupBy(*order).agg(*(F.sum(x).alias(x) for x in dict.fromkeys(sums.values())))
+    placed = materialize(placed.withColumn("_range", F.spark_partition_id()), "ordered")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = placed.groupBy("_range").agg(*(F.sum(x).alias(name) for name, x in sums.items()))
-    starts = whole.select("_range", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums))
+    whole = placed.groupBy("_range").agg(*(F.sum(x).alias(name) for name, x in sums.items()), F.min(order[0]).alias("_least"), F.max(order[0]).alias("_most"))
+    starts = whole.select("_range", "_least", "_most", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums))
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.join(F.broadcast(starts), "_range")
-    return rows.select(*df.columns, *((F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_before_{name}")).alias(name) for name, x in sums.items()))
+    edge = ~F.coalesce((order[0] != F.col("_least")) & (order[0] != F.col("_most")), F.lit(False))
+    return rows.select(*placed.columns, edge.alias("_edge"), *((F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_before_{name}")).alias(name) for name, x in sums.items())), placed
 
 
 def placed_values(df: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import sliding as module
 from ledgerlark.functions.sliding import Span, sliding
 from ledgerlark.operators.rules import MICROS, evaluate_rules
 from ledgerlark.sources.fixtures import VIEWS
@@ -46,3 +47,14 @@ def test_a_busy_sender_and_missing_senders(spark):
     small = {r.txn_id: int(r.m) for r in got if r.category == "micro_transaction"}
     hour = 3600 * n // 86400  # legs in one hour before a leg
     assert small == {i: min(i, hour) // 2 + 1 for i in range(n) if min(i, hour) // 2 + 1 >= 4}
+
+
+def test_keys_within_a_range_meet_there(spark, monkeypatch):
+    """Only keys at the ends of ranges are brought together once more, and the sorted table goes when it is summed."""
+    stored, gone, keep = {}, [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: stored.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(module, "discard", gone.append)
+    df = spark.range(6000).select((F.col("id") % 600).alias("who"), F.col("id").alias("at"), F.lit(1).cast("long").alias("v"))
+    got = sliding(df, "who", "at", {"v": F.col("v")}, {"back": Span("v", -1200)}).collect()
+    assert len(got) == 6000 and all(r.back == min(3, r.at // 600 + 1) for r in got)
+    assert len(gone) == 1 and stored["spans"].filter("_edge").select("who").distinct().count() <= 2 * 4
